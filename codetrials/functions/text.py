@@ -1,9 +1,10 @@
 """Text helpers as Column expressions.
 
-All of them are plain Catalyst expressions on whole texts (no per-line arrays, no Python), so they stay inside
-whole-stage codegen and cost one linear pass per regex.  The regexes are written for Java: ``(?d)`` makes ``.``,
+All of them are plain Catalyst expressions, with no Python.  The regexes are written for Java: ``(?d)`` makes ``.``,
 ``^`` and ``$`` know only ``\\n`` as a line end, ``\\z`` is the true end of the text, and the possessive quantifiers
-keep the passes linear.
+keep the passes linear.  A pattern that is tried at every character starts with something cheap (``^`` or a literal),
+since a class of many characters or a look-behind in that place costs more than all the rest; trimming goes through
+``btrim``, which touches the ends only.
 """
 
 from __future__ import annotations
@@ -89,11 +90,11 @@ def py_dedent(c: Column | str) -> Column:
 
 def py_indent(c: Column | str, width: int) -> Column:
     """Put ``width`` spaces before every line that holds more than white space."""
-    pattern = (
-        rf"(?<![^{PY_BREAK_CLASS}])(?!(?<=\r)\n)"
-        rf"(?=[{PY_BLANK_CLASS}]*+[^{PY_BLANK_CLASS}{PY_BREAK_CLASS}])"
-    )
-    return F.regexp_replace(col(c), pattern, " " * width)
+    filled = rf"(?=[{PY_BLANK_CLASS}]*+[^{PY_BLANK_CLASS}{PY_BREAK_CLASS}])"
+    pad = " " * width
+    # Java's own line ends first, then those that only Python has.
+    out = F.regexp_replace(col(c), rf"(?m)^{filled}", pad)
+    return F.regexp_replace(out, rf"[\x0B\f\x1C-\x1E]{filled}", f"$0{pad}")
 
 
 def py_lines(c: Column | str) -> Column:
@@ -118,7 +119,7 @@ def drop_lines(c: Column | str, prefix_regex: str) -> Column:
 def report_lines(c: Column | str) -> Column:
     """Trim every line, remove its escape sequences, and put exactly one space after a leading check mark."""
     blank = JS_BLANK_CLASS
-    trimmed = F.regexp_replace(col(c), rf"(?md)^[{blank}]++|(?<![{blank}])[{blank}]++$", "")
+    trimmed = F.array_join(F.transform(F.split(col(c), "\n", -1), js_trim), "\n")
     clean = strip_ansi(trimmed, "js")
     return F.regexp_replace(clean, rf"(?md)^✓[{blank}]*+((?:.*[^{blank}\n])?)[{blank}]*$", "✓ $1")
 

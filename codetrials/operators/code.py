@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import JS_SPACE_CLASS, PY_SPACE_CLASS, PY_WORD_CLASS, js_trim, let
-from codetrials.operators.ordered import SPAN, sum_before
+from codetrials.operators.ordered import RUN_BITS, sum_before
 
 _JS = f"[{JS_SPACE_CLASS}]"
 _PY = f"[{PY_SPACE_CLASS}]"
 
 # The patterns that define the rewrites.
-JS_FUNCTION = rf"\A(?:async{_JS}+)?function{_JS}+([a-zA-Z_$][a-zA-Z0-9_$]*){_JS}*\("
+JS_FUNCTION = rf"\A(?:async{_JS}+)?function{_JS}+([a-zA-Z$][a-zA-Z0-9_$]*){_JS}*\("  # names with "_" first are private
 JS_EXPORTS = rf"module\.exports{_JS}*={_JS}*\{{[^}}]*\}};?{_JS}*\z"
 JS_REQUIRE = rf"{_JS}*={_JS}*require\(['\"]\./[^'\"]+['\"]\)"
 JS_IMPORT_NAMES = rf"const{_JS}*\{{([^}}]+)\}}{JS_REQUIRE}"
@@ -28,27 +28,36 @@ CPP_MAIN = r"[ \t]*int[ \t]+main[ \t]*\([^\n]*\)"
 # --- exported functions of JavaScript files ---------------------------------------------------------------------
 
 
+def _count(line: Column, mark: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(mark), F.lit("")))
+
+
 def brace_balance(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"\{")) - F.regexp_count(line, F.lit(r"\}"))
+    return _count(line, "{") - _count(line, "}")
 
 
 def public_function(line: Column) -> Column:
-    """Name of the function a line declares, NULL for other lines and for names that start with ``_``."""
-    name = F.regexp_extract(line, JS_FUNCTION, 1)
-    return F.when((name != "") & ~F.startswith(name, F.lit("_")), name)
+    """Name of the public function a line declares, empty for other lines."""
+    return F.regexp_extract(line, JS_FUNCTION, 1)
+
+
+def _matters(line: Column) -> Column:
+    """Cheap test that keeps every line with a brace or a function declaration."""
+    marks = [F.contains(line, F.lit(m)) for m in "{}"] + [F.startswith(line, F.lit(w)) for w in ("function", "async")]
+    return marks[0] | marks[1] | marks[2] | marks[3]
 
 
 def exported_names(content: Column) -> Column:
     """Names of the functions declared at brace depth 0, in order of appearance, as an array."""
 
     def step(acc: Column, line: Column) -> Column:
-        exported = (acc["depth"] == 0) & line["name"].isNotNull()
+        exported = (acc["depth"] == 0) & (line["name"] != "")
         return F.struct(
             (acc["depth"] + line["balance"]).alias("depth"),
             F.when(exported, F.concat(acc["names"], F.array(line["name"]))).otherwise(acc["names"]).alias("names"),
         )
 
-    lines = F.filter(F.split(content, "\n", -1), lambda s: s.rlike(r"[{}]|\Aasync|\Afunction"))
+    lines = F.filter(F.split(content, "\n", -1), _matters)
     parsed = F.transform(
         lines, lambda s: F.struct(brace_balance(s).alias("balance"), public_function(s).alias("name"))
     )
@@ -62,21 +71,21 @@ def exported_functions(impl_files: DataFrame) -> DataFrame:
 
 
 def exported_function_lines(
-    lines: DataFrame, keys: list[str], seq: str = "pos", line: str = "line", span: int = SPAN
+    lines: DataFrame, keys: list[str], seq: str = "pos", line: str = "line", bits: int = RUN_BITS
 ) -> DataFrame:
     """Export rule over a table of lines -> ``(*keys, seq, name)``.
 
     Lines that neither declare a function nor change the depth are dropped before the shuffle, and the line text
     itself is not shuffled at all.
     """
-    parsed = lines.select(
+    parsed = lines.where(_matters(F.col(line))).select(
         *keys,
         seq,
         brace_balance(F.col(line)).cast("bigint").alias("_balance"),
         public_function(F.col(line)).alias("name"),
-    ).where((F.col("_balance") != 0) | F.col("name").isNotNull())
-    depth = sum_before(parsed, keys, seq, "_balance", "_depth", span)
-    return depth.where((F.col("_depth") == 0) & F.col("name").isNotNull()).select(*keys, seq, "name")
+    )
+    depth = sum_before(parsed, keys, seq, "_balance", "_depth", bits)
+    return depth.where((F.col("_depth") == 0) & (F.col("name") != "")).select(*keys, seq, "name")
 
 
 def with_exports(content: Column, exports: Column) -> Column:
@@ -151,12 +160,20 @@ def java_target(test_files: DataFrame) -> DataFrame:
 
 def open_access(content: Column) -> Column:
     """Make private and protected members public."""
-    word = rf"(?<!{PY_WORD_CLASS})(?:private|protected)"
+    # The look-behind for a word start stands after the first letter, so it is tried at a "p" only.
+    word = rf"p(?<!{PY_WORD_CLASS}p)(?:rivate|rotected)"
     out = F.regexp_replace(content, rf"{word}{_PY}+static", "public static")
     out = F.regexp_replace(out, rf"{word}{_PY}+final{_PY}+static", "public static final")
     return F.regexp_replace(out, rf"{word}{_PY}+", "public ")
 
 
+def has_public_class(content: Column) -> Column:
+    """Whether :func:`open_access` leaves a public class, told from the text as it stands."""
+    return content.rlike(
+        rf"p(?:ublic |(?<!{PY_WORD_CLASS}p)(?:rivate|rotected){_PY}+)class {PY_WORD_CLASS}"
+    )
+
+
 def main_class(opened: Column) -> Column:
     """The first public class of a text that :func:`open_access` has been through; empty if there is none."""
     return F.regexp_extract(opened, rf"public class ({PY_WORD_CLASS}+)", 1)
@@ -164,7 +181,9 @@ def main_class(opened: Column) -> Column:
 
 def rename_class(content: Column, name: Column, target: Column) -> Column:
     """Rename a class, except after ``new `` unless a parenthesis follows."""
-    mention = F.concat(F.lit(rf"(?<!new )(?<!{PY_WORD_CLASS})"), name, F.lit(rf"(?!{PY_WORD_CLASS})"))
+    mention = F.concat(
+        name, F.lit("(?<!new "), name, F.lit(rf")(?<!{PY_WORD_CLASS}"), name, F.lit(rf")(?!{PY_WORD_CLASS})")
+    )
     out = F.regexp_replace(content, mention, target)
     return F.replace(
         out, F.concat(F.lit("new "), name, F.lit("(")), F.concat(F.lit("new "), target, F.lit("("))
@@ -198,8 +217,7 @@ def _exit_line(lines: Column, balanced: bool) -> Column:
 
     def step(acc: Column, line: Column) -> Column:
         if balanced:
-            opened = F.regexp_count(line, F.lit(r"\{"))
-            closed = F.regexp_count(line, F.lit(r"\}"))
+            opened, closed = _count(line, "{"), _count(line, "}")
             seen = acc["seen"] | (opened > 0)
             braces = acc["braces"] + opened - closed
             leaves = seen & (braces <= 0)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codetrials.functions.text import let
 from codetrials.schemas import JEST_REPORT
 
 VERSIONS = ("v1", "v2")
@@ -26,18 +27,19 @@ def _is_json(text: Column) -> Column:
 def parse_jest(df: DataFrame, json_col: str = "stdout") -> DataFrame:
     """Add ``parsed`` (BOOLEAN), ``passed``, ``total`` (NULL where absent) and ``suite`` (the first suite or NULL)."""
     text = F.coalesce(F.col(json_col), F.lit(""))
-    return (
-        df.withColumn("parsed", _is_json(text))
-        .withColumn("_report", F.from_json(F.when(F.col("parsed"), text), JEST_REPORT))
-        .withColumns(
-            {
-                "passed": F.col("_report.numPassedTests"),
-                "total": F.col("_report.numTotalTests"),
-                "suite": F.get(F.col("_report.testResults"), F.lit(0)),
-            }
-        )
-        .drop("_report")
+    read = let(
+        _is_json(text),
+        lambda ok: F.struct(ok.alias("parsed"), F.from_json(F.when(ok, text), JEST_REPORT).alias("_report")),
     )
+    # As the output of a generator the report is parsed once per row: a filter on one of its fields would otherwise
+    # be pushed below it together with a parse of its own.
+    return df.select("*", F.inline(F.array(read))).withColumns(
+        {
+            "passed": F.col("_report.numPassedTests"),
+            "total": F.col("_report.numTotalTests"),
+            "suite": F.get(F.col("_report.testResults"), F.lit(0)),
+        }
+    ).drop("_report")
 
 
 def classify_jest(parsed: DataFrame, version: str = "v2", json_col: str = "stdout") -> DataFrame:

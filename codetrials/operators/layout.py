@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import base_name
-from codetrials.operators.code import exported_names, import_head, main_class, open_access
+from codetrials.operators.code import exported_names, has_public_class, import_head
 
 
 def fan_out(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def validate_layout(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
     file_rules = F.array_compact(
         F.array(
             F.when(java & (F.regexp_count(content, F.lit("public class")) > 1), "many_public_classes"),
-            F.when(java & (main_class(open_access(content)) == ""), "no_public_class"),
+            F.when(java & (~has_public_class(content)), "no_public_class"),
             F.when(
                 (F.col("language") == "Python") & (base_name("path") == "solution.py"), "reserved_file_name"
             ),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import let, py_strip
-from codetrials.operators.ordered import SPAN, lag_within
+from codetrials.operators.ordered import RUN_BITS, lag_within
 from codetrials.schemas import TASK_FIELDS
 
 HEADER_MARK = "### "
@@ -19,9 +19,14 @@ PLACEHOLDER_MARK = "# Put"
 
 
 def header_field(source: Column) -> Column:
-    """The field a cell arms, NULL for any other cell."""
+    """Number (from 1) of the field a cell arms, NULL for any other cell."""
     name = py_strip(F.substring(source, len(HEADER_MARK) + 1, 2147483647))
-    return F.when(F.startswith(source, F.lit(HEADER_MARK)) & name.isin(TASK_FIELDS), name)
+    number = F.array_position(F.array(*[F.lit(f) for f in TASK_FIELDS]), name)
+    return F.when(F.startswith(source, F.lit(HEADER_MARK)) & (number > 0), number.cast("int"))
+
+
+def field_name(number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in TASK_FIELDS]), number)
 
 
 def is_step(cell_type: Column, source: Column) -> Column:
@@ -29,15 +34,15 @@ def is_step(cell_type: Column, source: Column) -> Column:
     return (cell_type == "markdown") & ~F.startswith(source, F.lit(PLACEHOLDER_MARK))
 
 
-def extract_fields(cells: DataFrame, span: int = SPAN) -> DataFrame:
+def extract_fields(cells: DataFrame, bits: int = RUN_BITS) -> DataFrame:
     """``notebook_cells(notebook, pos, cell_type, source)`` -> ``(notebook, field, value, pos)``."""
     steps = cells.where(is_step(F.col("cell_type"), F.col("source"))).select(
         "notebook", "pos", "source", header_field(F.col("source")).alias("_arms")
     )
     return (
-        lag_within(steps, ["notebook"], "pos", "_arms", "_armed", span)
+        lag_within(steps, ["notebook"], "pos", "_arms", "_armed", bits)
         .where(F.col("_arms").isNull() & F.col("_armed").isNotNull())
-        .select("notebook", F.col("_armed").alias("field"), F.col("source").alias("value"), "pos")
+        .select("notebook", field_name(F.col("_armed")).alias("field"), F.col("source").alias("value"), "pos")
     )
 
 
@@ -62,7 +67,7 @@ def extract_fields_nested(notebooks: DataFrame) -> DataFrame:
         lambda c: F.struct(c["pos"], c["source"], header_field(c["source"]).alias("arms")),
     )
     return notebooks.select("notebook", F.explode(let(steps, values)).alias("v")).select(
-        "notebook", "v.field", "v.value", "v.pos"
+        "notebook", field_name(F.col("v.field")).alias("field"), "v.value", "v.pos"
     )
 
 

@@ -1,9 +1,10 @@
 """Order-dependent operators that survive a key with very many rows.
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts a whole key into one task.  The functions here cut each key into
-runs of ``span`` consecutive sequence numbers, work inside the runs, and carry one row per run over to the next.  The
-heavy shuffle is on ``(key, run)``, so a run holds at most ``span`` rows however large its key is; only the one-row
-summaries are brought together per key.  ``seq`` must be an integer that is unique within its key.
+runs of ``2 ** bits`` consecutive sequence numbers, work inside the runs, and carry one row per run over to the next.
+The heavy shuffle is on ``(key, run)``, so a run holds a bounded number of rows however large its key is; only the
+one-row summaries, made before the shuffle, are brought together per key.  ``seq`` must be an integer that is unique
+within its key.
 """
 
 from __future__ import annotations
@@ -13,20 +14,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 1 << 17
+RUN_BITS = 17
 RUN = "_run"
 
 
-def with_run(df: DataFrame, seq: str, span: int = SPAN) -> DataFrame:
-    return df.withColumn(RUN, F.floor(F.col(seq) / F.lit(span)).cast("bigint"))
+def with_run(df: DataFrame, seq: str, bits: int = RUN_BITS) -> DataFrame:
+    return df.withColumn(RUN, F.shiftright(F.col(seq).cast("bigint"), bits))
 
 
 def lag_within(
-    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, span: int = SPAN
+    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int = RUN_BITS
 ) -> DataFrame:
-    """Add ``out``: ``value`` of the previous row of the same key in ``seq`` order (NULL for the first)."""
+    """Add ``out``: ``value`` of the previous row of the same key in ``seq`` order (NULL for the first).
+
+    A numeric ``value`` keeps the summaries in hash aggregation; text would make them sort.
+    """
     keys = list(keys)
-    runs = with_run(df, seq, span)
+    runs = with_run(df, seq, bits)
     carry = (
         runs.groupBy(*keys, RUN)
         .agg(F.max_by(value, seq).alias("_last"))
@@ -46,11 +50,11 @@ def lag_within(
 
 
 def sum_before(
-    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, span: int = SPAN
+    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int = RUN_BITS
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all earlier rows of the same key (0 for the first)."""
     keys = list(keys)
-    runs = with_run(df, seq, span)
+    runs = with_run(df, seq, bits)
     earlier = Window.partitionBy(*keys).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         runs.groupBy(*keys, RUN)

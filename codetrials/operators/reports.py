@@ -74,7 +74,7 @@ def _suite_lines(ok: Column, passed: Column, total: Column) -> list[Column]:
 
 
 def jest_report(classified: DataFrame, stamp: Column, name: str = "impl") -> DataFrame:
-    """Add ``report``: the Markdown report of a run (NULL without a suite); ``stamp`` is the time to show."""
+    """Runs with a suite plus ``report``, their Markdown report; ``stamp`` is the time to show."""
     passed, total = F.col("passed"), F.col("total")
     suites, tests = _suite_lines(passed == total, passed, total)
     log = _lines(
@@ -91,17 +91,17 @@ def jest_report(classified: DataFrame, stamp: Column, name: str = "impl") -> Dat
     text = F.concat(
         F.lit("Test Run: "), stamp, F.lit("\n\n"), report_lines(F.array_join(log, "\n")), F.lit("\n\n")
     )
-    return classified.withColumn("report", F.when(F.col("suite").isNotNull(), text))
+    return classified.where(F.col("suite").isNotNull()).withColumn("report", text)
 
 
 def jest_console(classified: DataFrame) -> DataFrame:
-    """Add ``console``: what the first runner version shows for a run with a readable suite."""
+    """Runs with a suite plus ``console``, what the first runner version shows for them."""
     passed, total = F.col("passed"), F.col("total")
     suites, tests = _suite_lines(F.col("suite.status") == "passed", passed, total)
     lines = _lines(
         case_lines(F.col("suite.assertionResults"), "v1"), _one(F.concat(F.lit("\n"), suites)), _one(tests)
     )
-    return classified.withColumn("console", F.when(F.col("suite").isNotNull(), F.array_join(lines, "\n")))
+    return classified.where(F.col("suite").isNotNull()).withColumn("console", F.array_join(lines, "\n"))
 
 
 def jest_summary_lines(summary: DataFrame, keys: Sequence[str] = ("task_id",), name: str = "impl") -> DataFrame:

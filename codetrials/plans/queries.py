@@ -360,13 +360,12 @@ def case_results(spark: SparkSession, d: str) -> DataFrame:
 @query("report_text")
 def report_text(spark: SparkSession, d: str) -> DataFrame:
     reported = reports.jest_report(_classified(spark, d, "v2"), F.lit("1970-01-01T00:00:00.000Z"))
-    return reported.where(F.col("report").isNotNull()).select("run_id", "report")
+    return reported.select("run_id", "report")
 
 
 @query("jest_console")
 def jest_console(spark: SparkSession, d: str) -> DataFrame:
-    shown = reports.jest_console(_classified(spark, d, "v1"))
-    return shown.where(F.col("console").isNotNull()).select("run_id", "console")
+    return reports.jest_console(_classified(spark, d, "v1")).select("run_id", "console")
 
 
 @query("jest_summary_lines")
