@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codetrials.functions.text import ratio_pct
+from codetrials.functions.text import base_name, ratio_pct
 from codetrials.operators.ordered import RUN_BITS, lag_within, newest
 from codetrials.schemas import COHORTS
 
@@ -31,7 +31,7 @@ def is_letter_file(name: Column) -> Column:
 
 def letter_files(results: DataFrame, name: str = "file_name") -> DataFrame:
     """Results of files named with a single letter."""
-    return results.where(is_letter_file(F.col(name)))
+    return results.where(is_letter_file(base_name(name)))
 
 
 def cohort_of(name: Column, cohorts: Cohorts = COHORTS) -> Column:
@@ -47,7 +47,7 @@ def cohort_of(name: Column, cohorts: Cohorts = COHORTS) -> Column:
 
 
 def assign_cohort(results: DataFrame, name: str = "file_name", cohorts: Cohorts = COHORTS) -> DataFrame:
-    return results.withColumn("cohort", cohort_of(F.col(name), cohorts))
+    return results.withColumn("cohort", cohort_of(base_name(name), cohorts))
 
 
 def cohort_stats(results: DataFrame, name: str = "file_name", cohorts: Cohorts = COHORTS) -> DataFrame:

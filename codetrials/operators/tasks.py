@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,9 @@ def _literal_list_udf():  # type: ignore[no-untyped-def]
             return None
 
     def parse_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(parse)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # odd escapes are legal, and there may be very many of them
+            return texts.map(parse)
 
     return F.pandas_udf(parse_batch, T.ArrayType(T.StringType()))
 
