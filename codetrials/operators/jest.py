@@ -11,6 +11,8 @@ from codetrials.functions.text import let
 from codetrials.schemas import JEST_REPORT
 
 VERSIONS = ("v1", "v2")
+# Verdicts on a run.
+STATUSES = ("PASSED", "FAILED", "ERROR")
 
 
 def _is_json(text: Column) -> Column:
@@ -81,9 +83,19 @@ def classify_jest(parsed: DataFrame, version: str = "v2", json_col: str = "stdou
 def test_summary(
     classified: DataFrame, keys: Sequence[str] = ("task_id", "impl"), order: str = "run_id"
 ) -> DataFrame:
-    """``(*keys, passed, total, status)``: the last run of each implementation."""
-    last = F.max_by(F.struct("passed", "total", "status"), order)
-    return classified.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+    """``(*keys, passed, total, status)``: the last run of each implementation.
+
+    The status travels as its number, so that the aggregation hashes instead of sorting.
+    """
+    known = F.array(*[F.lit(s) for s in STATUSES])
+    last = [
+        F.max_by("passed", order).alias("passed"),
+        F.max_by("total", order).alias("total"),
+        F.max_by(F.array_position(known, F.col("status")), order).cast("int").alias("_status"),
+    ]
+    return classified.groupBy(*keys).agg(*last).select(
+        *keys, "passed", "total", F.element_at(known, F.col("_status")).alias("status")
+    )
 
 
 def case_results(parsed: DataFrame, keys: Sequence[str] = ("task_id", "impl")) -> DataFrame:

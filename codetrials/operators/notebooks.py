@@ -46,12 +46,11 @@ def extract_fields(cells: DataFrame, bits: int = RUN_BITS) -> DataFrame:
     )
 
 
-def extract_fields_nested(notebooks: DataFrame) -> DataFrame:
-    """The same for whole notebooks, ``(notebook, cells ARRAY<STRUCT<pos, cell_type, source>>)``: one row holds all
-    its cells, so nothing is shuffled."""
+def _values(cells: Column) -> Column:
+    """The filled fields of one notebook as ``ARRAY<STRUCT<field INT, value, pos, arms INT>>``, in cell order."""
 
-    def values(steps: Column) -> Column:
-        pairs = F.transform(
+    def pairs(steps: Column) -> Column:
+        looked_back = F.transform(
             steps,
             lambda cell, i: F.struct(
                 F.get(steps, i - 1)["arms"].alias("field"),
@@ -60,17 +59,37 @@ def extract_fields_nested(notebooks: DataFrame) -> DataFrame:
                 cell["arms"].alias("arms"),
             ),
         )
-        return F.filter(pairs, lambda p: p["arms"].isNull() & p["field"].isNotNull())
+        return F.filter(looked_back, lambda p: p["arms"].isNull() & p["field"].isNotNull())
 
     steps = F.transform(
-        F.filter("cells", lambda c: is_step(c["cell_type"], c["source"])),
+        F.filter(cells, lambda c: is_step(c["cell_type"], c["source"])),
         lambda c: F.struct(c["pos"], c["source"], header_field(c["source"]).alias("arms")),
     )
-    return notebooks.select("notebook", F.explode(let(steps, values)).alias("v")).select(
+    return let(steps, pairs)
+
+
+def extract_fields_nested(notebooks: DataFrame) -> DataFrame:
+    """The same for whole notebooks, ``(notebook, cells ARRAY<STRUCT<pos, cell_type, source>>)``: one row holds all
+    its cells, so nothing is shuffled."""
+    return notebooks.select("notebook", F.explode(_values(F.col("cells"))).alias("v")).select(
         "notebook", field_name(F.col("v.field")).alias("field"), "v.value", "v.pos"
     )
 
 
+def records_nested(notebooks: DataFrame) -> DataFrame:
+    """One record per whole notebook that has any filled field, also without a shuffle."""
+
+    def last_value(values: Column, number: int) -> Column:
+        return F.try_element_at(F.filter(values, lambda v: v["field"] == number), F.lit(-1))["value"]
+
+    def record(values: Column) -> Column:
+        last = [last_value(values, number).alias(name) for number, name in enumerate(TASK_FIELDS, 1)]
+        return F.when(F.size(values) > 0, F.struct(*last))
+
+    filled = F.array_compact(F.array(let(_values(F.col("cells")), record)))
+    return notebooks.select("notebook", F.inline(filled))
+
+
 def pivot_fields(fields: DataFrame) -> DataFrame:
     """``(notebook, field, value, pos)`` -> one record per notebook; a repeated field keeps its last value.
 

@@ -11,8 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codetrials.functions.text import base_name, file_stem, pad_end, pct2, report_lines, status_icon, strip_ansi
-from codetrials.operators.summary import Cohorts, cohort_stats, status_counts
+from codetrials.functions.text import (
+    base_name,
+    file_stem,
+    pad_end,
+    pct2,
+    ratio_pct,
+    report_lines,
+    status_icon,
+    strip_ansi,
+)
+from codetrials.operators.summary import Cohorts, summary_figures
 from codetrials.schemas import COHORTS
 
 # Marks, colours and rulers of the report texts.
@@ -164,57 +173,48 @@ def summary_lines(
     stamp: Column | None = None,
 ) -> DataFrame:
     """``(section, seq, line)`` of the summary over all results: overall counts, one block per cohort, one line per
-    file (``seq``, a BIGINT column, orders the files)."""
+    file (``seq``, a BIGINT column, orders the files).
+
+    The results are read twice: once for the detail lines, once for all the figures above them.
+    """
     file = base_name(name)
-    head = results.sparkSession.range(1)
-    title = ["Test Execution Summary", "=" * 21, ""]
+    title: list[Column | str] = ["Test Execution Summary", "=" * 21, ""]
     if stamp is not None:
         title += [F.concat(F.lit("Timestamp: "), stamp), ""]
-    out = _section(head, 0, *title)
-    out = out.unionByName(
-        _section(
-            status_counts(results), 1,
-            "Overall Results (All Files):", "-" * 27,
-            _labelled("Total files tested: ", F.col("total")),
-            _labelled("Passed: ", F.col("passed")),
-            _labelled("Failed: ", F.col("failed")),
-            _labelled("Failed to Run: ", F.col("failed_to_run")),
-            "",
-        )
-    )
-    out = out.unionByName(
-        _section(head, 2, "Model Comparison Statistics (Letter Files Only):", "-" * 44, "")
-    )
-    number = F.lit(None).cast("bigint")
-    heading = F.lit(None).cast("string")
+    overall = [
+        "Overall Results (All Files):", "-" * 27,
+        _labelled("Total files tested: ", F.col("total")),
+        _labelled("Passed: ", F.col("passed")),
+        _labelled("Failed: ", F.col("failed")),
+        _labelled("Failed to Run: ", F.col("failed_to_run")),
+        "",
+    ]
+    sections = [title, overall, ["Model Comparison Statistics (Letter Files Only):", "-" * 44, ""]]
+    blocks: list[Column | str] = []
     for i, (cohort, low, high) in enumerate(cohorts):
-        number = F.when(F.col("cohort") == cohort, F.lit(i)).otherwise(number)
-        heading = F.when(
-            F.col("cohort") == cohort, f"{cohort.capitalize()} Model Tests ({low}-{high}):"
-        ).otherwise(heading)
-    stats = cohort_stats(results, name, cohorts)
-    block = _lines(
-        _one(heading),
-        "-" * 24,
-        _one(_labelled("Total tests: ", F.col("total"))),
-        _one(_labelled("Passed: ", F.col("passed"))),
-        _one(_labelled("Failed/Failed to Run: ", F.col("failed"))),
-        _one(F.concat(F.lit("Pass Rate: "), pct2("pass_pct"))),
-        *([""] if style == "text" else []),
-    )
-    blocks = stats.select(number.alias("_n"), F.posexplode(block).alias("at", "line")).select(
-        F.lit(3).alias("section"), (F.col("_n") * 100 + F.col("at")).alias("seq"), "line"
-    )
+        block = F.col("cohorts")[i]
+        blocks += [
+            f"{cohort.capitalize()} Model Tests ({low}-{high}):", "-" * 24,
+            _labelled("Total tests: ", block["total"]),
+            _labelled("Passed: ", block["passed"]),
+            _labelled("Failed/Failed to Run: ", block["failed"]),
+            F.concat(F.lit("Pass Rate: "), pct2(ratio_pct(block["passed"], block["total"]))),
+        ]
+        if style == "text":
+            blocks.append("")
+    sections += [blocks, ["Detailed Results:", "-" * 16]]
+    lines = [
+        F.struct(F.lit(section).alias("section"), F.lit(at).cast("bigint").alias("seq"), F.lit(line).alias("line"))
+        for section, content in enumerate(sections)
+        for at, line in enumerate(content)
+    ]
+    heads = summary_figures(results, name, cohorts).select(F.inline(F.array(*lines)))
     details = results.select(
-        F.lit(5).alias("section"),
+        F.lit(len(sections)).alias("section"),
         F.col(seq).cast("bigint").alias("seq"),
         F.concat(status_icon("status", style), F.lit(" "), file, F.lit(": "), F.col("status")).alias("line"),
     )
-    return (
-        out.unionByName(blocks)
-        .unionByName(_section(head, 4, "Detailed Results:", "-" * 16))
-        .unionByName(details)
-    )
+    return heads.unionByName(details)
 
 
 def coverage_lines(overall: DataFrame, stamp: Column | None = None) -> DataFrame:

@@ -50,32 +50,48 @@ def assign_cohort(results: DataFrame, name: str = "file_name", cohorts: Cohorts
     return results.withColumn("cohort", cohort_of(base_name(name), cohorts))
 
 
-def cohort_stats(results: DataFrame, name: str = "file_name", cohorts: Cohorts = COHORTS) -> DataFrame:
-    """``(cohort, total, passed, failed, pass_pct, fail_pct)``, a row of zeros for an empty cohort.
+def summary_figures(results: DataFrame, name: str = "file_name", cohorts: Cohorts = COHORTS) -> DataFrame:
+    """One row: ``total, passed, failed, failed_to_run`` and ``cohorts ARRAY<STRUCT<cohort, total, passed, failed>>``.
 
-    The results are counted first; only one row per cohort meets the cohort list.
+    All figures come from one pass.  The cohorts are parameters, so they are columns of a global aggregate: an empty
+    one is there with its zeros, and every task sends a single row.
     """
-    counts = (
-        assign_cohort(results.select(name, "status"), name, cohorts)
-        .where(F.col("cohort").isNotNull())
-        .groupBy("cohort")
-        .agg(
-            F.count(F.lit(1)).alias("_total"),
-            F.count_if(F.col("status") == "PASSED").alias("_passed"),
-            F.count_if(F.col("status").isin("FAILED", "FAILED_TO_RUN")).alias("_failed"),
+    status = F.col("status")
+    bad = status.isin("FAILED", "FAILED_TO_RUN")
+    named = results.select(cohort_of(base_name(name), cohorts).alias("cohort"), "status")
+    counts = [
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(status == s.upper()).alias(s) for s in ("passed", "failed", "failed_to_run")],
+    ]
+    for i, (cohort, _, _) in enumerate(cohorts):
+        inside = F.col("cohort") == cohort
+        counts += [
+            F.count_if(inside).alias(f"_total_{i}"),
+            F.count_if(inside & (status == "PASSED")).alias(f"_passed_{i}"),
+            F.count_if(inside & bad).alias(f"_failed_{i}"),
+        ]
+    per_cohort = [
+        F.struct(
+            F.lit(cohort).alias("cohort"),
+            *[F.col(f"_{figure}_{i}").alias(figure) for figure in ("total", "passed", "failed")],
         )
+        for i, (cohort, _, _) in enumerate(cohorts)
+    ]
+    return named.agg(*counts).select(
+        "total", "passed", "failed", "failed_to_run", F.array(*per_cohort).alias("cohorts")
     )
-    names = results.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(name) for name, _, _ in cohorts])).alias("cohort")
-    )
-    total, passed, failed = (F.coalesce(F.col(c), F.lit(0)) for c in ("_total", "_passed", "_failed"))
-    return names.join(counts, "cohort", "left").select(
-        "cohort",
-        total.alias("total"),
-        passed.alias("passed"),
-        failed.alias("failed"),
-        ratio_pct(passed, total).alias("pass_pct"),
-        ratio_pct(failed, total).alias("fail_pct"),
+
+
+def cohort_stats(results: DataFrame, name: str = "file_name", cohorts: Cohorts = COHORTS) -> DataFrame:
+    """``(cohort, total, passed, failed, pass_pct, fail_pct)``, a row of zeros for an empty cohort."""
+    return (
+        summary_figures(results, name, cohorts)
+        .select(F.inline("cohorts"))
+        .select(
+            "*",
+            ratio_pct("passed", "total").alias("pass_pct"),
+            ratio_pct("failed", "total").alias("fail_pct"),
+        )
     )
 
 

@@ -12,9 +12,8 @@ from codetrials.schemas import COHORTS
 
 
 def records_of_notebooks(books: DataFrame) -> DataFrame:
-    """Read notebooks -> one task record per notebook.  Extraction is row-local; the only shuffle is the pivot."""
-    good = books.where(F.col("reject_reason").isNull())
-    return notebooks.pivot_fields(notebooks.extract_fields_nested(good))
+    """Read notebooks -> one task record per notebook, all inside the notebook's own row."""
+    return notebooks.records_nested(books.where(F.col("reject_reason").isNull()))
 
 
 def judged_runs(runs: DataFrame, languages: DataFrame, keys: Sequence[str], order: str = "run_id") -> DataFrame:

@@ -291,6 +291,14 @@ oracle(
     "p_cells",
     "select notebook, field, value, cast(pos as int) as pos from (" + field_steps("p_cells") + ")",
 )
+view("p_fields", field_steps("p_cells"))
+oracle(
+    "notebook_records_nested",
+    "p_cells p_fields",
+    "select notebook, "
+    + ", ".join(f"max_by(value, pos) filter (where field = '{f}') as {f}" for f in TASK_FIELDS)
+    + " from p_fields group by notebook",
+)
 oracle(
     "notebook_quarantine",
     "",
@@ -795,12 +803,12 @@ _SUMMARY += [
 for _i, (_cohort, _title) in enumerate((("first", "First Model Tests (A-E):"), ("second", "Second Model Tests (F-J):"))):
     _from = f"from cohorts where cohort = '{_cohort}'"
     _SUMMARY += [
-        (3, _i * 100, f"'{_title}'"),
-        (3, _i * 100 + 1, "repeat('-', 24)"),
-        (3, _i * 100 + 2, f"(select 'Total tests: ' || total {_from})"),
-        (3, _i * 100 + 3, f"(select 'Passed: ' || passed {_from})"),
-        (3, _i * 100 + 4, f"(select 'Failed/Failed to Run: ' || failed {_from})"),
-        (3, _i * 100 + 5, f"(select 'Pass Rate: ' || printf('%.2f%%', {pct('passed', 'total')}) {_from})"),
+        (3, _i * 6, f"'{_title}'"),
+        (3, _i * 6 + 1, "repeat('-', 24)"),
+        (3, _i * 6 + 2, f"(select 'Total tests: ' || total {_from})"),
+        (3, _i * 6 + 3, f"(select 'Passed: ' || passed {_from})"),
+        (3, _i * 6 + 4, f"(select 'Failed/Failed to Run: ' || failed {_from})"),
+        (3, _i * 6 + 5, f"(select 'Pass Rate: ' || printf('%.2f%%', {pct('passed', 'total')}) {_from})"),
     ]
 oracle(
     "summary_lines",

@@ -54,6 +54,11 @@ def notebook_fields_nested(spark: SparkSession, d: str) -> DataFrame:
     return notebooks.extract_fields_nested(_packed(spark, d))
 
 
+@query("notebook_records_nested")
+def notebook_records_nested(spark: SparkSession, d: str) -> DataFrame:
+    return flows.records_of_notebooks(_packed(spark, d))
+
+
 @query("notebook_quarantine")
 def notebook_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).where(F.col("reject_reason").isNotNull()).select("notebook", "reject_reason")

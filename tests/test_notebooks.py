@@ -84,6 +84,9 @@ def test_nested_form_agrees(spark):
     got = notebooks.extract_fields_nested(nested)
     assert sorted(tuple(r) for r in got.collect()) == want
     assert "Exchange" not in plan(got)
+    records = notebooks.records_nested(nested)
+    assert "Exchange" not in plan(records)
+    assert rows(records) == rows(notebooks.pivot_fields(notebooks.extract_fields_nested(nested)))
 
 
 def test_repeated_field_keeps_last(spark):

@@ -58,7 +58,7 @@ def test_plans_have_no_cross_join_and_no_broadcast_hint(spark, name):
 
 @pytest.mark.parametrize(
     "name",
-    ["notebook_fields_nested", "notebook_scan", "exported_functions_text", "add_exports", "remove_main", "text_dedent",
+    ["notebook_fields_nested", "notebook_records_nested", "notebook_scan", "exported_functions_text", "add_exports", "remove_main", "text_dedent",
      "verdict_interpreted", "verdict_gradle", "assign_cohort", "case_results", "report_text", "report_lines", "impl_scan_java"],
 )
 def test_row_local_operators_do_not_shuffle(spark, name):
