@@ -19,11 +19,11 @@ def _is_json(text: Column) -> Column:
     """The whole text is one JSON value.
 
     The JVM parser stops after the first value and ignores what follows; putting the text into an array and into an
-    object leaves no text that passes both and is not a single value.
+    object leaves no text that passes both and is not a single value.  Both functions only walk over the tokens.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return in_array.isNotNull() & in_object.isNotNull()
+    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce(in_array == 1, F.lit(False)) & in_object.isNotNull()
 
 
 def parse_jest(df: DataFrame, json_col: str = "stdout") -> DataFrame:
@@ -44,8 +44,8 @@ def parse_jest(df: DataFrame, json_col: str = "stdout") -> DataFrame:
     ).drop("_report")
 
 
-def classify_jest(parsed: DataFrame, version: str = "v2", json_col: str = "stdout") -> DataFrame:
-    """Add ``status`` and settle ``passed`` and ``total``; needs the columns of :func:`parse_jest`.
+def jest_verdict(version: str = "v2", json_col: str = "stdout") -> Column:
+    """``STRUCT<passed, total, status>`` from ``returncode`` and the columns of :func:`parse_jest`.
 
     v2 looks at the report alone: no suite is an ERROR, and 0 of 0 tests counts as PASSED.  v1 looks at
     ``returncode`` first: a clean exit with a readable suite compares the counts; a failed exit with a readable (or
@@ -62,24 +62,28 @@ def classify_jest(parsed: DataFrame, version: str = "v2", json_col: str = "stdou
     else:
         clean = F.coalesce(F.col("returncode") == 0, F.lit(False))
         readable = has_suite & F.col("suite.assertionResults").isNotNull()
-        text = F.trim(F.coalesce(F.col(json_col), F.lit("")))
+        text = F.coalesce(F.col(json_col), F.lit(""))
         # An empty output stands for an empty report; a bare null cannot be read as one.
-        report = (F.col("parsed") & (text != "null")) | (F.coalesce(F.col(json_col), F.lit("")) == "")
+        report = (F.col("parsed") & (F.trim(text) != "null")) | (text == "")
         status = (
             F.when(clean & readable & F.col("passed").eqNullSafe(F.col("total")), "PASSED")
             .when(clean | report, "FAILED")
             .otherwise("ERROR")
         )
         counted = F.when(clean, readable).otherwise(report)
-    return parsed.withColumns(
-        {
-            "status": status,
-            "passed": F.when(counted, passed).otherwise(zero),
-            "total": F.when(counted, total).otherwise(zero),
-        }
+    return F.struct(
+        F.when(counted, passed).otherwise(zero).alias("passed"),
+        F.when(counted, total).otherwise(zero).alias("total"),
+        status.alias("status"),
     )
 
 
+def classify_jest(parsed: DataFrame, version: str = "v2", json_col: str = "stdout") -> DataFrame:
+    """``parsed`` with ``status`` added and ``passed`` and ``total`` settled by :func:`jest_verdict`."""
+    verdict = jest_verdict(version, json_col)
+    return parsed.withColumns({name: verdict[name] for name in ("passed", "total", "status")})
+
+
 def test_summary(
     classified: DataFrame, keys: Sequence[str] = ("task_id", "impl"), order: str = "run_id"
 ) -> DataFrame:

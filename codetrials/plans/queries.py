@@ -343,13 +343,10 @@ def _classified(spark: SparkSession, d: str, version: str) -> DataFrame:
 
 @query("verdict_jest")
 def verdict_jest(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        _classified(spark, d, version).select(
-            "run_id", "passed", "total", "status", F.lit(version).alias("version")
-        )
-        for version in jest.VERSIONS
-    ]
-    return tasks.union_languages(*parts)
+    """Both versions' verdicts out of one parse."""
+    verdict_of = [F.struct(jest.jest_verdict(v).alias("verdict"), F.lit(v).alias("version")) for v in jest.VERSIONS]
+    both = jest.parse_jest(derived.jest(spark, d)).select("run_id", F.inline(F.array(*verdict_of)))
+    return both.select("run_id", "verdict.*", "version")
 
 
 @query("test_summary")
