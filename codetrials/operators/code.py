@@ -71,7 +71,7 @@ def exported_functions(impl_files: DataFrame) -> DataFrame:
 
 
 def exported_function_lines(
-    lines: DataFrame, keys: list[str], seq: str = "pos", line: str = "line", bits: int = RUN_BITS
+    lines: DataFrame, keys: list[str], seq: str = "pos", line: str = "line", bits: int | None = RUN_BITS
 ) -> DataFrame:
     """Export rule over a table of lines -> ``(*keys, seq, name)``.
 
@@ -222,9 +222,10 @@ def _exit_line(lines: Column, balanced: bool) -> Column:
             braces = acc["braces"] + opened - closed
             leaves = seen & (braces <= 0)
         else:
-            closing = line.rlike(r"\A[ \t]*\}")
+            start = F.ltrim(line, F.lit(" \t"))
+            closing = F.startswith(start, F.lit("}"))
             seen = acc["seen"]
-            braces = acc["braces"] + F.when(line.rlike(r"\A[ \t]*\{"), 1).when(closing, -1).otherwise(0)
+            braces = acc["braces"] + F.when(F.startswith(start, F.lit("{")), 1).when(closing, -1).otherwise(0)
             leaves = closing & (braces == 0)
         return F.struct(
             (acc["at"] + 1).alias("at"),

@@ -34,7 +34,7 @@ def is_step(cell_type: Column, source: Column) -> Column:
     return (cell_type == "markdown") & ~F.startswith(source, F.lit(PLACEHOLDER_MARK))
 
 
-def extract_fields(cells: DataFrame, bits: int = RUN_BITS) -> DataFrame:
+def extract_fields(cells: DataFrame, bits: int | None = RUN_BITS) -> DataFrame:
     """``notebook_cells(notebook, pos, cell_type, source)`` -> ``(notebook, field, value, pos)``."""
     steps = cells.where(is_step(F.col("cell_type"), F.col("source"))).select(
         "notebook", "pos", "source", header_field(F.col("source")).alias("_arms")

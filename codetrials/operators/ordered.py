@@ -5,6 +5,9 @@ runs of ``2 ** bits`` consecutive sequence numbers, work inside the runs, and ca
 The heavy shuffle is on ``(key, run)``, so a run holds a bounded number of rows however large its key is; only the
 one-row summaries, made before the shuffle, are brought together per key.  ``seq`` must be an integer that is unique
 within its key.
+
+The summaries take a second read of the input.  Where no key can be large, ``bits=None`` does without: the same result
+from one plain window.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ def with_run(df: DataFrame, seq: str, bits: int = RUN_BITS) -> DataFrame:
 
 
 def lag_within(
-    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int = RUN_BITS
+    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int | None = RUN_BITS
 ) -> DataFrame:
     """Add ``out``: ``value`` of the previous row of the same key in ``seq`` order (NULL for the first).
 
     A numeric ``value`` keeps the summaries in hash aggregation; text would make them sort.
     """
     keys = list(keys)
+    if bits is None:
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(seq)))
     runs = with_run(df, seq, bits)
     carry = (
         runs.groupBy(*keys, RUN)
@@ -50,12 +55,17 @@ def lag_within(
 
 
 def sum_before(
-    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int = RUN_BITS
+    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int | None = RUN_BITS
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all earlier rows of the same key (0 for the first)."""
     keys = list(keys)
+    zero = F.lit(0).cast("bigint")
+    before = Window.unboundedPreceding, -1
+    if bits is None:
+        whole = Window.partitionBy(*keys).orderBy(seq).rowsBetween(*before)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(whole), zero))
     runs = with_run(df, seq, bits)
-    earlier = Window.partitionBy(*keys).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(RUN).rowsBetween(*before)
     offsets = (
         runs.groupBy(*keys, RUN)
         .agg(F.sum(value).alias("_total"))
@@ -63,10 +73,7 @@ def sum_before(
         .where(F.coalesce(F.col("_offset"), F.lit(0)) != 0)
         .select(*keys, RUN, "_offset")
     )
-    inside = (
-        Window.partitionBy(*keys, RUN).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    zero = F.lit(0).cast("bigint")
+    inside = Window.partitionBy(*keys, RUN).orderBy(seq).rowsBetween(*before)
     local = runs.withColumn("_inside", F.coalesce(F.sum(value).over(inside), zero))
     return (
         local.join(offsets, [*keys, RUN], "left")

@@ -115,24 +115,23 @@ def jest_console(classified: DataFrame) -> DataFrame:
 
 def jest_summary_lines(summary: DataFrame, keys: Sequence[str] = ("task_id",), name: str = "impl") -> DataFrame:
     """``(*keys, section, seq, line)``: title lines per task, then one line per implementation (``seq`` is its
-    name)."""
-    title = summary.select(*keys).distinct()
-    heads = title.select(
-        *keys,
-        F.lit(0).alias("section"),
-        F.posexplode(
-            F.array(F.concat(F.lit("Test Summary for "), F.col(keys[0]).cast("string")), F.lit(TITLE_RULE), F.lit(""))
-        ).alias("at", "line"),
-    ).select(*keys, "section", F.col("at").cast("string").alias("seq"), "line")
-    rows = summary.select(
-        *keys,
-        F.lit(1).alias("section"),
-        F.col(name).alias("seq"),
-        F.concat(
-            pad_end(name, 20), F.lit(": "), "passed", F.lit("/"), "total", F.lit(" tests ["), "status", F.lit("]")
-        ).alias("line"),
+    name).
+
+    Every row brings its task's title along and the copies are dropped, first within each task of the job: that reads
+    the summary once, where a separate list of tasks would compute it twice.
+    """
+    title = F.concat(F.lit("Test Summary for "), F.col(keys[0]).cast("string"))
+    row = F.concat(
+        pad_end(name, 20), F.lit(": "), "passed", F.lit("/"), "total", F.lit(" tests ["), "status", F.lit("]")
+    )
+    entries = [(0, F.lit("0"), title), (0, F.lit("1"), F.lit(TITLE_RULE)), (0, F.lit("2"), F.lit("")), (1, F.col(name), row)]
+    lines = F.array(
+        *[
+            F.struct(F.lit(section).alias("section"), seq.alias("seq"), line.alias("line"))
+            for section, seq, line in entries
+        ]
     )
-    return heads.unionByName(rows)
+    return summary.select(*keys, F.inline(lines)).distinct()
 
 
 # --- Java reports -----------------------------------------------------------------------------------------------

@@ -101,7 +101,7 @@ def last_writer_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
 
 
 def log_history(
-    logs: DataFrame, keys: Sequence[str], seq: str, status: str = "status", bits: int = RUN_BITS
+    logs: DataFrame, keys: Sequence[str], seq: str, status: str = "status", bits: int | None = RUN_BITS
 ) -> DataFrame:
     """Every log entry with the status of the entry before it and whether it changed."""
     past = lag_within(logs, keys, seq, status, "previous_status", bits)

@@ -48,9 +48,9 @@ def test_exports_golden(spark):
     assert code.exported_functions(impls(spark, GOLDEN_JS)).first().exports == ["a", "b", "e"]
 
 
-@pytest.mark.parametrize("bits", [0, 2, 17])
+@pytest.mark.parametrize("bits", [0, 2, 17, None])
 def test_exports_of_texts_and_of_lines_agree_with_the_rule(spark, bits):
-    texts = random_js(60, bits)
+    texts = random_js(60, bits or 0)
     want = [js_exports(t) for t in texts]
     got = code.exported_functions(impls(spark, *texts))
     assert [r.exports for r in sorted(got.collect(), key=lambda r: int(r.task_id[1:]))] == want

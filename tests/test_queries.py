@@ -128,3 +128,11 @@ def test_derived_tables_follow_their_source(spark):
     events = derived.table(spark, SMALL, "events").count()
     assert derived.runs(spark, SMALL).count() == 2 * events
     assert derived.jest(spark, SMALL).count() == events
+
+
+def test_scratch_tables_go_to_the_shared_folder(spark):
+    from codetrials.plans.scratch import scratch_path
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first.startswith(f"{shared}/") and first != second

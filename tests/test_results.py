@@ -115,9 +115,9 @@ def test_python_report(spark):
     )
 
 
-@pytest.mark.parametrize("bits", [0, 2, 17])
+@pytest.mark.parametrize("bits", [0, 2, 17, None])
 def test_lag_and_prefix_sum(spark, bits):
-    rng = random.Random(bits)
+    rng = random.Random(bits or 0)
     data = [
         (k, seq, rng.choice([None, -3, 0, 5])) for k in range(5) for seq in rng.sample(range(-50, 400), rng.randint(1, 60))
     ]
