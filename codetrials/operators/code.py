@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import JS_SPACE_CLASS, PY_SPACE_CLASS, PY_WORD_CLASS, js_trim, let
-from codetrials.operators.ordered import RUN_BITS, sum_before
+from codetrials.operators.ordered import SLIM_BITS, sum_before
 
 _JS = f"[{JS_SPACE_CLASS}]"
 _PY = f"[{PY_SPACE_CLASS}]"
@@ -71,7 +71,7 @@ def exported_functions(impl_files: DataFrame) -> DataFrame:
 
 
 def exported_function_lines(
-    lines: DataFrame, keys: list[str], seq: str = "pos", line: str = "line", bits: int | None = RUN_BITS
+    lines: DataFrame, keys: list[str], seq: str = "pos", line: str = "line", bits: int | None = SLIM_BITS
 ) -> DataFrame:
     """Export rule over a table of lines -> ``(*keys, seq, name)``.
 

@@ -21,7 +21,7 @@ def app_classes(jacoco: DataFrame, column: str = "class") -> DataFrame:
     ``column="package"`` to test that one."""
     out = jacoco
     for prefix in FRAMEWORK_PREFIXES:
-        out = out.where(~F.startswith(F.col(column), F.lit(prefix)))
+        out = out.where(F.col(column).isNull() | ~F.startswith(F.col(column), F.lit(prefix)))
     return out
 
 

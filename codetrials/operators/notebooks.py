@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import let, py_strip
-from codetrials.operators.ordered import RUN_BITS, lag_within
+from codetrials.operators.ordered import TEXT_BITS, lag_within
 from codetrials.schemas import TASK_FIELDS
 
 HEADER_MARK = "### "
@@ -34,7 +34,7 @@ def is_step(cell_type: Column, source: Column) -> Column:
     return (cell_type == "markdown") & ~F.startswith(source, F.lit(PLACEHOLDER_MARK))
 
 
-def extract_fields(cells: DataFrame, bits: int | None = RUN_BITS) -> DataFrame:
+def extract_fields(cells: DataFrame, bits: int | None = TEXT_BITS) -> DataFrame:
     """``notebook_cells(notebook, pos, cell_type, source)`` -> ``(notebook, field, value, pos)``."""
     steps = cells.where(is_step(F.col("cell_type"), F.col("source"))).select(
         "notebook", "pos", "source", header_field(F.col("source")).alias("_arms")

@@ -6,8 +6,9 @@ The heavy shuffle is on ``(key, run)``, so a run holds a bounded number of rows
 one-row summaries, made before the shuffle, are brought together per key.  ``seq`` must be an integer that is unique
 within its key.
 
-The summaries take a second read of the input.  Where no key can be large, ``bits=None`` does without: the same result
-from one plain window.
+The summaries take a second read of the input, and are few only where a run holds many rows of a key: choose ``bits``
+as large as a task can take.  Where no key can be large, ``bits=None`` does without: the same result from one plain
+window.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN_BITS = 17
+SLIM_BITS = 20  # rows of a few numbers: about a million of them in a run
+TEXT_BITS = 16  # rows with texts
 RUN = "_run"
 
 
-def with_run(df: DataFrame, seq: str, bits: int = RUN_BITS) -> DataFrame:
+def with_run(df: DataFrame, seq: str, bits: int = SLIM_BITS) -> DataFrame:
     return df.withColumn(RUN, F.shiftright(F.col(seq).cast("bigint"), bits))
 
 
 def lag_within(
-    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int | None = RUN_BITS
+    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int | None = SLIM_BITS
 ) -> DataFrame:
     """Add ``out``: ``value`` of the previous row of the same key in ``seq`` order (NULL for the first).
 
@@ -55,7 +57,7 @@ def lag_within(
 
 
 def sum_before(
-    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int | None = RUN_BITS
+    df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, bits: int | None = SLIM_BITS
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all earlier rows of the same key (0 for the first)."""
     keys = list(keys)

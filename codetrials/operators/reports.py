@@ -83,7 +83,8 @@ def _suite_lines(ok: Column, passed: Column, total: Column) -> list[Column]:
 
 
 def jest_report(classified: DataFrame, stamp: Column, name: str = "impl") -> DataFrame:
-    """Runs with a suite plus ``report``, their Markdown report; ``stamp`` is the time to show."""
+    """Runs with a suite plus ``report``, their Markdown report, and its file name ``report_file``; ``stamp`` is the
+    time to show."""
     passed, total = F.col("passed"), F.col("total")
     suites, tests = _suite_lines(passed == total, passed, total)
     log = _lines(
@@ -100,7 +101,9 @@ def jest_report(classified: DataFrame, stamp: Column, name: str = "impl") -> Dat
     text = F.concat(
         F.lit("Test Run: "), stamp, F.lit("\n\n"), report_lines(F.array_join(log, "\n")), F.lit("\n\n")
     )
-    return classified.where(F.col("suite").isNotNull()).withColumn("report", text)
+    return classified.where(F.col("suite").isNotNull()).withColumns(
+        {"report": text, "report_file": F.concat(F.col(name), F.lit("_report.md"))}
+    )
 
 
 def jest_console(classified: DataFrame) -> DataFrame:
@@ -238,13 +241,15 @@ def coverage_lines(overall: DataFrame, stamp: Column | None = None) -> DataFrame
 def python_report(
     logs: DataFrame, name: str = "script", test_output: str = "test_output", coverage: str = "coverage_output"
 ) -> DataFrame:
-    """Add ``report``: test log and coverage text of a script without terminal colours."""
+    """Add ``report``, test log and coverage text of a script without terminal colours, and ``report_file``."""
     text = F.concat(
         F.lit("Test Report for "), file_stem(name, "python"), F.lit("\n" + "=" * 50 + "\n\n"),
         F.lit("TEST RESULTS:\n" + "-" * 20 + "\n"), strip_ansi(test_output),
         F.lit("\nCOVERAGE REPORT:\n" + "-" * 20 + "\n"), strip_ansi(coverage),
     )
-    return logs.withColumn("report", text)
+    return logs.withColumns(
+        {"report": text, "report_file": F.concat(file_stem(name, "python"), F.lit("_report.txt"))}
+    )
 
 
 # --- reports over many rows -----------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import base_name, ratio_pct
-from codetrials.operators.ordered import RUN_BITS, lag_within, newest
+from codetrials.operators.ordered import SLIM_BITS, lag_within, newest
 from codetrials.schemas import COHORTS
 
 Cohorts = Sequence[tuple[str, str, str]]
@@ -101,7 +101,7 @@ def last_writer_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
 
 
 def log_history(
-    logs: DataFrame, keys: Sequence[str], seq: str, status: str = "status", bits: int | None = RUN_BITS
+    logs: DataFrame, keys: Sequence[str], seq: str, status: str = "status", bits: int | None = SLIM_BITS
 ) -> DataFrame:
     """Every log entry with the status of the entry before it and whether it changed."""
     past = lag_within(logs, keys, seq, status, "previous_status", bits)

@@ -86,13 +86,19 @@ def read_files(
     return out
 
 
+def _allowed(found: DataFrame, rule: Layout) -> DataFrame:
+    """Drop the paths that contain a forbidden part below the task's own folder."""
+    inner = F.regexp_replace("path", r"\A[^/]+/", "")
+    for part in rule.forbidden:
+        found = found.where(~F.contains(inner, F.lit(part)))
+    return found
+
+
 def select_impls(files: DataFrame, layout: str) -> DataFrame:
     """``(path, content)`` -> ``(task_id, impl, language, path, content)`` of the implementation files."""
     rule = LAYOUTS[layout]
     path = F.col("path")
-    kept = files.where(path.rlike(rule.code))
-    for part in rule.forbidden:
-        kept = kept.where(~F.contains(path, F.lit(part)))
+    kept = _allowed(files.where(path.rlike(rule.code)), rule)
     if rule.reserved:
         kept = kept.where(~base_name(path).isin(*rule.reserved))
     impl = file_stem(path, rule.stem) if rule.stem else base_name(path)
@@ -109,9 +115,7 @@ def select_tests(files: DataFrame, layout: str) -> DataFrame:
     """``(path, content)`` -> ``(task_id, language, path, content)`` of the test suites."""
     rule = LAYOUTS[layout]
     path = F.col("path")
-    kept = files.where(path.rlike(rule.test))
-    for part in rule.forbidden:
-        kept = kept.where(~F.contains(path, F.lit(part)))
+    kept = _allowed(files.where(path.rlike(rule.test)), rule)
     return kept.select(
         F.regexp_extract(path, rule.test, 1).alias("task_id"),
         F.lit(rule.language).alias("language"),

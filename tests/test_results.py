@@ -23,14 +23,16 @@ def test_jacoco_totals(spark):
             ("t", "A", "org.junit.Y", "p", 100, 0, 9, 9, 9, 9),
             ("t", "A", "org.mockitoX", "p", 100, 0, 9, 9, 9, 9),
             ("t", "B", "Z", "org.junit.api", 0, 0, 1, 0, 0, 0),
+            ("t", "C", None, None, 0, 1, 0, 0, 0, 0),
         ],
         JACOCO,
     )
     assert rows(coverage.jacoco_totals(df)) == [
         ("t", "A", 4, 3, 75.0, 0, 0, 0.0, 10, 8, 80.0),
         ("t", "B", 0, 0, 0.0, 1, 0, 0.0, 0, 0, 0.0),
+        ("t", "C", 1, 1, 100.0, 0, 0, 0.0, 0, 0, 0.0),
     ]
-    assert rows(coverage.jacoco_totals(df, column="package").select("impl")) == [("A",)]
+    assert rows(coverage.jacoco_totals(df, column="package").select("impl")) == [("A",), ("C",)]
 
 
 def test_coverage_only_of_passed(spark):

@@ -90,8 +90,8 @@ def test_task_round_trip(spark, tmp_path):
 TREE = {
     "java": (
         ["t 1/code/A.java", "t 1/code/sub/B.java", "t 1/code/build/C.java", "t 1/code/rebuild/D.java", "t 1/code/.gradle2/E.java",
-         "t 1/test/SolutionTest.java", "t 1/code/x.txt", "t2/code/A.java.java"],
-        [("t 1", "A"), ("t 1", "B"), ("t2", "A")],
+         "t 1/test/SolutionTest.java", "t 1/code/x.txt", "t2/code/A.java.java", "rebuild/code/F.java"],
+        [("rebuild", "F"), ("t 1", "A"), ("t 1", "B"), ("t2", "A")],
         ["t 1"],
     ),
     "python": (
