@@ -17,13 +17,14 @@ def records_of_notebooks(books: DataFrame) -> DataFrame:
 
 
 def judged_runs(runs: DataFrame, languages: DataFrame, keys: Sequence[str], order: str = "run_id") -> DataFrame:
-    """Verdicts of runs of mixed languages: ``languages`` has one row per ``task_id`` with its ``language``."""
-    typed = runs.join(languages.select("task_id", "language"), "task_id")
+    """Verdicts of runs of mixed languages: ``languages`` has one row per ``task_id`` with its ``language``.
+
+    Interpreted programs have no compile phase; without such rows the rule for compiled ones is theirs, so all
+    languages go through one aggregation.
+    """
     compiled = F.col("language").isin("C++", "Java")
-    return tasks.union_languages(
-        verdicts.classify_compiled(typed.where(compiled), keys, order),
-        verdicts.classify_interpreted(typed.where(~compiled), keys),
-    )
+    typed = tasks.route_language(languages).select("task_id", "language").join(runs, "task_id")
+    return verdicts.classify_compiled(typed.where(compiled | (F.col("phase") == "run")), keys, order)
 
 
 def checked_tasks(records: DataFrame) -> DataFrame:

@@ -637,6 +637,17 @@ oracle(
     "select task_id, language from attached where ir_test_status = 'PASS' and incs_test_status <> 'PASS'",
 )
 
+oracle(
+    "judged_runs",
+    "d_tasks d_runs c_runs",
+    """select r.run_id, r.task_id, r.impl,
+  case when language in ('C++', 'Java') then c.status when timed_out then 'TIMEOUT' when returncode = 0 then 'PASS' else 'FAIL' end as status,
+  case when language in ('C++', 'Java') then c.output when timed_out then 'Execution timed out.' else stdout || stderr end as output
+from d_runs r join c_runs c using (run_id)
+join (select distinct cast(floor(task_id / 100) as bigint) as task_id, language from d_tasks) l on l.task_id = r.task_id
+where r.phase = 'run' and language <> 'Go'""",
+)
+
 # --- Jest --------------------------------------------------------------------------------------------------------------------------
 
 oracle(
@@ -818,6 +829,20 @@ oracle(
 from g_runs""",
 )
 
+# --- written and read back -----------------------------------------------------------------------------------------------------------
+
+ORACLES["write_programs"] = ORACLES["render_all"]
+
+
+def written(name: str, lines: str) -> None:
+    """The lines alone; files do not keep the sort keys."""
+    ORACLES[name] = f"select line from ({ORACLES[lines]})"
+
+
+written("write_summary", "summary_lines")
+written("write_coverage", "coverage_lines")
+oracle("append_logs", "d_runs", "select run_id, phase, stdout, impl || '_tests' as target from d_runs")
+
 # --- logs and texts ----------------------------------------------------------------------------------------------------------------------
 
 ANSI_PY = r"'\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])'"
@@ -884,5 +909,8 @@ oracle(
 )
 
 
+ORACLES["write_reports"] = ORACLES["java_report"]
+
+
 def all_oracles() -> dict[str, str]:
     return dict(ORACLES)

@@ -326,6 +326,17 @@ def discriminating_tasks(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.discriminating_tasks(_attached(spark, d)).select("task_id", "language")
 
 
+@query("judged_runs")
+def judged_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of five languages, one of them unsupported, judged together."""
+    languages = (
+        derived.tasks(spark, d)
+        .select(F.floor(F.col("task_id") / 100).cast("bigint").alias("task_id"), "language")
+        .distinct()
+    )
+    return flows.judged_runs(derived.runs(spark, d), languages, RUN_KEYS)
+
+
 # --- Jest ------------------------------------------------------------------------------------------------------------------
 
 
@@ -475,6 +486,48 @@ def summary_lines(spark: SparkSession, d: str) -> DataFrame:
     return reports.summary_lines(_file_results(spark, d), "run_id")
 
 
+# --- written and read back ------------------------------------------------------------------------------------------------------
+
+
+@query("write_programs")
+def write_programs(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "programs")
+    writers.write_programs(render.render_all(_decoded(spark, d)), path)
+    return spark.read.parquet(path).select("task_id", "variant", "language", "file_name", F.length("source").alias("n_chars"))
+
+
+@query("write_reports")
+def write_reports(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "reports")
+    reported = reports.java_report(_file_results(spark, d), F.lit("1970-01-01 00:00:00"))
+    writers.write_reports(reported, path, ("run_id", "report_file"))
+    return spark.read.parquet(path).select("run_id", "report_file", F.col("value").alias("report"))
+
+
+@query("write_summary")
+def write_summary(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "summary")
+    writers.write_summary(summary_lines(spark, d), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("write_coverage")
+def write_coverage(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "coverage")
+    writers.write_coverage(coverage_lines(spark, d), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("append_logs")
+def append_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Compile logs first, run logs appended to the same targets."""
+    path = scratch_path(spark, "logs")
+    entries = derived.runs(spark, d).select("run_id", "phase", "stdout", F.concat("impl", F.lit("_tests")).alias("target"))
+    for phase in ("compile", "run"):
+        writers.append_logs(entries.where(F.col("phase") == phase), path)
+    return spark.read.parquet(path).select("run_id", "phase", "stdout", "target")
+
+
 # --- logs and texts --------------------------------------------------------------------------------------------------------------
 
 
