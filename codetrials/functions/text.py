@@ -45,6 +45,9 @@ ANSI_PATTERNS = {
     ],
 }
 
+# The characters a sequence can start with.
+ANSI_STARTS = {"py": "\x1b", "js": "\x1b\x9b"}
+
 # Status marks of the per-file summary lines.
 STATUS_ICONS = {
     "emoji": ("✅", "❌", "⚠️"),
@@ -77,38 +80,71 @@ def js_trim(c: Column | str) -> Column:
 
 def py_dedent(c: Column | str) -> Column:
     """Remove the common leading white space of all non-blank lines; blank lines become empty."""
-    text = F.regexp_replace(col(c), r"(?md)^[ \t]++$", "")
-    margins = F.regexp_extract_all(text, F.lit(r"(?md)^([ \t]*+)[^\n]"), F.lit(1))
-    # The common prefix of all margins is that of the smallest and the largest one.
-    ends = F.concat(F.array_min(margins), F.lit("\n"), F.array_max(margins))
-    margin = F.regexp_extract(ends, r"\A([ \t]*)[ \t]*\n\1", 1)
-    # No margins at all (only blank lines) leaves NULL: nothing to remove then.
-    return F.when(F.coalesce(margin, F.lit("")) == "", text).otherwise(
-        F.regexp_replace(text, F.concat(F.lit("(?md)^"), margin), F.lit(""))
-    )
+
+    def margin(margins: Column) -> Column:
+        # The common prefix of all margins is that of the smallest and the largest one.
+        ends = F.concat(F.array_min(margins), F.lit("\n"), F.array_max(margins))
+        # No margins at all (only blank lines) gives NULL: nothing to remove then.
+        return F.coalesce(F.regexp_extract(ends, r"\A([ \t]*)[ \t]*\n\1", 1), F.lit(""))
+
+    def cut(text: Column) -> Column:
+        margins = F.regexp_extract_all(text, F.lit(r"(?md)^([ \t]*+)[^\n]"), F.lit(1))
+        return let(
+            let(margins, margin),
+            lambda m: F.when(m == "", text).otherwise(
+                F.regexp_replace(text, F.concat(F.lit("(?md)^"), m), F.lit(""))
+            ),
+        )
+
+    return let(F.regexp_replace(col(c), r"(?md)^[ \t]++$", ""), cut)
+
+
+def _holds_any(text: Column, marks: str) -> Column:
+    """Whether any of the characters is in the text.  This is a plain search, much cheaper than a regex class."""
+    found = F.contains(text, F.lit(marks[0]))
+    for mark in marks[1:]:
+        found = found | F.contains(text, F.lit(mark))
+    return found
 
 
 def py_indent(c: Column | str, width: int) -> Column:
     """Put ``width`` spaces before every line that holds more than white space."""
     filled = rf"(?=[{PY_BLANK_CLASS}]*+[^{PY_BLANK_CLASS}{PY_BREAK_CLASS}])"
     pad = " " * width
-    # Java's own line ends first, then those that only Python has.
-    out = F.regexp_replace(col(c), rf"(?m)^{filled}", pad)
-    return F.regexp_replace(out, rf"[\x0B\f\x1C-\x1E]{filled}", f"$0{pad}")
+
+    def indent(text: Column) -> Column:
+        # Java's own line ends first, then those that only Python has.
+        out = F.regexp_replace(text, rf"(?m)^{filled}", pad)
+        other = F.regexp_replace(out, rf"[\x0B\f\x1C-\x1E]{filled}", f"$0{pad}")
+        return F.when(_holds_any(text, "\x0b\x0c\x1c\x1d\x1e"), other).otherwise(out)
+
+    return let(col(c), indent)
 
 
 def py_lines(c: Column | str) -> Column:
     """``"\\n".join(text.splitlines())``: every line end becomes ``\\n``, one at the very end is dropped."""
     ends = rf"(?:\r\n|[{PY_BREAK_CLASS}])"
-    return F.regexp_replace(F.regexp_replace(col(c), rf"{ends}\z", ""), ends, "\n")
+
+    def lines(text: Column) -> Column:
+        mixed = F.regexp_replace(F.regexp_replace(text, rf"{ends}\z", ""), ends, "\n")
+        plain = F.when(
+            F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)
+        ).otherwise(text)
+        return F.when(_holds_any(text, "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"), mixed).otherwise(plain)
+
+    return let(col(c), lines)
 
 
 def strip_ansi(c: Column | str, flavor: str = "py") -> Column:
-    """Remove terminal escape sequences (``flavor`` is ``py`` or ``js``)."""
-    out = col(c)
-    for pattern in ANSI_PATTERNS[flavor]:
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    """Remove terminal escape sequences (``flavor`` is ``py`` or ``js``); texts without any are passed through."""
+
+    def strip(text: Column) -> Column:
+        out = text
+        for pattern in ANSI_PATTERNS[flavor]:
+            out = F.regexp_replace(out, pattern, "")
+        return F.when(_holds_any(text, ANSI_STARTS[flavor]), out).otherwise(text)
+
+    return let(col(c), strip)
 
 
 def drop_lines(c: Column | str, prefix_regex: str) -> Column:
