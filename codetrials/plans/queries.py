@@ -362,7 +362,7 @@ def verdict_jest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("test_summary")
 def test_summary(spark: SparkSession, d: str) -> DataFrame:
-    return jest.test_summary(_classified(spark, d, "v2"))
+    return flows.jest_results(derived.jest(spark, d))
 
 
 @query("case_results")
@@ -402,8 +402,7 @@ def jacoco_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _covered(spark: SparkSession, d: str) -> DataFrame:
-    totals = coverage.jacoco_totals(derived.jacoco(spark, d), ["run_id"])
-    return coverage.attach_coverage(_gradle(spark, d), totals, ["run_id"])
+    return flows.java_results(derived.runs(spark, d), derived.jacoco(spark, d), ["run_id"], ("task_id", "impl"))
 
 
 @query("attach_coverage")
