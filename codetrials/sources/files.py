@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import base_name, file_stem
-from codetrials.schemas import TASK_METADATA, TASK_METADATA_FIELDS
+from codetrials.schemas import CPP_TARGETS, TASK_METADATA, TASK_METADATA_FIELDS
 
 @dataclass(frozen=True)
 class Layout:
@@ -152,6 +152,11 @@ def cpp_target(impl: Column) -> Column:
     return F.concat(impl, F.lit("_tests"))
 
 
+def fixed_targets(impls: DataFrame) -> DataFrame:
+    """C++ implementations with one of the six agreed names, the only ones that some runners test."""
+    return impls.where(F.col("impl").isin(CPP_TARGETS))
+
+
 def parse_task_metadata(files: DataFrame) -> DataFrame:
     """``(path, content)`` of ``<task>/metadata.json`` files -> ``task_id`` and the six metadata fields."""
     rule = r"\A(?:.*/)?([^/]+)/metadata\.json\z"

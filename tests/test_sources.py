@@ -138,6 +138,8 @@ def test_missing_folder_is_empty(spark, tmp_path):
 
 def test_cpp_target(spark):
     assert spark.range(1).select(files.cpp_target(F.lit("ideal"))).first()[0] == "ideal_tests"
+    impls = spark.createDataFrame([("A",), ("D",), ("ideal",), ("a",)], "impl string")
+    assert rows(files.fixed_targets(impls)) == [("A",), ("ideal",)]
 
 
 def test_metadata(spark, tmp_path):
