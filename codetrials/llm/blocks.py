@@ -36,6 +36,7 @@ ASKED = "bucket long, block long, payload binary"
 ANSWERED = "home long, block long, bucket long, payload binary"
 HOME_BITS = 2  # four blocks have one home
 DIGEST = 16  # bytes
+BLOCK_BITS, ROW_BITS = 20, 24  # blocks of a task, rows of a block
 
 
 @dataclass
@@ -79,7 +80,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = B
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << BLOCK_BITS
         ids: list = []
         texts: list = []
         held = 0
@@ -132,6 +133,12 @@ def blocks_of(table: pa.Table | pa.RecordBatch) -> Iterator[Block]:
         )
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+MARKS = np.zeros(256, dtype=bool)  # what stands between lower-cased words: ASCII but for letters and digits
+MARKS[:0x30] = MARKS[0x3A:0x61] = MARKS[0x7B:0x80] = True
+
+
 def each_block(blocks: DataFrame, act: Callable[[Block], Iterable[tuple]], schema: str = ASKED) -> DataFrame:
     """Rows of ``schema`` that ``act`` makes of each block."""
 
@@ -177,7 +184,7 @@ def told(
 
 
 COPIES = -1  # the bucket of the answers that first_copies() gives
-DIGESTED = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("rows", "<i8")])
+DIGESTED = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("row", "<i8"), ("rows", "<i8")])
 
 
 def first_copies(blocks: DataFrame) -> DataFrame:
@@ -192,7 +199,7 @@ def first_copies(blocks: DataFrame) -> DataFrame:
                 rows = np.empty(len(ids) // 8, dtype=DIGESTED)
                 both = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
                 rows["high"], rows["low"], rows["id"] = both[:, 0], both[:, 1], np.frombuffer(ids, dtype=np.int64)
-                rows["rows"] = 1
+                rows["row"], rows["rows"] = (k << ROW_BITS) + np.arange(len(rows)), 1
                 rows = smallest(rows)
                 parts = by_bucket(rows["high"], buckets)
                 yield from packed([(b, k, rows[at].tobytes()) for b, at in parts], ASKED)
@@ -210,8 +217,8 @@ def first_copies(blocks: DataFrame) -> DataFrame:
 
 
 def smallest(rows: np.ndarray) -> np.ndarray:
-    """A row for each digest: its smallest id and the sum of its rows."""
-    rows = rows[np.lexsort((rows["id"], rows["low"], rows["high"]))]
+    """For each digest: its smallest id, the first row of that id, and the sum of its rows."""
+    rows = rows[np.lexsort((rows["row"], rows["id"], rows["low"], rows["high"]))]
     differs = (rows["high"][1:] != rows["high"][:-1]) | (rows["low"][1:] != rows["low"][:-1])
     first = np.flatnonzero(np.append(True, differs)[: len(rows)])
     out = rows[first].copy()
@@ -222,10 +229,21 @@ def smallest(rows: np.ndarray) -> np.ndarray:
 
 def copies_of(block: Block, answers: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text of a block: does a row with a smaller id have it, and does any other row?"""
+    mine = _first(block, answers)
+    return np.array([f < i for f, _, _, i, _ in mine], dtype=bool), np.array([n > 1 for _, _, n, _, _ in mine], dtype=bool)
+
+
+def later_rows(block: Block, answers: dict[int, list[bytes]]) -> np.ndarray:
+    """Which rows have a text that a row with a smaller id, or an earlier row with that id, has too."""
+    return np.array([(f, r) < (i, row) for f, r, _, i, row in _first(block, answers)], dtype=bool)
+
+
+def _first(block, answers):
     least = np.concatenate([np.empty(0, dtype=DIGESTED), *(np.frombuffer(p, dtype=DIGESTED) for p in answers[COPIES])])
-    first = {(h, low): (i, n) for h, low, i, n in least.tolist()}
-    mine = [(*first[h, low], i) for (h, low), i in zip(block.digests.tolist(), block.ids.tolist(), strict=True)]
-    return np.array([f < i for f, _, i in mine], dtype=bool), np.array([n > 1 for _, n, _ in mine], dtype=bool)
+    first = {(h, low): (i, r, n) for h, low, i, r, n in least.tolist()}
+    rows = range(block.number << ROW_BITS, (block.number << ROW_BITS) + len(block.ids))
+    keys = zip(block.digests.tolist(), block.ids.tolist(), rows, strict=True)
+    return [(*first[h, low], i, row) for (h, low), i, row in keys]
 
 
 # --- which of a block's hashes another block has too ---------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetrials.llm import recompression, run_length_index
+from codetrials.llm import lsh_forest, recompression, run_length_index
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,9 +29,13 @@ def op1_recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.dedup(table(spark, folder, "documents"))
 
 
+def op6_lsh_forest_join(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("_row")
+
+
 def op10_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return run_length_index.dedup(table(spark, folder, "documents"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [op1_recompression_dedup, op10_run_length_dedup]}
+    return {f.__name__: f for f in [op1_recompression_dedup, op6_lsh_forest_join, op10_run_length_dedup]}
