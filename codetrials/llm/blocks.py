@@ -102,10 +102,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = B
         if ids:
             yield flush()
 
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t"))
     name = f"blocks_{uuid.uuid4().hex}"
     (
-        slim.mapInArrow(run, BLOCKS)
+        as_bytes(docs, key, text)
+        .mapInArrow(run, BLOCKS)
         .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "home")
         .option("compression", "uncompressed")
         .option("path", scratch_path(spark, "blocks"))
@@ -114,6 +114,42 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = B
     return spark.table(name)
 
 
+def in_chunks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The rows (id long, text binary) of Arrow batches as blocks of about ``size`` bytes that are stored nowhere."""
+    ids: list = []
+    texts: list = []
+    held = 0
+
+    def block():
+        return Block(
+            0,
+            np.array([NO_ID if i is None else i for i in ids], dtype=np.int64),
+            np.array([-1 if t is None else len(t) for t in texts], dtype=np.int64),
+            np.empty((0, 2), dtype=np.uint64),
+            np.frombuffer(b"".join((t or b"") + b"\n" for t in texts), dtype=np.uint8),
+        )
+
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            t = t.as_py()
+            if ids and held + len(t or b"") > size:
+                yield block()
+                ids, texts, held = [], [], 0
+            ids.append(i)
+            texts.append(t)
+            held += len(t or b"") + 1
+    if ids:
+        yield block()
+
+
+def as_bytes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t"))
+
+
+def real_id(i: int) -> int | None:
+    return None if i == NO_ID else i
+
+
 def bucket_count(blocks: DataFrame, share: int = 4) -> int:
     """A bucket for every ``share`` blocks: as much as one pass over a block makes, times ``share``, meets in a task."""
     return max(1, blocks.select("block").count() // share)
@@ -297,7 +333,7 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-KINDS = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+KINDS = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def arrow_schema(schema: str) -> pa.Schema:

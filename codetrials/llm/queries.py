@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetrials.llm import lsh_forest, recompression, run_length_index
+from codetrials.llm import bitmask_langid, lsh_forest, notice_search, recompression, run_length_index
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -33,9 +33,17 @@ def op6_lsh_forest_join(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("_row")
 
 
+def op7_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
+    return notice_search.search(table(spark, folder, "documents"))
+
+
+def op9_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
+    return bitmask_langid.identify(table(spark, folder, "documents"))
+
+
 def op10_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return run_length_index.dedup(table(spark, folder, "documents"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [op1_recompression_dedup, op6_lsh_forest_join, op10_run_length_dedup]}
+    return {f.__name__: f for f in [op1_recompression_dedup, op6_lsh_forest_join, op7_fuzzy_notices, op9_bitmask_language, op10_run_length_dedup]}
