@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetrials.llm import bitmask_langid, lsh_forest, notice_search, recompression, run_length_index
+from codetrials.llm import bitmask_langid, lsh_forest, notice_search, rarity_digest, recompression, run_length_index
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,6 +29,10 @@ def op1_recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.dedup(table(spark, folder, "documents"))
 
 
+def op4_rarity_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return rarity_digest.fingerprints(table(spark, folder, "documents"))
+
+
 def op6_lsh_forest_join(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("_row")
 
@@ -46,4 +50,4 @@ def op10_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [op1_recompression_dedup, op6_lsh_forest_join, op7_fuzzy_notices, op9_bitmask_language, op10_run_length_dedup]}
+    return {f.__name__: f for f in [op1_recompression_dedup, op4_rarity_digest, op6_lsh_forest_join, op7_fuzzy_notices, op9_bitmask_language, op10_run_length_dedup]}
