@@ -7,8 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetrials.llm import bitmask_langid, lsh_forest, notice_search, rarity_digest, recompression, run_length_index
-
+from codetrials.llm import (
+    bitmask_langid,
+    blob_ledger,
+    lsh_forest,
+    notice_search,
+    positional_index,
+    rarity_digest,
+    recompression,
+    run_length_index,
+)
+from codetrials.plans.scratch import scratch_path
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -29,6 +38,10 @@ def op1_recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.dedup(table(spark, folder, "documents"))
 
 
+def op3_positional_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return positional_index.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_rarity_digest(spark: SparkSession, folder: str) -> DataFrame:
     return rarity_digest.fingerprints(table(spark, folder, "documents"))
 
@@ -41,6 +54,11 @@ def op7_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
     return notice_search.search(table(spark, folder, "documents"))
 
 
+def op8_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = blob_ledger.Ledger(spark, scratch_path(spark, "ledger"))
+    return blob_ledger.scan(table(spark, folder, "documents"), ledger)
+
+
 def op9_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
     return bitmask_langid.identify(table(spark, folder, "documents"))
 
@@ -50,4 +68,14 @@ def op10_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [op1_recompression_dedup, op4_rarity_digest, op6_lsh_forest_join, op7_fuzzy_notices, op9_bitmask_language, op10_run_length_dedup]}
+    named = [
+        op1_recompression_dedup,
+        op3_positional_decontamination,
+        op4_rarity_digest,
+        op6_lsh_forest_join,
+        op7_fuzzy_notices,
+        op8_blob_ledger,
+        op9_bitmask_language,
+        op10_run_length_dedup,
+    ]
+    return {f.__name__: f for f in named}
