@@ -151,25 +151,48 @@ def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words a plane, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for block in B.in_chunks(batches):
-            share = shares(block, model)
-            raw = block.raw()
-            letters = np.append(0, np.cumsum(np.isin(PLAIN[block.data], np.arange(0x61, 0x7B))))
-            ascii_letters = letters[block.ends] - letters[block.begins] > 0
-            rows = []
-            for k, (i, a, z) in enumerate(zip(block.ids.tolist(), block.begins.tolist(), block.ends.tolist(), strict=True)):
-                has = ascii_letters[k] or any(c.isalpha() for c in raw[a:z].decode())
-                if not has or not model.languages:
-                    rows.append((B.real_id(i), UNKNOWN, 0.0))
-                else:
-                    best = int(share[k].argmax())
-                    rows.append((B.real_id(i), model.languages[best], float(min(1.0, max(0.0, share[k][best])))))
-            yield from B.packed(rows, RESULT)
+            rows = zip(block.ids.tolist(), judged(block, shared.value), strict=True)
+            yield from B.packed([(B.real_id(i), *found) for i, found in rows], RESULT)
 
     return B.as_bytes(docs, key, text).mapInArrow(run, RESULT)
 
 
+def judged(block: B.Block, filters: Filters) -> list[tuple[str, float]]:
+    share = shares(block, filters)
+    raw = block.raw()
+    letters = np.append(0, np.cumsum((PLAIN[block.data] >= 0x61) & (PLAIN[block.data] <= 0x7A)))
+    has_ascii = letters[block.ends] - letters[block.begins] > 0
+    out = []
+    for k, (a, z) in enumerate(zip(block.begins.tolist(), block.ends.tolist(), strict=True)):
+        if not filters.languages or not (has_ascii[k] or any(c.isalpha() for c in raw[a:z].decode())):
+            out.append((UNKNOWN, 0.0))
+        else:
+            best = int(share[k].argmax())
+            out.append((filters.languages[best], float(min(1.0, max(0.0, share[k][best])))))
+    return out
+
+
+def accepted(docs: DataFrame, filters: Filters, least: float = 0.1, text: str = "text") -> DataFrame:
+    """The rows with a language, by a score of at least ``least``; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            ids = pa.array(np.arange(batch.num_rows))
+            slim = pa.RecordBatch.from_arrays([ids, texts], names=["id", "t"])
+            keep = [
+                name != UNKNOWN and score >= least
+                for block in B.in_chunks(iter([slim]))
+                for name, score in judged(block, shared.value)
+            ]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_held_out(key: str = "doc_id") -> Column:
     """A third of the ids, by their CRC; a null id is in training."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))

@@ -166,3 +166,11 @@ def scan(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: s
     return of_path.select(
         path, *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")
     )
+
+
+def clean(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose blob has no base finding."""
+    ledger.scan(versions, rules, path, text)
+    base = [k for k, r in enumerate(rules) if r.base]
+    found = ledger.findings(rules).where(F.col("kind").isin(base)).select("blob").distinct()
+    return versions.join(found, blob_of(F.col(text)) == F.col("blob"), "left_anti")

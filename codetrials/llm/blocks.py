@@ -70,7 +70,7 @@ def _row(number: int, ids: list, texts: list) -> dict:
         "block": number,
         "ids": np.array([NO_ID if i is None else i for i in ids], dtype=np.int64).tobytes(),
         "lens": np.array([-1 if t is None else len(t) for t in texts], dtype=np.int64).tobytes(),
-        "digests": b"".join(hashlib.blake2b(t or b"", digest_size=DIGEST).digest() for t in texts),
+        "digests": b"".join(hashlib.sha256(t or b"").digest()[:DIGEST] for t in texts),
         "body": zstandard.ZstdCompressor(level=3).compress(body),
     }
 

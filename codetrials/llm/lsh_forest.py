@@ -227,7 +227,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: ``copy_of``, the smallest id that has the same text; ``n_links``, the number of other texts
     whose similarity to it is at least ``threshold``; ``class_id``, the smallest id of its connected class; ``keeps``,
-    whether it is the row of its class to keep.
+    whether it is the row of its class to keep; ``digest``, the first 32 hexadecimal digits of the text's SHA-256.
 
     Words are lower-cased runs of letters, digits and non-ASCII characters.  A null, empty or wordless text has no
     shingles and links to none; such rows still have the class of their copies.  Null ids count as largest.  Rows that
@@ -347,24 +347,21 @@ def near_duplicates(
 
 
 HOT, NODES = -2, -3
-ROWS = "row long, id long, high long, low long"
+ROWS = "row long, id long, digest string"
 
 
 def _rows(batches):
     for batch in batches:
         for number, ids, digests in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
             ids = np.frombuffer(ids, dtype=np.int64)
-            both = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
             row = (number << B.ROW_BITS) + np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(ids), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                schema=B.arrow_schema(ROWS),
-            )
+            names = [digests[k : k + B.DIGEST].hex() for k in range(0, len(digests), B.DIGEST)]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids), pa.array(names)], schema=B.arrow_schema(ROWS))
 
 
 def _classes(packed: DataFrame, links: DataFrame, key: str) -> DataFrame:
     rows = packed.select("block", "ids", "digests").mapInArrow(_rows, ROWS)
-    first = rows.groupBy("high", "low").agg(
+    first = rows.groupBy("digest").agg(
         F.min("id").alias("first_id"), F.min_by("row", F.struct("id", "row")).alias("first_row")
     )
     number = links.groupBy(F.col("row").alias("first_row")).agg(F.sum("n").alias("n_links"))
@@ -378,20 +375,29 @@ def _classes(packed: DataFrame, links: DataFrame, key: str) -> DataFrame:
     )
     best = of_text.groupBy("root").agg(F.min(F.struct("first_id", "first_row")).alias("best"))
     classed = of_text.join(best, "root").select(
-        "high", "low", F.col("first_id").alias("copy_of"), "n_links", F.col("best.first_id").alias("class_id"),
+        "digest", F.col("first_id").alias("copy_of"), "n_links", F.col("best.first_id").alias("class_id"),
         F.col("best.first_row").alias("best_row"),
     )
     real = lambda c: F.when(F.col(c) != B.NO_ID, F.col(c)).alias(key if c == "id" else c)
-    return rows.join(classed, ["high", "low"]).select(
+    return rows.join(classed, "digest").select(
         real("id"),
         real("copy_of"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         real("class_id"),
         (F.col("row") == F.col("best_row")).alias("keeps"),
-        F.col("row").alias("_row"),
+        "digest",
     )
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each class, once."""
+    kept = near_duplicates(docs, key=key, text=text).where("keeps").select(F.col(key).alias("_id"), F.col("digest").alias("_digest"))
+    digest = F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 2 * B.DIGEST)
+    own = docs.withColumn("_own", digest)
+    found = own.join(kept, (F.col("_own") == F.col("_digest")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    return found.dropDuplicates([key, "_own"]).select(*docs.columns)
+
+
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     """(row, root): the smallest row of the connected group of each row in ``edges`` (row, other).
 

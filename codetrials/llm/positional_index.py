@@ -155,18 +155,34 @@ def decontaminate(
     A null or wordless text has no words and is clean, a null or wordless item has no window.  Rows of one id are judged
     each by its own text.  Empty tables give an empty result, or all documents clean.
     """
+    return judged(docs, items, window, share, key, text).drop("text_key")
+
+
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    bad = judged(docs, items, key=key, text=text).where("contaminated").select(F.col(key).alias("_id"), F.col("text_key").alias("_key"))
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("_id")) & (own == F.col("_key")), "left_anti")
+
+
+def judged(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The result of ``decontaminate`` with ``text_key``, which tells rows of one id apart."""
     found = matches(docs, items, window, key=key, text=text)
     spans = F.flatten(F.transform("hits", lambda p: F.sequence(p.start, p.start + p.length - 1)))
     n_hit = F.coalesce(F.size(F.array_distinct(spans)), F.lit(0))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda p: p["items"]))))
     counted = found.select(
         F.col("doc_id").alias(key),
+        "text_key",
         F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
         F.when(F.col("hits").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"),
         F.coalesce(names, F.array().cast("array<string>")).alias("names"),
     )
     return counted.select(
         key,
+        "text_key",
         "n_words",
         "n_hit",
         F.size("names").cast("long").alias("n_items"),

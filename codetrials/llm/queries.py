@@ -6,13 +6,16 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codetrials.llm import (
     bitmask_langid,
     blob_ledger,
     lsh_forest,
+    merkle_fixity,
     notice_search,
     positional_index,
+    raking,
     rarity_digest,
     recompression,
     run_length_index,
@@ -38,6 +41,10 @@ def op1_recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.dedup(table(spark, folder, "documents"))
 
 
+def op2_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return raking.mix(table(spark, folder, "documents"))
+
+
 def op3_positional_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return positional_index.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -46,8 +53,21 @@ def op4_rarity_digest(spark: SparkSession, folder: str) -> DataFrame:
     return rarity_digest.fingerprints(table(spark, folder, "documents"))
 
 
+def replica_of(pages: DataFrame) -> DataFrame:
+    """A second copy of the pages with damage of a kind a store does: some bodies altered, some records lost."""
+    altered = F.concat(F.substring("html", 1, 100), F.lit("?"), F.expr("substring(html, 102)"))
+    html = F.when(F.col("page_id") % 97 == 13, altered).otherwise(F.col("html"))
+    return pages.where(F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))).withColumn("html", html)
+
+
+def op5_merkle_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    one, two = (merkle_fixity.Tree(merkle_fixity.archived(p)) for p in (pages, replica_of(pages)))
+    return merkle_fixity.audit(one, two)
+
+
 def op6_lsh_forest_join(spark: SparkSession, folder: str) -> DataFrame:
-    return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("_row")
+    return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("digest")
 
 
 def op7_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,8 +90,10 @@ def op10_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_recompression_dedup,
+        op2_raked_mixture,
         op3_positional_decontamination,
         op4_rarity_digest,
+        op5_merkle_fixity_audit,
         op6_lsh_forest_join,
         op7_fuzzy_notices,
         op8_blob_ledger,
