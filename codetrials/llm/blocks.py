@@ -407,6 +407,8 @@ def words_of(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def by_bucket(values: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """The rows of sorted 64-bit values that fall into each of ``buckets`` equal ranges of the hash space."""
+    if not len(values):
+        return []
     which = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cut = np.flatnonzero(np.diff(which, prepend=-1))
     stop = np.append(cut[1:], len(which))
