@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codetrials.llm import blocks as B
 
@@ -28,6 +29,9 @@ SPAN = 200
 KMER = 32
 SEED = 3
 BLOCK_BYTES = 2 << 20
+HOT = 256
+ONCE, SHARED, CROWDED = 0, 1, 2
+STRINGS = 1 << 40  # added to the bucket of answers about strings
 PLACE_BITS = np.uint64(30)  # an anchor's place in its block
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -47,20 +51,19 @@ def packed_codes(codes: np.ndarray, n: int) -> np.ndarray:
 def suffix_order(keys: np.ndarray) -> np.ndarray:
     """The suffix array by prefix doubling; ``keys`` are the ``packed_codes``."""
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     ordered = keys[order]
-    head = np.append(True, ordered[1:] != ordered[:-1])
-    first = np.flatnonzero(head)
-    rank = np.empty(n + 1, dtype=np.int64)
-    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-    rank[n] = -1
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])).astype(np.int32)
+    del ordered
     size = np.diff(np.append(first, n))
-    open_ = np.repeat(size > 1, size)
-    slots = np.flatnonzero(open_)
+    rank = np.empty(n + 1, dtype=np.int32)
+    rank[order] = np.repeat(first, size)
+    rank[n] = -1
+    slots = np.flatnonzero(np.repeat(size > 1, size)).astype(np.int32)
     reach = 7
     while len(slots):
         at = order[slots]
-        key = (rank[at] << 32) + rank[np.minimum(at + reach, n)] + 1
+        key = (rank[at].astype(np.int64) << 32) + rank[np.minimum(at + reach, n)] + 1
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         order[slots] = at
@@ -80,7 +83,7 @@ class RunLengthIndex:
         self.codes, n = codes, len(codes)
         self.keys = packed_codes(codes, n)
         order = suffix_order(self.keys)
-        before = np.where(order > 0, codes[order - 1].astype(np.int32), -1)
+        before = np.where(order > 0, codes[order - 1].astype(np.int16), np.int16(-1))
         change = np.append(True, before[1:] != before[:-1])
         self.heads = np.flatnonzero(change)
         self.symbols = before[self.heads]
@@ -121,12 +124,13 @@ class RunLengthIndex:
 
 
 def _streamed(n: int, at: np.ndarray, match: np.ndarray) -> np.ndarray:
-    last = np.full(n, -1, dtype=np.int64)
-    last[at] = at
-    np.maximum.accumulate(last, out=last)
-    length = np.zeros(n, dtype=np.int64)
-    length[at] = match
-    return np.where(last >= 0, length[last] - (np.arange(n) - last), 0)
+    # a match that reaches code z from a sample is shorter by one at each place after it: it still reaches z
+    reached = np.zeros(n, dtype=np.int32)
+    reached[at] = at
+    np.maximum.accumulate(reached, out=reached)
+    stop = np.zeros(n, dtype=np.int32)
+    stop[at] = at + match
+    return stop[reached] - np.arange(n, dtype=np.int32)
 
 
 def repeated_spans(segments: list[bytes], span: int) -> list[list[tuple[int, int]]]:
@@ -137,8 +141,8 @@ def repeated_spans(segments: list[bytes], span: int) -> list[list[tuple[int, int
     text[stops] = 0
     begins = stops - sizes
     index = RunLengthIndex(text, int(sizes.max(initial=0)))
-    left = np.repeat(stops, sizes + 1) - np.arange(len(text))
-    start = np.flatnonzero(np.minimum(index.statistics(), left) >= span)
+    start = np.flatnonzero(index.statistics() >= span)
+    start = start[start + span <= stops[np.searchsorted(stops, start)]]
     a, z = B.joined(start, start + span)
     owner = np.searchsorted(stops, a)
     out: list = [[] for _ in segments]
@@ -151,11 +155,12 @@ def repeated_spans(segments: list[bytes], span: int) -> list[list[tuple[int, int
 
 
 def anchors(block: B.Block, span: int, kmer: int):
-    """(hash, first byte, byte after the last) of the anchors and of all the strings that each one anchors."""
+    """(hash, first byte, byte after the last) of the anchors and of all the strings that each one anchors; with the sums
+    that ``span_hash`` reads."""
     none = np.empty(0, dtype=np.int64)
     n, wide = len(block.data), span - kmer + 1
     if n < span:
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     sums = B.prefix_sums(block.data, SEED)
     at = np.arange(n - kmer + 1)
     value = B.span_hash(sums, at, at + kmer)
@@ -171,11 +176,43 @@ def anchors(block: B.Block, span: int, kmer: int):
     size = size[size > 0]
     start = np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(size.sum())
     if not len(start):
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, sums
     anchor = (least[start] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     last = np.append(head[1:], len(start)) - 1
-    return value[anchor[head]], start[head], start[last] + span
+    # minima of a hash are small: mixed again, they fill all buckets alike
+    return B.mixed(value[anchor[head]]), start[head], start[last] + span, sums
+
+
+def counted(values: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray, bytes]]:
+    """(bucket, distinct values, 32-bit remainders of them and how often the block has each)."""
+    distinct, n = np.unique(values, return_counts=True)
+    brief = ((distinct * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.uint32)
+    n = n.astype(np.uint32)
+    return [(b, distinct[at], brief[at].tobytes() + n[at].tobytes()) for b, at in B.by_bucket(distinct, buckets)]
+
+
+def classed(rows: list[tuple[int, bytes]]):
+    """Answer each block, for each of its values in a bucket, whether it stands once, more often, or very often."""
+    parts = [np.frombuffer(p, dtype=np.uint32).reshape(2, -1) for _, p in rows]
+    names, n = np.concatenate(parts, axis=1)
+    order = np.argsort(names, kind="stable")
+    edge = B.edges(names[order])
+    total = np.empty(len(names), dtype=np.int64)
+    sums = np.add.reduceat(n[order].astype(np.int64), edge)
+    total[order] = np.repeat(sums, np.diff(np.append(edge, len(order))))
+    kind = np.where(total > HOT, CROWDED, np.where(total > 1, SHARED, ONCE)).astype(np.uint8)
+    for (k, _), own in zip(rows, np.split(kind, np.cumsum([p.shape[1] for p in parts])[:-1]), strict=True):
+        yield k, own.tobytes()
+
+
+def of_class(parts: list, answers: dict[int, list[bytes]], least: int, most: int, shift: int = 0) -> np.ndarray:
+    """The block's values whose class is from ``least`` to ``most``."""
+    out = [np.empty(0, dtype=np.uint64)]
+    for b, distinct, _ in parts:
+        kind = np.frombuffer(answers[b + shift][0], dtype=np.uint8)
+        out.append(distinct[(kind >= least) & (kind <= most)])
+    return np.concatenate(out)
 
 
 def _sent(block: B.Block, begin: np.ndarray, end: np.ndarray) -> bytes:
@@ -204,24 +241,44 @@ def dedup(
     rows that are repeated lose their texts.  An empty table gives an empty result.
     """
     packed = B.pack(docs, key, text, BLOCK_BYTES)
-    buckets, wide = B.bucket_count(packed, 2), B.bucket_count(packed, 8)
+    buckets, wide = B.bucket_count(packed, 1), B.bucket_count(packed, 8)
     copies = B.first_copies(packed)
 
-    def parts_of(block, answers):
+    def anchored(block, answers):
         later, _ = B.copies_of(block, answers)
-        value, begin, end = anchors(block, span, kmer)
+        value, begin, end, sums = anchors(block, span, kmer)
         own = ~later[np.searchsorted(block.ends, begin, side="right")]
         value, begin, end = value[own], begin[own], end[own]
-        return value, begin, end, B.distinct_by_bucket(value, begin, wide)
+        return value, begin, end, sums, counted(value, wide)
 
     def ask(block, answers):
-        for b, _, brief in parts_of(block, answers)[-1]:
-            yield b, block.number, brief.tobytes()
+        for b, _, brief in anchored(block, answers)[-1]:
+            yield b, block.number, brief
+
+    def crowded_strings(value, begin, end, sums, parts, answers):
+        """Starts and hashes of the strings of the crowded anchors."""
+        crowded = B.among(value, of_class(parts, answers, CROWDED, CROWDED))
+        begin, size = begin[crowded], end[crowded] - span + 1 - begin[crowded]
+        start = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return crowded, start, B.span_hash(sums, start, start + span) if len(start) else start.astype(np.uint64)
+
+    def ask_strings(block, answers):
+        _, _, name = crowded_strings(*anchored(block, answers), answers)
+        for b, _, brief in counted(name, wide):
+            yield b, block.number, brief
 
     def surroundings(block, answers):
-        value, begin, end, parts = parts_of(block, answers)
-        again = B.among(value, B.those(parts, answers, True))
-        value, begin, end = value[again], begin[again], end[again]
+        value, begin, end, sums, parts = anchored(block, answers)
+        crowded, start, name = crowded_strings(value, begin, end, sums, parts, answers)
+        alike = np.sort(start[B.among(name, of_class(counted(name, wide), answers, SHARED, CROWDED, STRINGS))])
+        shared = B.among(value, of_class(parts, answers, SHARED, SHARED))
+        owner = np.flatnonzero(crowded)
+        # runs of consecutive starts, cut where the next anchor's strings begin
+        cut = np.searchsorted(begin[owner], alike, side="right") - 1
+        head = np.flatnonzero(np.append(True, (np.diff(alike) > 1) | (np.diff(cut) > 0))[: len(alike)])
+        run_begin, run_end = alike[head], alike[np.append(head[1:], len(alike))[: len(head)] - 1] + span
+        value = np.concatenate([value[shared], value[owner[cut[head]]]])
+        begin, end = np.concatenate([begin[shared], run_begin]), np.concatenate([end[shared], run_end])
         order = np.argsort(value, kind="stable")
         for b, at in B.by_bucket(value[order], buckets):
             yield b, block.number, _sent(block, *B.joined(begin[order[at]], end[order[at]]))
@@ -256,6 +313,9 @@ def dedup(
             row = (None if i == B.NO_ID else i, z - a, z - a - len(kept), after - first, hashlib.sha256(kept).hexdigest())
             yield (*row, kept) if keep_text else row
 
-    shared = B.answered(B.told(packed, copies, ask), B.shared)
-    spans = B.answered(B.told(packed, copies.unionByName(shared), surroundings), search)
+    classes = B.answered(B.told(packed, copies, ask), classed)
+    told = copies.unionByName(classes)
+    strings = B.answered(B.told(packed, told, ask_strings), classed)
+    told = told.unionByName(strings.withColumn("bucket", F.col("bucket") + STRINGS))
+    spans = B.answered(B.told(packed, told, surroundings), search)
     return B.told(packed, copies.unionByName(spans), drop, RESULT + ", kept binary" * keep_text)
