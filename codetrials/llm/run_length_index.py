@@ -40,7 +40,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def packed_codes(codes: np.ndarray, n: int) -> np.ndarray:
-    """Seven 9-bit codes from each position on, as one number."""
+    """Seven 9-bit codes from each position on, as one number; 0 beyond the end, which is no code."""
     padded = np.append(codes.astype(np.int64), np.zeros(7, dtype=np.int64))
     out = np.zeros(n, dtype=np.int64)
     for j in range(7):
@@ -77,7 +77,7 @@ def suffix_order(keys: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Text of codes (a byte plus one, 0 between segments), its runs and the matches at the runs' ends."""
+    """Text of codes (a byte plus two, 1 after each segment), its runs and the matches at the runs' ends."""
 
     def __init__(self, codes: np.ndarray, most: int):
         self.codes, n = codes, len(codes)
@@ -136,11 +136,12 @@ def _streamed(n: int, at: np.ndarray, match: np.ndarray) -> np.ndarray:
 def repeated_spans(segments: list[bytes], span: int) -> list[list[tuple[int, int]]]:
     """Per distinct segment, the maximal spans that strings of ``span`` bytes with another place in the index cover."""
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
-    text = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8).astype(np.uint16) + 1
+    text = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8).astype(np.uint16) + 2
     stops = np.cumsum(sizes + 1) - 1
-    text[stops] = 0
+    text[stops] = 1
     begins = stops - sizes
-    index = RunLengthIndex(text, int(sizes.max(initial=0)))
+    # segments are distinct, so no match holds a whole one between two ends: the longest goes over one end
+    index = RunLengthIndex(text, 2 * int(sizes.max(initial=0)) + 2)
     start = np.flatnonzero(index.statistics() >= span)
     start = start[start + span <= stops[np.searchsorted(stops, start)]]
     a, z = B.joined(start, start + span)

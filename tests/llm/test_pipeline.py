@@ -1,0 +1,49 @@
+"""Each stage of the pipeline, judged on its own input by the plain versions."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import brute  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from codetrials.llm import queries  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = queries.table(spark, SMALL, "documents")
+    docs = docs.unionByName(docs.where("doc_id in (3, 4)")).unionByName(
+        spark.createDataFrame([(5000, None), (5001, ""), (5002, "12 34")], "doc_id long, text string"), allowMissingColumns=True
+    )
+    out = [docs.cache()]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stage(spark, out[-1], SMALL).cache())
+    return out
+
+
+def pairs(df):
+    return sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+def test_stages(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "mixture"]
+    assert all(s.columns == stages[0].columns for s in stages)
+    start, named, single, clean, safe, mixed = map(pairs, [s.where("text is not null") for s in stages])
+    assert set(start) - set(named) == {(5001, ""), (5002, "12 34")}
+    unique = sorted(set(named))
+    assert single == sorted(set(single)) and {i for i, _ in single} == {c for _, _, _, c in brute.near_duplicates(unique)}
+    items = [(r.item_id, r.text) for r in queries.table(stages[0].sparkSession, SMALL, "benchmark").collect()]
+    bad = {r[0] for r in brute.contamination(single, items) if r[-1]}
+    assert bad and clean == [d for d in single if d[0] not in bad]
+    secret = {r[0] for r in brute.secrets(clean) if sum(r[1:4])}
+    assert safe == [d for d in clean if d[0] not in secret]
+    assert set(mixed) < set(safe) and len(mixed) > 0.2 * len(safe)
