@@ -41,6 +41,9 @@ def public_function(line: Column) -> Column:
     return F.regexp_extract(line, JS_FUNCTION, 1)
 
 
+PIECE = 512
+
+
 def _matters(line: Column) -> Column:
     """Cheap test that keeps every line with a brace or a function declaration."""
     marks = [F.contains(line, F.lit(m)) for m in "{}"] + [F.startswith(line, F.lit(w)) for w in ("function", "async")]
@@ -48,7 +51,11 @@ def _matters(line: Column) -> Column:
 
 
 def exported_names(content: Column) -> Column:
-    """Names of the functions declared at brace depth 0, in order of appearance, as an array."""
+    """Names of the functions declared at brace depth 0, in order of appearance, as an array.
+
+    A fold that adds to an array copies it at every step, so the lines are cut into pieces of ``PIECE``: one fold over
+    the pieces' balances gives the depth at which each begins, and the names are collected piece by piece.
+    """
 
     def step(acc: Column, line: Column) -> Column:
         exported = (acc["depth"] == 0) & (line["name"] != "")
@@ -57,12 +64,37 @@ def exported_names(content: Column) -> Column:
             F.when(exported, F.concat(acc["names"], F.array(line["name"]))).otherwise(acc["names"]).alias("names"),
         )
 
+    def names_of(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, line: acc + line["balance"])),
+            zero,
+            lambda acc, n: F.struct(
+                (acc["depth"] + n).alias("depth"), F.concat(acc["starts"], F.array(acc["depth"])).alias("starts")
+            ),
+            lambda acc: acc["starts"],
+        )
+        return F.flatten(
+            F.transform(
+                F.arrays_zip(pieces.alias("lines"), starts.alias("depth")),
+                lambda z: F.aggregate(
+                    z["lines"],
+                    F.struct(z["depth"].alias("depth"), F.array().cast("array<string>").alias("names")),
+                    step,
+                    lambda acc: acc["names"],
+                ),
+            )
+        )
+
     lines = F.filter(F.split(content, "\n", -1), _matters)
     parsed = F.transform(
         lines, lambda s: F.struct(brace_balance(s).alias("balance"), public_function(s).alias("name"))
     )
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("names"))
-    return F.aggregate(parsed, start, step, lambda acc: acc["names"])
+    cut = lambda rows: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(rows) / PIECE).cast("int")),
+        lambda k: F.slice(rows, k * PIECE + 1, F.lit(PIECE)),
+    )
+    return let(let(parsed, cut), names_of)
 
 
 def exported_functions(impl_files: DataFrame) -> DataFrame:
@@ -112,6 +144,18 @@ def import_head(content: Column) -> Column:
     ).when(content.rlike(JS_IMPORT_ONE), F.concat(F.lit("const "), one, F.lit(" = require")))
 
 
+NO_SUITE = "no test file"
+
+
+def last_suites(test_files: DataFrame, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
+    """One suite for each key: of several, which are copied onto one target in the order of their paths, the last."""
+    keys = tuple(k for k in keys if k in test_files.columns)
+    if "path" not in test_files.columns:
+        return test_files
+    last = test_files.groupBy(*keys).agg(F.max(F.struct("path", "content")).alias("_last"))
+    return last.select(*keys, "_last.path", "_last.content")
+
+
 def rewrite_import(test_files: DataFrame, impl_files: DataFrame) -> DataFrame:
     """Point each suite's first local import at every implementation of its task.
 
@@ -120,7 +164,7 @@ def rewrite_import(test_files: DataFrame, impl_files: DataFrame) -> DataFrame:
     """
     text = F.col("content")
     found = F.regexp_extract(text, JS_IMPORT_ANY, 0)
-    suites = test_files.select(
+    suites = last_suites(test_files).select(
         "task_id",
         text.alias("_suite"),
         # "$$" is how a JavaScript replacement spells one "$".
@@ -132,12 +176,14 @@ def rewrite_import(test_files: DataFrame, impl_files: DataFrame) -> DataFrame:
     spliced = F.overlay(F.col("_suite"), statement, F.col("_at"), F.col("_length"))
     return (
         impl_files.select("task_id", "impl", "path")
-        .join(suites, "task_id")
+        .join(suites, "task_id", "left")
         .select(
             "task_id",
             "impl",
             F.when(F.col("_head").isNotNull(), spliced).alias("content"),
-            F.when(F.col("_head").isNull(), F.lit("no require statement")).alias("reject_reason"),
+            F.when(F.col("_suite").isNull(), NO_SUITE)
+            .when(F.col("_head").isNull(), F.lit("no require statement"))
+            .alias("reject_reason"),
         )
     )
 
@@ -193,19 +239,22 @@ def rename_class(content: Column, name: Column, target: Column) -> Column:
 def normalize_java(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
     """Java files with open access and the class name their task's suite expects.
 
-    -> ``(task_id, impl, target, content, reject_reason)``; a file without a public class has NULL content.
+    -> ``(task_id, impl, target, content, reject_reason)``; a file without a public class, or whose task
+    has no suite, has NULL content.
     """
     opened = impl_files.where(F.col("language") == "Java").select(
         "task_id", "impl", open_access(F.col("content")).alias("_opened")
     )
-    named = opened.join(java_target(test_files), "task_id").withColumn("_name", main_class(F.col("_opened")))
-    has_class = F.col("_name") != ""
+    named = opened.join(java_target(test_files), "task_id", "left").withColumn("_name", main_class(F.col("_opened")))
+    has_class = (F.col("_name") != "") & F.col("target").isNotNull()
     return named.select(
         "task_id",
         "impl",
         "target",
         F.when(has_class, rename_class(F.col("_opened"), F.col("_name"), F.col("target"))).alias("content"),
-        F.when(~has_class, F.lit("no public class")).alias("reject_reason"),
+        F.when(F.col("target").isNull(), NO_SUITE)
+        .when(~has_class, F.lit("no public class"))
+        .alias("reject_reason"),
     )
 
 

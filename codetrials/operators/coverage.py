@@ -28,12 +28,17 @@ def app_classes(jacoco: DataFrame, column: str = "class") -> DataFrame:
 def jacoco_totals(
     jacoco: DataFrame, keys: Sequence[str] = ("task_id", "impl"), column: str = "class"
 ) -> DataFrame:
-    """``(*keys, total_<x>, covered_<x>, <x>_coverage)`` for instructions, branches and lines; no code gives 0 %."""
-    sums = (
-        app_classes(jacoco, column)
-        .groupBy(*keys)
-        .agg(*[F.sum(counter).cast("bigint").alias(f"_{counter}") for counter in JACOCO_COUNTERS])
-    )
+    """``(*keys, total_<x>, covered_<x>, <x>_coverage)`` for instructions, branches and lines; no code gives 0 %.
+
+    A report with a rejected row has no totals, since a part of them would look like the whole; it is in
+    ``rejected_reports``.
+    """
+    counted = app_classes(jacoco, column)
+    figures = [F.sum(counter).cast("bigint").alias(f"_{counter}") for counter in JACOCO_COUNTERS]
+    if "reject_reason" in jacoco.columns:
+        sums = counted.groupBy(*keys).agg(*figures, F.count("reject_reason").alias("_bad")).where("_bad = 0")
+    else:
+        sums = counted.groupBy(*keys).agg(*figures)
     out = []
     for kind in JACOCO_KINDS:
         covered = F.col(f"_{kind}_covered")
@@ -46,6 +51,33 @@ def jacoco_totals(
     return sums.select(*keys, *out)
 
 
+def rejected_reports(
+    jacoco: DataFrame, keys: Sequence[str] = ("task_id", "impl"), column: str = "class"
+) -> DataFrame:
+    """``(*keys, reject_reason, rejected_rows)`` of the reports that ``jacoco_totals`` leaves out."""
+    return (
+        app_classes(jacoco, column)
+        .where(F.col("reject_reason").isNotNull())
+        .groupBy(*keys)
+        .agg(F.min("reject_reason").alias("reject_reason"), F.count("*").alias("rejected_rows"))
+    )
+
+
+def fail_rejected(
+    results: DataFrame, rejected: DataFrame, keys: Sequence[str] = ("task_id", "impl")
+) -> DataFrame:
+    """Results whose status is FAILED_TO_RUN, with the reason as their error, where a passed run's report is rejected."""
+    reasons = rejected.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("reject_reason").alias("_reason"))
+    match = F.col("status") == "PASSED"
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"_{k}"))
+    joined = results.join(reasons, match, "left")
+    bad = F.col("_reason").isNotNull()
+    return joined.withColumns(
+        {"status": F.when(bad, "FAILED_TO_RUN").otherwise(F.col("status")), "error": F.coalesce("_reason", "error")}
+    ).drop("_reason", *[f"_{k}" for k in keys])
+
+
 def attach_coverage(
     results: DataFrame, totals: DataFrame, keys: Sequence[str] = ("task_id", "impl")
 ) -> DataFrame:

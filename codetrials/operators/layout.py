@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import base_name
-from codetrials.operators.code import exported_names, has_public_class, import_head
+from codetrials.operators.code import exported_names, has_public_class, import_head, last_suites
 
 
 def fan_out(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
-    """Every implementation with its task's one suite.
+    """Every implementation with its task's one suite, NULL where there is none.
 
-    An equi-join with one suite row per key.  There is no broadcast hint, since the suites grow with the tasks; a
+    An equi-join with one suite row per key, the last one by path.  There is no broadcast hint, since the suites grow with the tasks; a
     task with very many implementations is split by the adaptive skew join.
     """
-    suites = test_files.select(
+    suites = last_suites(test_files, ("task_id", "language")).select(
         "task_id", "language", F.col("path").alias("test_path"), F.col("content").alias("test_content")
     )
-    return impl_files.join(suites, ["task_id", "language"])
+    return impl_files.join(suites, ["task_id", "language"], "left")
 
 
 def validate_layout(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:

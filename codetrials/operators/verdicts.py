@@ -31,15 +31,30 @@ def _run_verdict(late: Column, returncode: Column) -> Column:
 
 
 def classify_compiled(
-    runs: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts", limit_s: float = RUN_LIMIT_S
+    runs: DataFrame,
+    keys: Sequence[str] = KEYS,
+    order: str = "ts",
+    limit_s: float = RUN_LIMIT_S,
+    with_output: bool = True,
 ) -> DataFrame:
-    """C++ and Java programs: ``(*keys, status, output)``.
+    """C++ and Java programs: ``(*keys, status, output)``, or ``(*keys, status)`` with ``with_output=False``, which
+    reads no program output and aggregates in a hash table.
 
     A failed compilation decides alone and shows only its error text; the time limit holds for the run.  The last
     outcome of a phase (by ``order``) counts.  Compile and run rows meet in one aggregation that combines before the
     shuffle, so a key with very many outcomes sends one row per task.
     """
     late = _late(runs, limit_s)
+    if not with_output:
+        compiling, running = F.col("phase") == "compile", F.col("phase") == "run"
+        last = runs.groupBy(*keys).agg(
+            F.max_by("returncode", F.when(compiling, F.col(order))).alias("_built"),
+            F.max_by("returncode", F.when(running, F.col(order))).alias("_code"),
+            F.max_by(late, F.when(running, F.col(order))).alias("_late"),
+        )
+        broken = F.coalesce(F.col("_built") != 0, F.lit(False))
+        status = F.when(broken, "COMPILE ERROR").otherwise(_run_verdict(F.col("_late"), F.col("_code")))
+        return last.select(*keys, status.alias("status"))
     compiled = F.max(
         F.when(
             F.col("phase") == "compile",
@@ -125,32 +140,31 @@ def classify_gradle(
     )
 
 
-def _builds(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return runs.where((F.col("phase") == "compile") & (F.col("returncode") == 0)).select(*keys)
+def _builds(runs: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Keys whose last build succeeded, as in ``classify_compiled``."""
+    last = runs.where(F.col("phase") == "compile").groupBy(*keys).agg(F.max_by("returncode", order).alias("_code"))
+    return last.where(F.col("_code") == 0).select(*keys)
 
 
-def gate_on_build(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Run rows whose build succeeded."""
-    return runs.where(F.col("phase") == "run").join(_builds(runs, keys), list(keys), "left_semi")
+def gate_on_build(runs: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts") -> DataFrame:
+    """Run rows whose last build succeeded."""
+    return runs.where(F.col("phase") == "run").join(_builds(runs, keys, order), list(keys), "left_semi")
 
 
-def skipped_by_build(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Run rows to leave out: their build failed or is missing."""
-    return runs.where(F.col("phase") == "run").join(_builds(runs, keys), list(keys), "left_anti")
+def skipped_by_build(runs: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts") -> DataFrame:
+    """Run rows to leave out: their last build failed or is missing."""
+    return runs.where(F.col("phase") == "run").join(_builds(runs, keys, order), list(keys), "left_anti")
 
 
-def attach_verdicts(
-    tasks: DataFrame, verdicts: DataFrame, key: str = "task_id", order: str | None = None
-) -> DataFrame:
+def attach_verdicts(tasks: DataFrame, verdicts: DataFrame, key: str = "task_id", *, order: str) -> DataFrame:
     """Tasks plus status and output of both variants.
 
     ``verdicts(key, variant, status, output)``; where a variant was run again, the last one by ``order`` counts.
     They are combined to one row per key before they meet the tasks.
     """
-    fields = [F.col(order).alias("order")] if order else []
     pivoted = verdicts.groupBy(key).agg(
         *[
-            F.max(F.when(F.col("variant") == v, F.struct(*fields, "status", "output"))).alias(f"_{v}")
+            F.max(F.when(F.col("variant") == v, F.struct(F.col(order).alias("order"), "status", "output"))).alias(f"_{v}")
             for v in VARIANTS
         ]
     )

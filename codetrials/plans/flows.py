@@ -37,8 +37,10 @@ def java_results(
     runs: DataFrame, jacoco: DataFrame, keys: Sequence[str] = ("task_id", "impl"), keep: Sequence[str] = (),
     platform: str = "mac",
 ) -> DataFrame:
-    """Java runs -> results with coverage."""
+    """Java runs -> results with coverage; a run whose report has a rejected row failed to run."""
     results = verdicts.classify_gradle(runs, keys, platform, keep)
+    if "reject_reason" in jacoco.columns:
+        results = coverage.fail_rejected(results, coverage.rejected_reports(jacoco, keys), keys)
     return coverage.attach_coverage(results, coverage.jacoco_totals(jacoco, keys), keys)
 
 
@@ -49,7 +51,7 @@ def jest_results(outputs: DataFrame, version: str = "v2") -> DataFrame:
 
 def pass_rates(runs: DataFrame, keys: Sequence[str] = ("task_id", "impl"), order: str = "run_id") -> DataFrame:
     """Pass rate per cohort of implementations over compiled programs."""
-    judged = verdicts.classify_compiled(runs, keys, order)
+    judged = verdicts.classify_compiled(runs, keys, order, with_output=False)
     results = judged.select(
         F.concat(F.col("impl"), F.lit(".java")).alias("file_name"),
         F.when(F.col("status") == "PASS", "PASSED")

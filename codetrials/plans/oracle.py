@@ -505,23 +505,23 @@ oracle(
 oracle(
     "normalize_java",
     "d_docs d_java d_tests",
-    r"""select task_id, impl, target, case when cls <> '' then
+    r"""select task_id, impl, target, case when cls <> '' and target is not null then
     replace(replace(regexp_replace(regexp_replace(opened, 'new ' || cls || '\b', 'new ' || chr(1), 'g'), '\b' || cls || '\b', target, 'g'),
       chr(1), cls), 'new ' || cls || '(', 'new ' || target || '(') end as content,
-  case when cls = '' then 'no public class' end as reject_reason
+  case when target is null then 'no test file' when cls = '' then 'no public class' end as reject_reason
 from (select task_id, impl, opened, regexp_extract(opened, 'public class (\w+)', 1) as cls,
-    case when contains(t.content, 'Solution') then 'Solution' else 'Main' end as target
+    case when contains(t.content, 'Solution') then 'Solution' when t.content is not null then 'Main' end as target
   from (select task_id, impl, regexp_replace(regexp_replace(regexp_replace(content, '\b(private|protected)\s+static', 'public static', 'g'),
       '\b(private|protected)\s+final\s+static', 'public static final', 'g'), '\b(private|protected)\s+', 'public ', 'g') as opened from d_java)
-  join d_tests t using (task_id))""",
+  left join d_tests t using (task_id))""",
 )
 oracle(
     "rewrite_import",
     "d_docs d_js d_js_tests",
     r"""select task_id, impl, case when head is not null then regexp_replace(t.content,
     'const\s*(?:\{[^}]+\}|[^=\s]+)\s*=\s*require\([''"]\./[^''"]+[''"]\)', head || '(''' || path || ''')') end as content,
-  case when head is null then 'no require statement' end as reject_reason
-from d_js join (select *, case task_id % 3 when 0 then 'const { fn' || task_id || ' } = require'
+  case when t.content is null then 'no test file' when head is null then 'no require statement' end as reject_reason
+from d_js left join (select *, case task_id % 3 when 0 then 'const { fn' || task_id || ' } = require'
     when 1 then 'const Cls' || task_id || ' = require' end as head from d_js_tests) t using (task_id)""",
 )
 
@@ -570,7 +570,7 @@ oracle(
     "impl_test_fanout",
     "d_docs d_tests",
     """select task_id, impl, 'code/' || impl || '.java' as path, t.path as test_path, t.content as test_content, cast(length(text) as int) as n_chars
-from d_docs join d_tests t using (task_id)""",
+from d_docs left join d_tests t using (task_id)""",
 )
 oracle(
     "layout_violations",

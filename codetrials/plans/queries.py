@@ -295,13 +295,13 @@ def verdict_gradle(spark: SparkSession, d: str) -> DataFrame:
 
 @query("build_gate")
 def build_gate(spark: SparkSession, d: str) -> DataFrame:
-    kept = verdicts.gate_on_build(derived.runs(spark, d), RUN_KEYS)
+    kept = verdicts.gate_on_build(derived.runs(spark, d), RUN_KEYS, "run_id")
     return kept.select(*RUN_KEYS, "returncode", "timed_out", "stdout", "stderr")
 
 
 @query("build_skipped")
 def build_skipped(spark: SparkSession, d: str) -> DataFrame:
-    return verdicts.skipped_by_build(derived.runs(spark, d), RUN_KEYS).select(*RUN_KEYS)
+    return verdicts.skipped_by_build(derived.runs(spark, d), RUN_KEYS, "run_id").select(*RUN_KEYS)
 
 
 def _attached(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +311,7 @@ def _attached(spark: SparkSession, d: str) -> DataFrame:
     keyed = tasks.route_language(derived.tasks(spark, d)).withColumn(
         "task_key", F.floor(F.col("task_id") / 100).cast("bigint")
     )
-    return verdicts.attach_verdicts(keyed, judged, "task_key", "run_id")
+    return verdicts.attach_verdicts(keyed, judged, "task_key", order="run_id")
 
 
 @query("attach_verdicts")

@@ -57,32 +57,81 @@ LAYOUTS = {
 }
 
 
+HIDDEN = "the reader hides names that begin with _ or ."
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file system spells it, with scheme and without a relative part or a closing slash."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
+
+
 def _relative(root: str) -> Column:
-    """Path of the scanned file below ``root``; ``_metadata.file_path`` is percent-encoded."""
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    return F.substr(full, F.position(F.lit(base), full) + F.lit(len(base)))
+    """Path of the scanned file below the qualified ``root``; ``_metadata.file_path`` is percent-encoded.
+
+    The root is a prefix of the path, at one place only.  A file that is not below it would be a mistake of the scan.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\A([a-z0-9+.-]+:)/+", r"$1/")  # noqa: E731  file:/x and file:///x are one
+    full = bare(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    base = bare(F.lit(root + "/"))
+    below = F.substr(full, F.length(base) + F.lit(1))
+    outside = F.raise_error(F.concat(full, F.lit(f" is not below {root}"))).cast("string")
+    return F.when(F.startswith(full, base), below).otherwise(outside)
+
+
+def _hidden(spark: SparkSession, root: str, glob: str, suffix: str | None, recursive: bool) -> list[str]:
+    """Paths below ``root`` that match ``glob`` but that Spark's listing leaves out.  Names only, no content."""
+    jvm = spark._jvm
+    folder, _, last = glob.rpartition("/")
+    wanted = f"{root}/{glob}" if recursive or not last.startswith("*") else f"{root}/{folder}/[_.]{last}"
+    path = jvm.org.apache.hadoop.fs.Path(wanted)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(path) or []:
+        if not status.isDirectory():
+            found.append(status.getPath().toString())
+        elif recursive:
+            listing = fs.listFiles(status.getPath(), True)
+            while listing.hasNext():
+                found.append(listing.next().getPath().toString())
+    below = [f[len(root) + 1 :] for f in found if f.startswith(root + "/")]
+    depth = glob.count("/") + (1 if recursive else 0)
+    inner = lambda f: f.split("/")[depth if recursive else -1 :]
+    return [f for f in below if any(n[0] in "_." for n in inner(f)) and (not suffix or f.endswith(suffix.lstrip("*")))]
 
 
 def read_files(
     spark: SparkSession, root: str, globs: Sequence[str], name_glob: str | None = None, recursive: bool = False
 ) -> DataFrame:
-    """``(path, content)``; globs that match nothing add nothing."""
+    """``(path, content, reject_reason)``; globs that match nothing add nothing.
+
+    Spark's readers leave out names that begin with ``_`` or ``.``; such files are rows without content and with a
+    reason, so that nothing is absent without a trace.
+    """
+    root = _qualified(spark, root)
     reader = spark.read.format("text").option("wholetext", True)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     nothing = F.lit(None).cast("string")
-    out = spark.range(0).select(nothing.alias("path"), nothing.alias("content"))
+    out = spark.range(0).select(nothing.alias("path"), nothing.alias("content"), nothing.alias("reject_reason"))
+    hidden: list[str] = []
     for glob in globs:
+        hidden += _hidden(spark, root, glob, name_glob, recursive)
         try:
-            found = reader.load(f"{root.rstrip('/')}/{glob}")
+            found = reader.load(f"{root}/{glob}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        out = out.unionByName(found.select(_relative(root).alias("path"), F.col("value").alias("content")))
+        out = out.unionByName(
+            found.select(_relative(root).alias("path"), F.col("value").alias("content"), nothing.alias("reject_reason"))
+        )
+    if hidden:
+        names = spark.createDataFrame([(h,) for h in sorted(set(hidden))], "path string")
+        out = out.unionByName(names.select("path", nothing.alias("content"), F.lit(HIDDEN).alias("reject_reason")))
     return out
 
 
@@ -94,8 +143,13 @@ def _allowed(found: DataFrame, rule: Layout) -> DataFrame:
     return found
 
 
+def _reason(files: DataFrame) -> list[str]:
+    return [c for c in files.columns if c == "reject_reason"]
+
+
 def select_impls(files: DataFrame, layout: str) -> DataFrame:
-    """``(path, content)`` -> ``(task_id, impl, language, path, content)`` of the implementation files."""
+    """``(path, content)`` -> ``(task_id, impl, language, path, content)`` of the implementation files;
+    a ``reject_reason`` is kept."""
     rule = LAYOUTS[layout]
     path = F.col("path")
     kept = _allowed(files.where(path.rlike(rule.code)), rule)
@@ -108,6 +162,7 @@ def select_impls(files: DataFrame, layout: str) -> DataFrame:
         F.lit(rule.language).alias("language"),
         "path",
         "content",
+        *_reason(kept),
     )
 
 
@@ -121,6 +176,7 @@ def select_tests(files: DataFrame, layout: str) -> DataFrame:
         F.lit(rule.language).alias("language"),
         "path",
         "content",
+        *_reason(kept),
     )
 
 

@@ -82,20 +82,43 @@ def read_tasks(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 def read_jacoco(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """Coverage CSV: ``(report, class, package, <counters>, reject_reason)``.
 
-    Columns are taken by name from the header, whatever their order and number.  ``report`` is the file's path, or a
-    partition column of the folder when ``run_id`` names one.  A counter that is no integer gives a reason.
+    A report is read as one row, and its columns are taken by name from its own header, whatever their order and number;
+    reports of one folder may differ.  ``report`` is the file's path, or a partition column of the folder when ``run_id``
+    names one.  A counter that is no integer, or a line of another length than its header, gives a reason.  A path
+    without files is an empty table.
     """
-    raw = spark.read.option("header", True).csv(path)
-    package = F.col("PACKAGE") if "PACKAGE" in raw.columns else F.lit(None).cast("string")
-    source = F.col(run_id).cast("string") if run_id else F.col("_metadata.file_path")
-    counters = {c: F.col(c.upper()).try_cast("bigint") for c in JACOCO_COUNTERS}
+    nothing = F.lit(None).cast("string")
+    try:
+        raw = spark.read.text(path, wholetext=True)
+        source = F.col(run_id).cast("string") if run_id else F.col("_metadata.file_path")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw, source = spark.range(0).select(nothing.alias("value")), nothing
+    lines = F.split("value", r"\r?\n", -1)
+    rows = raw.select(source.alias("report"), _csv_fields(F.get(lines, F.lit(0))).alias("header"), lines.alias("lines"))
+    rows = rows.select("report", "header", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line")).where("line != ''")
+    rows = rows.withColumn("fields", _csv_fields(F.col("line")))
+
+    def named(name: str) -> Column:
+        return F.get("fields", (F.array_position("header", F.lit(name)) - 1).cast("int"))
+
+    even = F.size("fields") == F.size("header")
+    counters = {c: F.when(even, named(c.upper()).try_cast("bigint")) for c in JACOCO_COUNTERS}
     good = F.lit(True)
     for value in counters.values():
         good = good & value.isNotNull()
-    return raw.select(
-        source.alias("report"),
-        F.col("CLASS").alias("class"),
-        package.alias("package"),
+    return rows.select(
+        "report",
+        F.when(even, named("CLASS")).alias("class"),
+        F.when(even, named("PACKAGE")).alias("package"),
         *[value.alias(name) for name, value in counters.items()],
-        F.when(~good, "counter is not an integer").alias("reject_reason"),
+        F.when(~even, "line and header differ in length").when(~good, "counter is not an integer").alias("reject_reason"),
     )
+
+
+def _csv_fields(line: Column) -> Column:
+    """Fields of one line; a quoted one may hold commas and doubled quotes."""
+    parts = F.regexp_extract_all(line, F.lit('(?:^|,)("(?:[^"]|"")*"|[^,"]*)'), F.lit(1))
+    quoted = lambda f: F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(parts, lambda f: F.when(F.startswith(f, F.lit('"')), quoted(f)).otherwise(f))

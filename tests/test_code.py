@@ -224,3 +224,20 @@ def test_java_target_takes_the_first_path(spark):
         "task_id string, language string, path string, content string",
     )
     assert rows(code.java_target(suites)) == [("a", "Main"), ("b", "Solution")]
+
+
+def test_exports_over_many_pieces(spark):
+    parts = ["function f%d() {\n  if (x) {\n  }\n}" % k if k % 3 else "{\nfunction inner%d() {\n}\n}" % k for k in range(1500)]
+    df = spark.createDataFrame([("\n".join(parts),)], "content string")
+    got = code.exported_functions(df).first().exports
+    assert got == [f"f{k}" for k in range(1500) if k % 3]
+
+
+def test_suites_of_one_task_and_of_none(spark):
+    impls = spark.createDataFrame([("1", "A", "a.js"), ("2", "B", "b.js")], "task_id string, impl string, path string")
+    suites = spark.createDataFrame(
+        [("1", "x.test.js", "const { f } = require('./old')"), ("1", "y.test.js", "const { g } = require('./new')")],
+        "task_id string, path string, content string",
+    )
+    got = [(r.impl, r.content, r.reject_reason) for r in code.rewrite_import(suites, impls).orderBy("impl").collect()]
+    assert got == [("A", "const { g } = require('a.js')", None), ("B", None, "no test file")]

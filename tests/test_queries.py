@@ -12,8 +12,10 @@ from conftest import SMALL, plan
 
 import __spark_entry__ as contract
 from codetrials.plans import derived
+from codetrials.plans.oracle import all_oracles
+from codetrials.plans.queries import all_queries
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,7 @@ def canonical(frame):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -172,6 +172,7 @@ def test_fan_out_and_layout_rules(spark):
     suites = spark.createDataFrame(
         [
             ("j", "Java", "T.java", "t"),
+            ("j", "Java", "S.java", "an earlier one"),
             ("s", "JavaScript", "index.test.js", "const { f } = require('./solution')"),
             ("u", "JavaScript", "index.test.js", "no import"),
             ("z", "Java", "T.java", "t"),
@@ -179,8 +180,8 @@ def test_fan_out_and_layout_rules(spark):
         SUITE,
     )
     assert rows(layout.fan_out(impls, suites).select("task_id", "impl", "test_path")) == [
-        ("j", "A", "T.java"), ("j", "B", "T.java"), ("j", "C", "T.java"), ("s", "a.js", "index.test.js"),
-        ("s", "b.js", "index.test.js"), ("u", "a.js", "index.test.js"),
+        ("j", "A", "T.java"), ("j", "B", "T.java"), ("j", "C", "T.java"), ("p", "solution", None),
+        ("s", "a.js", "index.test.js"), ("s", "b.js", "index.test.js"), ("u", "a.js", "index.test.js"),
     ]
     assert rows(layout.validate_layout(impls, suites).select("task_id", "impl", "rule")) == sorted(
         [

@@ -6,7 +6,7 @@ import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from codetrials.operators import notebooks, reports, tasks
+from codetrials.operators import coverage, notebooks, reports, tasks
 from codetrials.plans import flows
 from codetrials.schemas import TASKS
 from codetrials.sources import files, readers, writers
@@ -208,3 +208,39 @@ def test_coverage_file(spark, tmp_path):
         "Code Coverage Report\n===================\n\nGenerated: NOW\n\nOverall Coverage Metrics:\n------------------------\n"
         "Overall Coverage: 50.00%\nTotal Instruction Coverage: 25.00%\nTotal Branch Coverage: 0.00%\nTotal Line Coverage: 50.00%\n\n"
     )
+
+
+def test_jacoco_reports_of_two_column_orders(spark, tmp_path):
+    one = "GROUP,PACKAGE,CLASS,LINE_COVERED,LINE_MISSED,BRANCH_MISSED,BRANCH_COVERED,INSTRUCTION_COVERED,INSTRUCTION_MISSED"
+    two = "INSTRUCTION_MISSED,LINE_COVERED,CLASS,PACKAGE,GROUP,LINE_MISSED,BRANCH_MISSED,BRANCH_COVERED,INSTRUCTION_COVERED"
+    put(tmp_path, "run=1/r.csv", f'{one}\ng,p,"A<X, Y>",8,2,1,3,30,10\n')
+    put(tmp_path, "run=2/r.csv", f"{two}\r\n10,6,B,p,g,4,0,0,20\r\n")
+    put(tmp_path, "run=3/r.csv", f"{one}\ng,p,C,8,2,1,3,30,10\ng,p,D,x,2,1,3,30,10\ng,p,E\n")
+    df = readers.read_jacoco(spark, str(tmp_path), "run")
+    assert rows(df.where("report < '3'").select("class", "line_covered", "line_missed", "instruction_missed")) == [
+        ("A<X, Y>", 8, 2, 10), ("B", 6, 4, 10),
+    ]
+    totals = coverage.jacoco_totals(df.withColumnRenamed("report", "run"), ["run"])
+    assert rows(totals.select("run", "covered_lines", "total_lines")) == [("1", 8, 10), ("2", 6, 10)]
+    assert rows(coverage.rejected_reports(df.withColumnRenamed("report", "run"), ["run"]).select("run", "rejected_rows")) == [("3", 2)]
+    assert readers.read_jacoco(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_hidden_names_are_rows_with_a_reason(spark, tmp_path):
+    for name in ("7/m.py", "7/_helper.py", "7/__init__.py", "7/.b.py", "8/test.py"):
+        put(tmp_path, f"code/x/code/{name}", "pass")
+    put(tmp_path, "jav/3/code/sub/_A.java", "class A {}")
+    put(tmp_path, "jav/3/code/B.java", "class B {}")
+    found = files.scan_impl_files(spark, str(tmp_path / "code/x/code"), "python")
+    assert rows(found.select("path", "content")) == [
+        ("7/.b.py", None), ("7/__init__.py", None), ("7/_helper.py", None), ("7/m.py", "pass"),
+    ]
+    assert found.where("content is null and reject_reason is null").count() == 0
+    java = files.scan_impl_files(spark, str(tmp_path / "jav"), "java")
+    assert rows(java.select("path", "content")) == [("3/code/B.java", "class B {}"), ("3/code/sub/_A.java", None)]
+
+
+def test_roots_with_spaces_relative_and_named_twice(spark, tmp_path, monkeypatch):
+    put(tmp_path, "w/code/a b+c/code/7/m.py", "pass")
+    got = files.scan_impl_files(spark, str(tmp_path / "w/code/a b+c/code"), "python")
+    assert rows(got.select("path", "content")) == [("7/m.py", "pass")]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from codetrials.operators import verdicts
@@ -107,3 +107,24 @@ def test_mixed_languages(spark):
     languages = spark.createDataFrame([("a", "C++"), ("b", "Python")], "task_id string, language string")
     got = flows.judged_runs(df, languages, ["task_id", "impl"], "ts").select("task_id", "status")
     assert rows(got) == [("a", "COMPILE ERROR"), ("b", "PASS")]
+
+
+def test_status_alone_agrees_and_reads_no_output(spark, folder):
+    from codetrials.plans import derived
+
+    runs = derived.runs(spark, folder)
+    keys = ["task_id", "impl"]
+    full = verdicts.classify_compiled(runs, keys, "run_id").select(*keys, "status")
+    slim = verdicts.classify_compiled(runs, keys, "run_id", with_output=False)
+    assert rows(slim) == rows(full)
+    text = plan(slim)
+    assert "SortAggregate" not in text and "stdout" not in text and "stderr" not in text
+
+
+def test_last_build_counts(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "compile", 0), ("a", 2, "compile", 1), ("a", 3, "run", 0), ("b", 1, "compile", 1), ("b", 2, "compile", 0), ("b", 3, "run", 0)],
+        "task_id string, ts int, phase string, returncode int",
+    )
+    assert rows(verdicts.gate_on_build(df, ["task_id"]).select("task_id")) == [("b",)]
+    assert rows(verdicts.skipped_by_build(df, ["task_id"]).select("task_id")) == [("a",)]
