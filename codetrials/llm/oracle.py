@@ -2,6 +2,46 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (select r, doc_id, unnest(list_transform(generate_series(1, len(words) - 12), lambda i: {'p': i, 'k': array_to_string(words[i:i + 12], ' ')})) as x
+  from w where len(words) >= 13),
+least_doc as (select x.k as k, min(doc_id) as d from win group by 1),
+gone as (select r, list(distinct q) as covered from (
+  select win.r, unnest(generate_series(win.x.p, win.x.p + 12)) as q from win join least_doc f on win.x.k = f.k where f.d < win.doc_id) group by r)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(covered), 0) as bigint) as n_removed,
+  sha256(coalesce(array_to_string(list_filter(words, lambda v, i: not list_contains(coalesce(covered, []), i)), ' '), '')) as kept_sha256
+from w left join gone using (r)"""
+
+#: Kinds, patterns, the group that must be long enough, and how long.
+KINDS = [
+    ("assign", r'''(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)''', 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    ("github", r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+]
+
+
+def _places(number: int, pattern: str, group: int, least: int) -> str:
+    parts = f"""unnest(generate_series(1, len(regexp_extract_all(t, '{pattern}')))) as n, string_split_regex(t, '{pattern}') as gaps,
+    regexp_extract_all(t, '{pattern}') as found, regexp_extract_all(t, '{pattern}', {group}) as groups"""
+    return f"""select r, {number} as kind, stop - len(found[n]) as start, stop from (
+  select *, list_sum(list_transform(gaps[1:n], lambda g: len(g))) + list_sum(list_transform(found[1:n], lambda g: len(g))) as stop
+  from (select r, {parts} from d where regexp_matches(t, '{pattern}')))
+where len(groups[n]) >= {least}"""
+
+
+OP8 = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+s as ({' union all '.join(_places(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS))}),
+named as (select r, kind, start, ['assign', 'access', 'hex', 'pem', 'github', 'jwt'][kind + 1] || ':' || cast(start as bigint) || ':' || cast(stop as bigint) as span from s),
+g as (select r, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as b, count(*) filter (kind = 2) as c,
+  string_agg(span, ',' order by start, kind) filter (kind < 3) as base, string_agg(span, ',' order by start, kind) as spans from named group by r)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
+  coalesce(spans, '') as spans from d left join g using (r)"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op1_recompression_dedup": OP1, "op8_blob_ledger": OP8}
