@@ -28,6 +28,7 @@ from codetrials.schemas import COHORTS
 GREEN, RED, PLAIN = "\x1b[32m", "\x1b[31m", "\x1b[0m"
 DIVISOR = "-" * 60
 TITLE_RULE = "=" * 40
+FAILED_TEXT = "Failed to run tests"
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -55,6 +56,11 @@ def _red(case: Column) -> Column:
     return F.concat(F.lit(RED), F.array_join(_failures(case), "\n"), F.lit(PLAIN))
 
 
+def _cases(version: str = "v2") -> Column:
+    """Lines of the suite's cases, none where it does not list them."""
+    return F.coalesce(case_lines(F.col("suite.assertionResults"), version), F.array().cast("array<string>"))
+
+
 def case_lines(cases: Column, version: str = "v2") -> Column:
     """Lines about all assertions of a suite: v2 has every mark first and then the failures, v1 puts each failure
     under its own mark."""
@@ -92,7 +98,7 @@ def jest_report(classified: DataFrame, stamp: Column, name: str = "impl") -> Dat
         "\n",
         DIVISOR,
         "```bash",
-        case_lines(F.col("suite.assertionResults")),
+        _cases(),
         "```",
         DIVISOR,
         _one(F.concat(F.lit("\n"), suites)),
@@ -107,13 +113,24 @@ def jest_report(classified: DataFrame, stamp: Column, name: str = "impl") -> Dat
 
 
 def jest_console(classified: DataFrame) -> DataFrame:
-    """Runs with a suite plus ``console``, what the first runner version shows for them."""
+    """Runs judged by the rules of v1 plus ``console``, what the first runner version shows for them.
+
+    Marks and counts are shown after a clean exit with a readable suite.  A failed exit shows its error text in red if
+    the report could be read, and ``FAILED_TEXT`` in red if not.  A clean exit without a suite shows nothing.  The
+    column ``stderr`` is optional.
+    """
     passed, total = F.col("passed"), F.col("total")
-    suites, tests = _suite_lines(F.col("suite.status") == "passed", passed, total)
-    lines = _lines(
-        case_lines(F.col("suite.assertionResults"), "v1"), _one(F.concat(F.lit("\n"), suites)), _one(tests)
+    suites, tests = _suite_lines(F.coalesce(F.col("suite.status") == "passed", F.lit(False)), passed, total)
+    lines = _lines(_cases("v1"), _one(F.concat(F.lit("\n"), suites)), _one(tests))
+    clean = F.coalesce(F.col("returncode") == 0, F.lit(False))
+    errors = F.coalesce(F.col("stderr"), F.lit("")) if "stderr" in classified.columns else F.lit("")
+    console = (
+        F.when(clean & F.col("suite.assertionResults").isNotNull(), F.array_join(lines, "\n"))
+        .when(~clean & (F.col("status") == "ERROR"), f"{RED}{FAILED_TEXT}{PLAIN}")
+        .when(~clean & (errors != ""), F.concat(F.lit(RED), errors, F.lit(PLAIN)))
+        .otherwise("")
     )
-    return classified.where(F.col("suite").isNotNull()).withColumn("console", F.array_join(lines, "\n"))
+    return classified.withColumn("console", console)
 
 
 def jest_summary_lines(summary: DataFrame, keys: Sequence[str] = ("task_id",), name: str = "impl") -> DataFrame:

@@ -101,6 +101,12 @@ def quarantined(checked: DataFrame) -> DataFrame:
     return checked.where(F.col(REASON).isNotNull())
 
 
+def is_handled(language: Column | str = "language") -> Column:
+    """Whether a language is supported; false for NULL."""
+    language = F.col(language) if isinstance(language, str) else language
+    return F.coalesce(language.isin(LANGUAGES), F.lit(False))
+
+
 def route_language(tasks: DataFrame) -> DataFrame:
     """Records of a supported language."""
     return tasks.where(F.col("language").isin(LANGUAGES))
@@ -108,7 +114,7 @@ def route_language(tasks: DataFrame) -> DataFrame:
 
 def skipped_language(tasks: DataFrame) -> DataFrame:
     """The complement of :func:`route_language`."""
-    return tasks.where(~F.coalesce(F.col("language").isin(LANGUAGES), F.lit(False)))
+    return tasks.where(~is_handled())
 
 
 def explode_variants(tasks: DataFrame) -> DataFrame:

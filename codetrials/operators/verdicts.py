@@ -55,6 +55,14 @@ def classify_compiled(
         broken = F.coalesce(F.col("_built") != 0, F.lit(False))
         status = F.when(broken, "COMPILE ERROR").otherwise(_run_verdict(F.col("_late"), F.col("_code")))
         return last.select(*keys, status.alias("status"))
+    return judge_outcomes(last_outcomes(runs, keys, order, limit_s), keys)
+
+
+def last_outcomes(
+    runs: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts", limit_s: float = RUN_LIMIT_S
+) -> DataFrame:
+    """``(*keys, _compiled, _ran)``: the last outcome of each phase with its output, NULL where there is none."""
+    late = _late(runs, limit_s)
     compiled = F.max(
         F.when(
             F.col("phase") == "compile",
@@ -76,8 +84,15 @@ def classify_compiled(
             ),
         )
     )
-    both = runs.groupBy(*keys).agg(compiled.alias("_compiled"), ran.alias("_ran"))
+    return runs.groupBy(*keys).agg(compiled.alias("_compiled"), ran.alias("_ran"))
+
+
+def judge_outcomes(both: DataFrame, keys: Sequence[str] = KEYS, builds: Column | None = None) -> DataFrame:
+    """``(*keys, status, output)`` of :func:`last_outcomes`; where ``builds`` is false a compile phase counts for
+    nothing."""
     broken = F.coalesce(F.col("_compiled.returncode") != 0, F.lit(False))
+    if builds is not None:
+        broken = broken & builds
     late = F.col("_ran.late")
     return both.select(
         *keys,

@@ -189,6 +189,7 @@ def jest(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "click", F.concat(F.lit(JEST_HALF[0]), number.cast("string"), F.lit(JEST_HALF[1])))
         .otherwise(JEST_FULL)
         .alias("stdout"),
+        F.when(kind.isin("click", "view"), F.concat(F.lit("failed in run "), number.cast("string"))).alias("stderr"),
     )
 
 

@@ -19,12 +19,23 @@ def records_of_notebooks(books: DataFrame) -> DataFrame:
 def judged_runs(runs: DataFrame, languages: DataFrame, keys: Sequence[str], order: str = "run_id") -> DataFrame:
     """Verdicts of runs of mixed languages: ``languages`` has one row per ``task_id`` with its ``language``.
 
-    Interpreted programs have no compile phase; without such rows the rule for compiled ones is theirs, so all
-    languages go through one aggregation.
+    Interpreted programs have no compile phase, so all languages go through one aggregation.  It combines before its
+    shuffle and comes before the join with the languages: a task with very many runs reaches the join as one row per
+    key, and nothing above the join needs its partitions whole, so the adaptive skew join can split it.  ``keys``
+    include ``task_id``.  Runs without a supported language are in :func:`unjudged_runs`.
     """
     compiled = F.col("language").isin("C++", "Java")
-    typed = tasks.route_language(languages).select("task_id", "language").join(runs, "task_id")
-    return verdicts.classify_compiled(typed.where(compiled | (F.col("phase") == "run")), keys, order)
+    typed = tasks.route_language(languages).select("task_id", "language")
+    both = verdicts.last_outcomes(runs, keys, order).join(typed, "task_id")
+    return verdicts.judge_outcomes(both.where(compiled | F.col("_ran").isNotNull()), keys, compiled)
+
+
+def unjudged_runs(runs: DataFrame, languages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, reject_reason)`` of the runs that :func:`judged_runs` leaves out for their task or language."""
+    known = languages.select("task_id", "language", F.lit(True).alias("_known"))
+    typed = runs.select(*keys).distinct().join(known, "task_id", "left")
+    reason = F.when(F.col("_known").isNull(), "unknown task").otherwise("unsupported language")
+    return tasks.skipped_language(typed).select(*keys, reason.alias("reject_reason"))
 
 
 def checked_tasks(records: DataFrame) -> DataFrame:

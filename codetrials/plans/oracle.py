@@ -80,7 +80,8 @@ view(
   case when event_type in ('click', 'error', 'view') then 1 else 0 end as returncode,
   'model' || (cast(floor(event_id / 100) as bigint) % 5) as impl,
   case event_type when 'signup' then '{{}}' when 'view' then 'not json' when 'error' then {quoted(JEST_NONE)}
-    when 'click' then {quoted(JEST_HALF[0])} || event_id || {quoted(JEST_HALF[1])} else {quoted(JEST_FULL)} end as stdout
+    when 'click' then {quoted(JEST_HALF[0])} || event_id || {quoted(JEST_HALF[1])} else {quoted(JEST_FULL)} end as stdout,
+  case when event_type in ('click', 'view') then 'failed in run ' || event_id end as stderr
 from events""",
 )
 view(
@@ -648,6 +649,15 @@ join (select distinct cast(floor(task_id / 100) as bigint) as task_id, language
 where r.phase = 'run' and language <> 'Go'""",
 )
 
+oracle(
+    "unjudged_runs",
+    "d_tasks d_runs",
+    """select distinct r.run_id, r.task_id, r.impl, case when l.task_id is null then 'unknown task' else 'unsupported language' end as reject_reason
+from d_runs r left join (select distinct cast(floor(task_id / 100) as bigint) as task_id, language from d_tasks where floor(task_id / 100) % 2 = 0) l
+  on l.task_id = r.task_id
+where l.language is null or l.language = 'Go'""",
+)
+
 # --- Jest --------------------------------------------------------------------------------------------------------------------------
 
 oracle(
@@ -689,14 +699,16 @@ where suite is not null""",
 oracle(
     "jest_console",
     "d_jest j_parsed j_v1 j_cases",
-    f"""select run_id, coalesce(body, '') || {NL} || 'Test Suites: ' || case when suite ->> '$.status' = 'passed' then {ESC} || '[32m1 passed' || {ESC} || '[0m'
+    f"""select run_id, case when returncode <> 0 and not json_valid(stdout) then {ESC} || '[31mFailed to run tests' || {ESC} || '[0m'
+  when returncode <> 0 then coalesce({ESC} || '[31m' || stderr || {ESC} || '[0m', '')
+  when suite is null then ''
+  else coalesce(body, '') || {NL} || 'Test Suites: ' || case when suite ->> '$.status' = 'passed' then {ESC} || '[32m1 passed' || {ESC} || '[0m'
     else {ESC} || '[31m1 failed' || {ESC} || '[0m' end || {NL}
-  || 'Tests:       ' || passed || ' passed, ' || (total - passed) || ' failed, ' || total || ' total' as console
+  || 'Tests:       ' || passed || ' passed, ' || (total - passed) || ' failed, ' || total || ' total' end as console
 from j_v1 left join (
   select run_id, string_agg(case when status = 'passed' then {ESC} || '[32m✓' else {ESC} || '[31m✕' end || {ESC} || '[0m ' || title || {NL}
     || case when failure <> '' then {ESC} || '[31m' || failure || {ESC} || '[0m' || {NL} else '' end, '' order by pos) as body
-  from j_cases group by run_id) using (run_id)
-where suite is not null""",
+  from j_cases group by run_id) using (run_id)""",
 )
 oracle(
     "jest_summary_lines",

@@ -125,11 +125,7 @@ def task_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 @query("language_routing")
 def language_routing(spark: SparkSession, d: str) -> DataFrame:
-    routed = tasks.route_language(derived.tasks(spark, d)).select("task_id", "language")
-    skipped = tasks.skipped_language(derived.tasks(spark, d)).select("task_id", "language")
-    return tasks.union_languages(
-        routed.withColumn("handled", F.lit(True)), skipped.withColumn("handled", F.lit(False))
-    )
+    return derived.tasks(spark, d).select("task_id", "language", tasks.is_handled().alias("handled"))
 
 
 @query("entry_class")
@@ -326,15 +322,25 @@ def discriminating_tasks(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.discriminating_tasks(_attached(spark, d)).select("task_id", "language")
 
 
-@query("judged_runs")
-def judged_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of five languages, one of them unsupported, judged together."""
-    languages = (
+def _run_languages(spark: SparkSession, d: str) -> DataFrame:
+    return (
         derived.tasks(spark, d)
         .select(F.floor(F.col("task_id") / 100).cast("bigint").alias("task_id"), "language")
         .distinct()
     )
-    return flows.judged_runs(derived.runs(spark, d), languages, RUN_KEYS)
+
+
+@query("judged_runs")
+def judged_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of five languages, one of them unsupported, judged together."""
+    return flows.judged_runs(derived.runs(spark, d), _run_languages(spark, d), RUN_KEYS)
+
+
+@query("unjudged_runs")
+def unjudged_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The runs that ``judged_runs`` leaves out, of odd tasks as if those were unknown."""
+    known = _run_languages(spark, d).where(F.col("task_id") % 2 == 0)
+    return flows.unjudged_runs(derived.runs(spark, d), known, RUN_KEYS)
 
 
 # --- Jest ------------------------------------------------------------------------------------------------------------------

@@ -53,9 +53,15 @@ def write_coverage(lines: DataFrame, path: str, mode: str = "errorifexists") ->
     write_lines(lines, path, ("section", "seq"), mode)
 
 
-def append_logs(logs: DataFrame, path: str, partition: str = "target", fresh: bool = False) -> None:
-    """Logs per target: added to what is there, or, with ``fresh``, in place of the partitions they belong to."""
-    writer = logs.write.partitionBy(partition)
+def append_logs(logs: DataFrame, path: str, partition: str = "target", fresh: bool = False, salts: int = 4) -> None:
+    """Logs per target: added to what is there, or, with ``fresh``, in place of the partitions they belong to.
+
+    Rows are dealt out by target and a salt from the row, so an append writes at most ``salts`` files per target
+    whatever the number of its tasks, and a target with very many rows is not one task's.  Raise ``salts`` for hot
+    targets.
+    """
+    salt = F.pmod(F.xxhash64(*logs.columns), F.lit(salts))
+    writer = logs.repartition(F.col(partition), salt).write.partitionBy(partition)
     if fresh:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:

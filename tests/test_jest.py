@@ -90,3 +90,15 @@ def test_summary_lines(spark):
         "Test Summary for t", "=" * 40, "",
         "m0.js               : 1/2 tests [FAILED]", "m1.js               : 0/0 tests [ERROR]",
     ]
+
+
+def test_console_follows_the_exit_code(spark):
+    df = outputs(spark, (0, HALF), (1, HALF), (1, "not json"), (0, "{}")).withColumn("stderr", F.lit("why"))
+    shown = [r.console for r in reports.jest_console(jest.classify_jest(jest.parse_jest(df), "v1")).orderBy("impl").collect()]
+    assert shown[0].endswith("2 total") and shown[1:] == ["\x1b[31mwhy\x1b[0m", "\x1b[31mFailed to run tests\x1b[0m", ""]
+
+
+def test_report_of_a_suite_without_cases(spark):
+    df = jest.classify_jest(jest.parse_jest(outputs(spark, (1, '{"numTotalTests": 1, "testResults": [{"status": "failed"}]}'))))
+    report = reports.jest_report(df, F.lit("NOW")).first().report
+    assert "```bash\n```" in report and "0 passed, 1 failed, 1 total" in report

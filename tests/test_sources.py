@@ -244,3 +244,11 @@ def test_roots_with_spaces_relative_and_named_twice(spark, tmp_path, monkeypatch
     put(tmp_path, "w/code/a b+c/code/7/m.py", "pass")
     got = files.scan_impl_files(spark, str(tmp_path / "w/code/a b+c/code"), "python")
     assert rows(got.select("path", "content")) == [("7/m.py", "pass")]
+
+
+def test_appended_logs_have_few_files_per_target(spark, tmp_path):
+    logs = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("t"), F.col("id") % 3).alias("target"), F.col("id").alias("line"))
+    writers.append_logs(logs, str(tmp_path / "many"), salts=2)
+    for target in range(3):
+        assert len(list((tmp_path / "many" / f"target=t{target}").glob("part-*"))) <= 2
+    assert spark.read.parquet(str(tmp_path / "many")).count() == 4000

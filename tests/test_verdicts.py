@@ -128,3 +128,23 @@ def test_last_build_counts(spark):
     )
     assert rows(verdicts.gate_on_build(df, ["task_id"]).select("task_id")) == [("b",)]
     assert rows(verdicts.skipped_by_build(df, ["task_id"]).select("task_id")) == [("a",)]
+
+
+def test_judged_runs_aggregates_before_the_join(spark, folder):
+    from codetrials.plans import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries.all_queries()["judged_runs"](spark, folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = text[: text.index("SortMergeJoin")]
+    assert "Aggregate" not in above and "partial_max" in text
+
+
+def test_runs_of_unknown_tasks_are_kept_with_a_reason(spark):
+    df = runs(spark, run("a"), run("b"), run("b"), run("c"), run("d"))
+    languages = spark.createDataFrame([("a", "C++"), ("b", "Go"), ("d", None)], "task_id string, language string")
+    got = flows.unjudged_runs(df, languages, ["task_id"])
+    assert rows(got) == [("b", "unsupported language"), ("c", "unknown task"), ("d", "unsupported language")]
