@@ -50,6 +50,7 @@ MORE_RULES = [
 RULES = BASE_RULES + MORE_RULES
 FINDINGS = "blob string, rules string, kind int, start long, stop long"
 SCANNED = "blob string, rules string"
+SALTS = 16  # tasks among which the paths of one blob are dealt out
 
 
 def version_of(rules: list[Rule]) -> str:
@@ -153,6 +154,15 @@ class Ledger:
         return grouped.withColumn("base", listed(F.filter("all", lambda s: s.kind.isin(base)))).withColumn("spans", listed("all"))
 
 
+def _dealt(path: Column) -> Column:
+    """Deals out the many paths of one blob; the few blobs with findings meet each share of them."""
+    return F.pmod(F.xxhash64(path), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _to_all_shares(of_blobs: DataFrame) -> DataFrame:
+    return of_blobs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def scan(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Scan what is unseen, then one row per path and text: counts of base findings, the hash of their spans, all spans.
 
@@ -160,8 +170,8 @@ def scan(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: s
     empty result.
     """
     ledger.scan(versions, rules, path, text)
-    slim = versions.select(F.col(path), blob_of(F.col(text)).alias("blob"))
-    of_path = slim.join(ledger.of_blobs(rules), "blob", "left")
+    slim = versions.select(F.col(path), blob_of(F.col(text)).alias("blob"), _dealt(F.col(path)))
+    of_path = slim.join(_to_all_shares(ledger.of_blobs(rules)), ["blob", "salt"], "left")
     counts = [F.coalesce(F.col(f"n_{r.kind}"), F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
     return of_path.select(
         path, *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")
@@ -172,5 +182,8 @@ def clean(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path:
     """The rows whose blob has no base finding."""
     ledger.scan(versions, rules, path, text)
     base = [k for k, r in enumerate(rules) if r.base]
-    found = ledger.findings(rules).where(F.col("kind").isin(base)).select("blob").distinct()
-    return versions.join(found, blob_of(F.col(text)) == F.col("blob"), "left_anti")
+    found = _to_all_shares(
+        ledger.findings(rules).where(F.col("kind").isin(base)).select(F.col("blob").alias("_blob")).distinct()
+    ).withColumnRenamed("salt", "_salt")
+    same = (blob_of(versions[text]) == F.col("_blob")) & (_dealt(versions[path]) == F.col("_salt"))
+    return versions.join(found, same, "left_anti")
