@@ -179,11 +179,8 @@ def scan(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: s
 
 
 def clean(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose blob has no base finding."""
+    """The rows whose blob has no finding of any of the rules."""
     ledger.scan(versions, rules, path, text)
-    base = [k for k, r in enumerate(rules) if r.base]
-    found = _to_all_shares(
-        ledger.findings(rules).where(F.col("kind").isin(base)).select(F.col("blob").alias("_blob")).distinct()
-    ).withColumnRenamed("salt", "_salt")
+    found = _to_all_shares(ledger.findings(rules).select(F.col("blob").alias("_blob")).distinct()).withColumnRenamed("salt", "_salt")
     same = (blob_of(versions[text]) == F.col("_blob")) & (_dealt(versions[path]) == F.col("_salt"))
     return versions.join(found, same, "left_anti")
