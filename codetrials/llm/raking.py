@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed over cells of source, language and topic.  Raking scales the cells to the target total of each source,
-then of each language, then of each topic, and again, until the totals agree; a cell never gets more than the tokens it
-has.  A document is then kept with its cell's probability, the calibrated tokens over the tokens there are, by a hash of
+then of each language, then of each topic, and again, until all totals are within a tolerance of their targets; a cell
+never gets more than the tokens it has.  A document is then kept with its cell's probability, the calibrated tokens over the tokens there are, by a hash of
 its id: the same documents whatever the number of tasks.
 
 A cell is a combination of categories and not a document; each sweep is a few small aggregates, and is written to the
@@ -11,6 +11,8 @@ shared folder, which cuts the lineage.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +56,37 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: C
 
 
 def targets(cells: DataFrame, dimension: str, power: float = POWER, budget: float = BUDGET) -> DataFrame:
-    """(category, target tokens): shares in proportion to a power of the tokens, of ``budget`` of all of them."""
-    own = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
-    total = own.agg(F.sum("tokens").alias("all"), F.sum(F.pow("tokens", F.lit(power))).alias("weight"))
-    all_, weight = total.first()  # two numbers
-    goal = F.pow("tokens", F.lit(power)) * ((all_ or 0.0) * budget / (weight or 1.0))
-    return own.select(dimension, F.least(goal, F.col("tokens")).alias("target"))
+    """(category, target tokens): shares in proportion to a power of the tokens, of ``budget`` of all of them.
+
+    No category gets more tokens than it has; what it cannot take goes to the others in the same proportion, so the
+    targets of every dimension have the same sum.
+    """
+    own = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens")).withColumn("weight", F.pow("tokens", F.lit(power)))
+    all_, weight = own.agg(F.sum("tokens"), F.sum("weight")).first()  # two numbers
+    wanted = (all_ or 0.0) * min(budget, 1.0)
+    level, full = wanted / (weight or 1.0), 0
+    while True:  # each round fills at least one category more, mostly many
+        filled = F.col("weight") * level >= F.col("tokens")
+        n, held, open_ = own.agg(
+            F.count_if(filled), F.sum(F.when(filled, F.col("tokens"))), F.sum(F.when(~filled, F.col("weight")))
+        ).first()  # three numbers
+        if n == full or not open_:
+            break
+        level, full = (wanted - held) / open_, n
+    return own.select(dimension, F.least(F.col("weight") * level, F.col("tokens")).alias("target"))
+
+
+def deviations(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, category, total, target, deviation): how far the goals of each category are from its target, as a
+    share of it."""
+    of = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in wanted]))
+    totals = cells.select(of.alias("of"), "goal").groupBy("of.dimension", "of.category").agg(F.sum("goal").alias("total"))
+    goals = None
+    for d, target in wanted.items():
+        one = target.select(F.lit(d).alias("dimension"), F.col(d).alias("category"), "target")
+        goals = one if goals is None else goals.unionByName(one)
+    off = F.when(F.col("target") > 0, F.abs(F.col("total") - F.col("target")) / F.col("target"))
+    return totals.join(goals, ["dimension", "category"]).withColumn("deviation", off.otherwise((F.col("total") > 0).cast("double")))
 
 
 def raked(
@@ -67,14 +94,14 @@ def raked(
 ) -> DataFrame:
     """Cells with ``goal``, the tokens to take of each, fitted to the targets of each dimension.
 
-    ``wanted``: for each dimension (category, target).  A category without a target keeps its tokens.  Targets that
-    cannot be met, since a cell has no more tokens, are approached; fitting ends when a sweep moves no cell by more than
-    ``tolerance`` of its goal, or after ``sweeps``.
+    ``wanted``: for each dimension (category, target).  A category without a target keeps its tokens.  Fitting ends when
+    the total of every category is within ``tolerance`` of its target.  Targets that cannot be met together, since a cell
+    has no more tokens, are approached; after ``sweeps`` a warning says how far each dimension is from its targets.
     """
     spark = cells.sparkSession
     now = cells.withColumn("goal", F.col("tokens"))
+    off: dict[str, float] = {}
     for k in range(sweeps):
-        now = now.withColumn("was", F.col("goal"))
         for dimension, target in wanted.items():
             sums = now.groupBy(dimension).agg(F.sum("goal").alias("sum")).join(target, dimension)
             factor = sums.select(dimension, (F.col("target") / F.when(F.col("sum") > 0, F.col("sum"))).alias("factor"))
@@ -84,12 +111,15 @@ def raked(
                 .drop("factor")
             )
         path = scratch_path(spark, f"sweep-{k}")
-        now.select(*DIMENSIONS, "tokens", "goal", "was").write.parquet(path)
-        now = spark.read.schema(CELLS + ", was double").parquet(path)
-        moved = now.agg(F.max(F.abs(F.col("goal") - F.col("was")) / F.col("was"))).first()[0]
-        if (moved or 0.0) <= tolerance:
-            break
-    return now.drop("was")
+        now.select(*DIMENSIONS, "tokens", "goal").write.parquet(path)
+        now = spark.read.schema(CELLS).parquet(path)
+        worst = deviations(now, wanted).groupBy("dimension").agg(F.max("deviation"))
+        off = dict(tuple(r) for r in worst.collect())  # a number for each dimension
+        if max(off.values(), default=0.0) <= tolerance:
+            return now
+    far = ", ".join(f"{d} {x:.2%}" for d, x in sorted(off.items()))
+    warnings.warn(f"raking ends after {sweeps} sweeps with totals off their targets by up to: {far}", RuntimeWarning, stacklevel=2)
+    return now
 
 
 def uniform(key: str) -> Column:

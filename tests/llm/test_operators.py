@@ -261,6 +261,35 @@ def test_raking(spark, none):
     assert raking.mixed(docs).count() == taken.count()
 
 
+def test_raking_meets_its_targets_with_one_large_source(spark):
+    sources = [("large", 800_000.0)] + [(f"s{k}", 200.0) for k in range(1000)]
+    rows = [
+        (s, lang, topic, n * a * b)
+        for s, n in sources for lang, a in (("en", 0.6), ("de", 0.4)) for topic, b in (("x", 0.7), ("y", 0.3))
+    ]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double").cache()
+    wanted = {d: raking.targets(cells, d).cache() for d in raking.DIMENSIONS}
+    for d, target in wanted.items():
+        assert target.toPandas().target.sum() == pytest.approx(raking.BUDGET * 1_000_000), d
+    assert wanted["source"].where("source = 'large'").first().target == pytest.approx(300_000)
+    out = raking.raked(cells, wanted).toPandas()
+    for d, target in wanted.items():
+        both = target.toPandas().set_index(d).target.to_frame().join(out.groupby(d).goal.sum())
+        assert np.abs(both.goal / both.target - 1).max() <= raking.TOLERANCE, d
+    full = raking.targets(cells, "source", budget=1.0).join(cells.groupBy("source").agg({"tokens": "sum"}), "source").toPandas()
+    assert full.target.to_numpy() == pytest.approx(full["sum(tokens)"].to_numpy())
+
+
+def test_raking_reports_targets_it_cannot_meet(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 100.0), ("b", "de", "x", 100.0)], "source string, lang string, topic string, tokens double")
+    wanted = {
+        "source": spark.createDataFrame([("a", 80.0), ("b", 20.0)], "source string, target double"),
+        "lang": spark.createDataFrame([("en", 50.0), ("de", 50.0)], "lang string, target double"),
+    }
+    with pytest.warns(RuntimeWarning, match="after 3 sweeps .* source 150.00%"):
+        assert raking.raked(cells, wanted, sweeps=3).count() == 2
+
+
 def test_blocks_keep_every_text(spark, hard):
     packed = blocks.pack(hard, size=1000)
     back = []
