@@ -26,6 +26,7 @@ SLOTS = 1 << 18
 HASHES = 3
 WIDTH = 4
 UNKNOWN = "und"
+TO_JUDGE = 8  # n-grams that a text needs before its score can speak against it
 COUNTS = "lang string, gram long, n long"
 RESULT = "doc_id long, lang_pred string, score double"
 
@@ -173,8 +174,26 @@ def judged(block: B.Block, filters: Filters) -> list[tuple[str, float]]:
     return out
 
 
+def worth_keeping(block: B.Block, filters: Filters, least: float) -> list[bool]:
+    """Which texts have a language, or a letter and nothing that speaks against one."""
+    raw = block.raw()
+    many = np.bincount(grams_of(block)[1], minlength=len(block.ids))
+    out = []
+    for k, (name, score) in enumerate(judged(block, filters)):
+        if name != UNKNOWN and score >= least:
+            out.append(True)
+        else:
+            judge = bool(filters.languages) and many[k] >= TO_JUDGE
+            out.append(not judge and any(c.isalpha() for c in raw[block.begins[k] : block.ends[k]].decode()))
+    return out
+
+
 def accepted(docs: DataFrame, filters: Filters, least: float = 0.1, text: str = "text") -> DataFrame:
-    """The rows with a language, by a score of at least ``least``; all columns stay as they are."""
+    """The rows with a language; all columns stay as they are.
+
+    A text without a letter (or a null one) has none.  A text with letters goes only if it was judged, by filters of at
+    least one language and ``TO_JUDGE`` n-grams of its own, and scored below ``least``: it is hardly like any language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index(text)
 
@@ -183,11 +202,7 @@ def accepted(docs: DataFrame, filters: Filters, least: float = 0.1, text: str =
             texts = batch.column(at).cast(pa.binary())
             ids = pa.array(np.arange(batch.num_rows))
             slim = pa.RecordBatch.from_arrays([ids, texts], names=["id", "t"])
-            keep = [
-                name != UNKNOWN and score >= least
-                for block in B.in_chunks(iter([slim]))
-                for name, score in judged(block, shared.value)
-            ]
+            keep = [k for block in B.in_chunks(iter([slim])) for k in worth_keeping(block, shared.value, least)]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

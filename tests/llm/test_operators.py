@@ -8,6 +8,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -242,6 +243,20 @@ def test_language(spark, none):
     assert got(bitmask_langid.identify(none)) == []
 
 
+def test_language_keeps_what_it_cannot_judge():
+    words = " the of and that with from this have were been which their would there about".split()
+    cut = lambda texts: next(blocks.in_chunks(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["id", "t"])])))
+    gram = np.unique(bitmask_langid.grams_of(cut([" ".join(words).encode()]))[0])
+    bits = np.zeros((bitmask_langid.SLOTS, 1), dtype=np.uint64)
+    for at in bitmask_langid.slots_of(gram):
+        bits[at] = 1
+    english = bitmask_langid.Filters(["en"], bits, np.zeros(1))
+    unlabelled = bitmask_langid.Filters([], np.zeros_like(bits), np.zeros(0))
+    block = cut([b"I am OK", b"A1 B7", "é".encode(), b"of that with", b"12 34", b"", None, b"zzqx qxzz xqqz zxqz qzxx zqqx"])
+    assert bitmask_langid.worth_keeping(block, english, 0.1) == [True] * 4 + [False] * 4
+    assert bitmask_langid.worth_keeping(block, unlabelled, 0.1) == [True] * 4 + [False] * 3 + [True]
+
+
 def test_raking(spark, none):
     docs = queries.table(spark, SMALL, "documents")
     cells = raking.probabilities(docs)
