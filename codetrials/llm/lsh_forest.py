@@ -106,7 +106,7 @@ COUNT = np.dtype([("node", "<u8"), ("n", "<i8")])
 
 
 def member(trees: int) -> np.dtype:
-    return np.dtype([("node", "<u8"), ("row", "<i8"), ("tree", "<i4"), ("nodes", "<u4", (trees,))])
+    return np.dtype([("node", "<u8"), ("row", "<i8"), ("tree", "<i4"), ("nodes", "<u8", (trees,))])
 
 
 def needed(trees: int):
@@ -173,7 +173,7 @@ def verified(threshold: float, trees: int):
         for node, p, q, mine, row, tree, nodes, shingles in zip(
             *(table.column(c).to_pylist() for c in ("node", "p", "q", "mine", "row", "tree", "nodes", "shingles")), strict=True
         ):
-            item = (row, np.frombuffer(nodes, dtype=np.uint32)[:tree], np.frombuffer(shingles, dtype=np.uint64))
+            item = (row, np.frombuffer(nodes, dtype=np.uint64)[:tree], np.frombuffer(shingles, dtype=np.uint64))
             groups[node, p, q][0 if mine == p else 1].append(item)
         out = []
         for (_, p, q), (left, right) in groups.items():
@@ -284,7 +284,7 @@ def near_duplicates(
                 here = np.flatnonzero(B.among(nodes[:, t], crowded))
                 row = np.empty(len(here), dtype=member(trees))
                 row["node"], row["row"], row["tree"] = nodes[here, t], (number << B.ROW_BITS) + at[here], t
-                row["nodes"] = (nodes[here] >> np.uint64(32)).astype(np.uint32)
+                row["nodes"] = nodes[here]
                 row = row[np.argsort(row["node"], kind="stable")]
                 out += [(b, number, row[k].tobytes()) for b, k in B.by_bucket(row["node"], buckets)]
         return pa.Table.from_batches(list(B.packed(out, B.ASKED)), B.arrow_schema(B.ASKED))
@@ -331,12 +331,11 @@ def near_duplicates(
             tree = int(np.flatnonzero(mine == np.uint64(node))[0])
             parts = -(-many // part)
             home = int(B.mixed(np.array([row], dtype=np.uint64))[0] % np.uint64(parts))
-            brief = (mine >> np.uint64(32)).astype(np.uint32).tobytes()
             signed = node - (1 << 64) if node >> 63 else node
             for other in range(parts):
                 p, q = min(home, other), max(home, other)
                 deal = int(B.mixed(np.array([node ^ (p * 0x9E3779B1 + q * 0x85EBCA77)], dtype=np.uint64))[0] % np.uint64(buckets * 16))
-                yield deal, signed, p, q, home, row, tree, brief, sets[place[k]].tobytes()
+                yield deal, signed, p, q, home, row, tree, mine.tobytes(), sets[place[k]].tobytes()
 
     answers = slim.unionByName(crowded).unionByName(nodes_of)
     sent = B.told(packed, answers, send, schema)

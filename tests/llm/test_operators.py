@@ -208,6 +208,22 @@ def test_lsh_forest_depth_and_repeated_rows(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == [(1, "a b c d e f"), (2, None)]
 
 
+def test_lsh_forest_tells_nodes_apart_by_all_their_bits():
+    """Nodes of the first tree that differ in half of their bits only: the second tree is the first that holds the pair."""
+    sets = np.arange(20, dtype=np.uint64).tobytes()
+    for one, two in ((5 << 32 | 1, 5 << 32 | 2), (1 << 32 | 5, 2 << 32 | 5)):
+        rows = np.zeros(2, dtype=lsh_forest.member(2))
+        rows["node"], rows["row"], rows["tree"], rows["nodes"] = 9, [0, 1], 1, [[one, 9], [two, 9]]
+        told = [np.frombuffer(p, dtype=np.uint64).reshape(2, -1)[1].tolist() for _, p in lsh_forest.needed(2)([(0, rows.tobytes())])]
+        assert told == [[0, 1]]
+        sent = [
+            {"node": 9, "p": 0, "q": 0, "mine": 0, "row": k, "tree": 1, "nodes": np.array([n, 9], dtype=np.uint64).tobytes(), "shingles": sets}
+            for k, n in enumerate((one, two))
+        ]
+        links = lsh_forest.verified(0.8, 2)(None, pa.Table.from_pylist(sent)).to_pylist()
+        assert sorted((x["row"], x["other"], x["n"]) for x in links) == [(0, 0, 1), (1, 0, 1)]
+
+
 def test_notices(spark, hard, none):
     found = notice_search.search(hard)
     assert got(found, 6) == plain(brute.notices(pairs(hard)))
