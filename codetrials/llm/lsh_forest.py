@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
 
-A text is the set of its shingles (five words each).  Each tree of the forest is the sorted prefix trie of a sequence of
-minima under random hash functions; two texts of similarity s share a prefix of k minima with probability s**k.  Matched
-prefixes are shortened until the target recall at the threshold is reached (``depth_for``).  Then
+A text is the set of its shingles (five words each).  Each tree of the forest is a sequence of minima under random hash
+functions; two texts of similarity s share a prefix of k minima with probability s**k.  The forest is used at one fixed
+depth, the longest that has the target recall at the threshold (``depth_for``): texts meet on equal prefixes of that
+length, as in LSH banding, and no longer prefix is tried first.  Then
 
 1. Spark counts the texts below each trie node of that depth; nodes of one text end there;
 2. the texts of a node (slim rows: their nodes in all trees) tell who has a pair that no earlier tree holds;
