@@ -43,5 +43,51 @@ select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(
   coalesce(spans, '') as spans from d left join g using (r)"""
 
 
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen(cast({value} as varchar)) || ':' || cast({value} as varchar) end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """The levels of the trees of ``leaves`` (grp, place, size, hash), and the children of each parent in one list."""
+    return f"""{name} as (select 0 as level, grp, place, size, hash from {leaves} union all
+  select level + 1, grp, place // 16, (any_value(size) + 15) // 16, sha256(string_agg(hash, '' order by place)) from {name} where size > 1 group by level, grp, place // 16),
+{name}_runs as (select level, grp, place // 16 as parent, list(hash order by place) as run from {name} where size > 1 group by all),
+{name}_steps as (select l.grp, l.place, list(array_to_string(run[1:slot], '') || '|' || array_to_string(run[slot + 2:], '') order by level) as steps
+  from (select l.grp, l.place, r.level, r.run, l.place // cast(power(16, r.level) as bigint) % 16 as slot
+    from {leaves} l join {name}_runs r on r.grp is not distinct from l.grp and r.parent = l.place // cast(power(16, r.level + 1) as bigint)) l group by all)"""
+
+
+OP11 = f"""
+with recursive byte as (select list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+leaves as (select doc_id, source as grp, hash, claim, row_number() over (partition by source order by doc_id nulls first, hash) - 1 as place, count(*) over (partition by source) as size
+  from (select doc_id, source, {_leaf("text")} as hash,
+    case when xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0
+      then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as claim from documents, byte)),
+{_tree("t", "leaves")},
+sources as (select 0 as grp, grp as name, hash, row_number() over (order by grp nulls first) - 1 as place, count(*) over () as size from t where size = 1),
+{_tree("u", "sources")},
+root as (select hash as root from u where size = 1),
+p as (select doc_id, l.hash as leaf, coalesce(claim, l.hash) as claim, s.hash as subroot, root, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) as steps
+  from leaves l join sources s on s.name is not distinct from l.grp cross join root
+  left join t_steps a on a.grp is not distinct from l.grp and a.place = l.place left join u_steps b on b.place = s.place)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) as proof_sha256, folded as folded_root, folded = root as verified
+from (select *, list_reduce(list_concat([claim], steps), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) as folded from p)"""
+
+OP13 = """
+with v as (select row_number() over () as r, vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r as ar, a.id as anchor_id, a.label as own, b.r, b.id, b.label, cast(list_inner_product(a.v, b.v) as bigint) as score from v a join v b on a.id % 100 = 0 and a.r <> b.r),
+p as (select * from s where label = own qualify row_number() over (partition by ar order by score desc, id) <= 5),
+n as (select p.anchor_id, p.id as positive_id, cast(row_number() over (partition by p.ar, p.r order by s.score desc, s.id) as integer) as rank, s.id as negative_id,
+  p.score as positive_score, s.score as negative_score from p join s on s.ar = p.ar and s.label <> p.own and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select * from n where rank <= 10"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_recompression_dedup": OP1, "op8_blob_ledger": OP8}
+    return {"op1_recompression_dedup": OP1, "op8_blob_ledger": OP8, "op11_slot_manifest": OP11, "op13_slot_negatives": OP13}

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetrials.llm import (
+    balanced_packing,
     bitmask_langid,
     blob_ledger,
+    dataset_manifest,
+    hard_negatives,
     lsh_forest,
     merkle_fixity,
     notice_search,
@@ -87,6 +90,19 @@ def op10_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return run_length_index.dedup(table(spark, folder, "documents"))
 
 
+def op11_slot_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return dataset_manifest.audited(table(spark, folder, "documents"))
+
+
+def op12_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return balanced_packing.pack(table(spark, folder, "documents"))
+
+
+def op13_slot_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), label=label)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_recompression_dedup,
@@ -99,5 +115,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_blob_ledger,
         op9_bitmask_language,
         op10_run_length_dedup,
+        op11_slot_manifest,
+        op12_balanced_packing,
+        op13_slot_negatives,
     ]
     return {f.__name__: f for f in named}
