@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codetrials.llm.names import unused
 from codetrials.plans.scratch import scratch_path
 
 
@@ -103,7 +104,8 @@ class Ledger:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            fields = [f.strip().split() for f in schema.split(",")]
+            return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
 
     def findings(self, rules: list[Rule] = RULES) -> DataFrame:
         return self._read("findings", FINDINGS).where(F.col("rules") == version_of(rules))
@@ -179,8 +181,9 @@ def scan(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: s
 
 
 def clean(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose blob has no finding of any of the rules."""
+    """The rows whose blob has no finding of any of the rules, with the columns they came with, whatever their names."""
     ledger.scan(versions, rules, path, text)
-    found = _to_all_shares(ledger.findings(rules).select(F.col("blob").alias("_blob")).distinct()).withColumnRenamed("salt", "_salt")
-    same = (blob_of(versions[text]) == F.col("_blob")) & (_dealt(versions[path]) == F.col("_salt"))
-    return versions.join(found, same, "left_anti")
+    name = unused(versions, "found")
+    found = _to_all_shares(ledger.findings(rules).select("blob").distinct()).select(F.struct("blob", "salt").alias(name))
+    own = F.struct(blob_of(F.col(text)).alias("blob"), _dealt(F.col(path)))
+    return versions.join(found, own == F.col(name), "left_anti")

@@ -390,12 +390,16 @@ def _classes(packed: DataFrame, links: DataFrame, key: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each class, once."""
-    kept = near_duplicates(docs, key=key, text=text).where("keeps").select(F.col(key).alias("_id"), F.col("digest").alias("_digest"))
+    """The rows of ``docs`` that ``near_duplicates`` keeps, one document of each class, once, with the columns they came
+    with, whatever their names.
+
+    Of rows that agree in id and text, the one whose columns have the smallest hash stays.
+    """
+    kept = near_duplicates(docs, key=key, text=text).where("keeps").select(F.struct(F.col(key).alias("id"), "digest").alias("kept"))
     digest = F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 2 * B.DIGEST)
-    own = docs.withColumn("_own", digest)
-    found = own.join(kept, (F.col("_own") == F.col("_digest")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates([key, "_own"]).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col(key).alias("id"), digest.alias("digest")).alias("own"))
+    found = own.join(kept, F.col("own").eqNullSafe(F.col("kept")), "left_semi")
+    return found.groupBy("own").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")
 
 
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:

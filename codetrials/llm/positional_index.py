@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codetrials.llm.names import unused
 from codetrials.plans.scratch import scratch_path
 
 WINDOW = 13
@@ -159,10 +160,12 @@ def decontaminate(
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    bad = judged(docs, items, key=key, text=text).where("contaminated").select(F.col(key).alias("_id"), F.col("text_key").alias("_key"))
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_id")) & (own == F.col("_key")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with the columns they came with, whatever their names."""
+    name = unused(docs, "contaminated")
+    bad = judged(docs, items, key=key, text=text).where("contaminated")
+    bad = bad.select(F.struct(F.col(key).alias("id"), F.col("text_key").alias("text")).alias(name))
+    own = F.struct(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    return docs.join(bad, own.eqNullSafe(F.col(name)), "left_anti")
 
 
 def judged(

@@ -5,17 +5,19 @@ then of each language, then of each topic, and again, until all totals are withi
 never gets more than the tokens it has.  A document is then kept with its cell's probability, the calibrated tokens over the tokens there are, by a hash of
 its id: the same documents whatever the number of tasks.
 
-A cell is a combination of categories and not a document; each sweep is a few small aggregates, and is written to the
-shared folder, which cuts the lineage.
+A cell is a combination of categories and not a document.  The targets are put on the cells once; a sweep is three small
+aggregates and one write to the shared folder, which cuts the lineage and brings the deviations along.
 """
 
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from codetrials.llm.names import unused
 from codetrials.plans.scratch import scratch_path
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -26,9 +28,13 @@ NONE = "(none)"
 CELLS = "source string, lang string, topic string, tokens double, goal double"
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def tokens_of(text: Column) -> Column:
     """Words between blanks; a null text has none."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+"))).cast("long")
 
 
 def topic_of(text: Column) -> Column:
@@ -55,38 +61,56 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: C
     )
 
 
-def targets(cells: DataFrame, dimension: str, power: float = POWER, budget: float = BUDGET) -> DataFrame:
-    """(category, target tokens): shares in proportion to a power of the tokens, of ``budget`` of all of them.
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def all_targets(
+    cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, power: float = POWER, budget: float = BUDGET
+) -> DataFrame:
+    """(dimension, category, target): in each dimension, shares in proportion to a power of the tokens, of ``budget`` of
+    all of them.
 
     No category gets more tokens than it has; what it cannot take goes to the others in the same proportion, so the
-    targets of every dimension have the same sum.
+    targets of every dimension have the same sum.  All dimensions are settled together, round by round.
     """
-    own = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens")).withColumn("weight", F.pow("tokens", F.lit(power)))
-    all_, weight = own.agg(F.sum("tokens"), F.sum("weight")).first()  # two numbers
-    wanted = (all_ or 0.0) * min(budget, 1.0)
-    level, full = wanted / (weight or 1.0), 0
-    while True:  # each round fills at least one category more, mostly many
-        filled = F.col("weight") * level >= F.col("tokens")
-        n, held, open_ = own.agg(
+    of = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in dimensions]))
+    own = cells.select(of.alias("of"), "tokens").groupBy("of.dimension", "of.category").agg(F.sum("tokens").alias("tokens"))
+    own = written(own.withColumn("weight", F.pow("tokens", F.lit(power))), "categories")
+    sums = {r[0]: r[1:] for r in own.groupBy("dimension").agg(F.sum("tokens"), F.sum("weight")).collect()}  # a row a dimension
+    wanted = {d: tokens * min(budget, 1.0) for d, (tokens, _) in sums.items()}
+    level = {d: wanted[d] / (weight or 1.0) for d, (_, weight) in sums.items()}
+    full = dict.fromkeys(level, 0)
+
+    def at(levels: dict[str, float]) -> Column:
+        return reduce(lambda c, d: c.when(F.col("dimension") == d, F.lit(levels[d])), levels, F.when(F.lit(False), F.lit(0.0)))
+
+    while level:  # each round fills at least one category more, mostly many
+        filled = F.col("weight") * at(level) >= F.col("tokens")
+        held = own.groupBy("dimension").agg(
             F.count_if(filled), F.sum(F.when(filled, F.col("tokens"))), F.sum(F.when(~filled, F.col("weight")))
-        ).first()  # three numbers
-        if n == full or not open_:
+        )
+        settled = True
+        for d, n, taken, open_ in held.collect():  # a row a dimension
+            if n > full[d] and open_:
+                level[d], full[d], settled = (wanted[d] - taken) / open_, n, False
+        if settled:
             break
-        level, full = (wanted - held) / open_, n
-    return own.select(dimension, F.least(F.col("weight") * level, F.col("tokens")).alias("target"))
+    return own.select("dimension", "category", F.least(F.col("weight") * at(level), F.col("tokens")).alias("target"))
 
 
-def deviations(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
-    """(dimension, category, total, target, deviation): how far the goals of each category are from its target, as a
-    share of it."""
-    of = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in wanted]))
-    totals = cells.select(of.alias("of"), "goal").groupBy("of.dimension", "of.category").agg(F.sum("goal").alias("total"))
-    goals = None
+def targets(cells: DataFrame, dimension: str, power: float = POWER, budget: float = BUDGET) -> DataFrame:
+    """(category, target tokens) of one dimension, by :func:`all_targets`."""
+    return all_targets(cells, (dimension,), power, budget).select(F.col("category").alias(dimension), "target")
+
+
+def with_targets(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
+    """The cells with a column ``target_<dimension>`` for each of ``wanted``, null where a category has none."""
     for d, target in wanted.items():
-        one = target.select(F.lit(d).alias("dimension"), F.col(d).alias("category"), "target")
-        goals = one if goals is None else goals.unionByName(one)
-    off = F.when(F.col("target") > 0, F.abs(F.col("total") - F.col("target")) / F.col("target"))
-    return totals.join(goals, ["dimension", "category"]).withColumn("deviation", off.otherwise((F.col("total") > 0).cast("double")))
+        cells = cells.join(target.select(d, F.col("target").alias(f"target_{d}")), d, "left")
+    return cells
 
 
 def raked(
@@ -94,73 +118,74 @@ def raked(
 ) -> DataFrame:
     """Cells with ``goal``, the tokens to take of each, fitted to the targets of each dimension.
 
-    ``wanted``: for each dimension (category, target).  A category without a target keeps its tokens.  Fitting ends when
-    the total of every category is within ``tolerance`` of its target.  Targets that cannot be met together, since a cell
-    has no more tokens, are approached; after ``sweeps`` a warning says how far each dimension is from its targets.
+    ``wanted``: for each dimension (category, target).  A category without a target keeps its tokens.  Fitting ends when a
+    sweep finds every total so near its target that none is further off than ``tolerance`` after it.  Targets that cannot
+    be met together, since a cell has no more tokens, are approached; after ``sweeps`` a warning says how far each
+    dimension was from its targets.
     """
-    spark = cells.sparkSession
-    now = cells.withColumn("goal", F.col("tokens"))
+    kept = [*cells.columns]
+    now = written(with_targets(cells, wanted).withColumn("goal", F.col("tokens")), "cells")
+    near = 1 - (1 + tolerance) ** (-1 / max(1, len(wanted)))  # so many small steps are no more than the tolerance
     off: dict[str, float] = {}
     for k in range(sweeps):
-        for dimension, target in wanted.items():
-            sums = now.groupBy(dimension).agg(F.sum("goal").alias("sum")).join(target, dimension)
-            factor = sums.select(dimension, (F.col("target") / F.when(F.col("sum") > 0, F.col("sum"))).alias("factor"))
-            now = (
-                now.join(factor, dimension, "left")
-                .withColumn("goal", F.least(F.col("goal") * F.coalesce("factor", F.lit(1.0)), F.col("tokens")))
-                .drop("factor")
-            )
-        path = scratch_path(spark, f"sweep-{k}")
-        now.select(*DIMENSIONS, "tokens", "goal").write.parquet(path)
-        now = spark.read.schema(CELLS).parquet(path)
-        worst = deviations(now, wanted).groupBy("dimension").agg(F.max("deviation"))
-        off = dict(tuple(r) for r in worst.collect())  # a number for each dimension
-        if max(off.values(), default=0.0) <= tolerance:
-            return now
+        seen = []
+        for d in wanted:
+            total, target = F.sum("goal"), F.max(f"target_{d}")
+            miss = F.when(target > 0, F.abs(total - target) / target).otherwise((total > 0).cast("double"))
+            sums = now.groupBy(d).agg((target / F.when(total > 0, total)).alias("factor"), miss.alias(f"off_{d}"))
+            goal = F.least(F.col("goal") * F.coalesce("factor", F.lit(1.0)), F.col("tokens"))
+            now = now.join(sums, d, "left").withColumn("goal", goal).drop("factor")
+            seen.append(F.coalesce(F.max(F.when(F.col(f"target_{d}").isNotNull(), F.col(f"off_{d}"))), F.lit(0.0)).alias(d))
+        observed = Observation(f"sweep-{k}")
+        now = now.observe(observed, *seen).drop(*[f"off_{d}" for d in wanted]) if seen else now
+        now = written(now, f"sweep-{k}")
+        off = observed.get if seen else {}
+        if max(off.values(), default=0.0) <= near:
+            return now.select(*kept, "goal")
     far = ", ".join(f"{d} {x:.2%}" for d, x in sorted(off.items()))
     warnings.warn(f"raking ends after {sweeps} sweeps with totals off their targets by up to: {far}", RuntimeWarning, stacklevel=2)
-    return now
+    return now.select(*kept, "goal")
 
 
 def uniform(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit("mix")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def of_cells(described: DataFrame) -> DataFrame:
+    """(source, lang, topic, tokens, goal, probability) of each cell of :func:`described` documents."""
+    parts = described.groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("tokens"))
+    cells = written(parts.where("tokens > 0"), "tokens")
+    goals = written(all_targets(cells), "targets")
+    wanted = {d: goals.where(F.col("dimension") == d).select(F.col("category").alias(d), "target") for d in DIMENSIONS}
+    return raked(cells, wanted).withColumn("probability", F.col("goal") / F.col("tokens"))
+
+
 def probabilities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(source, lang, topic, tokens, goal, probability) of each cell."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "cells")
-    parts = described(docs, key, text).groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("tokens"))
-    parts.where("tokens > 0").withColumn("goal", F.col("tokens")).write.parquet(path)
-    cells = spark.read.schema(CELLS).parquet(path)
-    wanted = {}
-    for dimension in DIMENSIONS:
-        kept = scratch_path(spark, f"target-{dimension}")
-        targets(cells, dimension).write.parquet(kept)
-        wanted[dimension] = spark.read.schema(f"{dimension} string, target double").parquet(kept)
-    return raked(cells.drop("goal"), wanted).withColumn("probability", F.col("goal") / F.col("tokens"))
+    return of_cells(described(docs, key, text))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The sampled documents: id, cell, tokens, probability and weight (its inverse).
 
     A document without tokens is never taken.  Rows of one id are taken or left together if they are of one cell.  An
-    empty table gives an empty result.
+    empty table gives an empty result.  The texts are read once.
     """
-    cells = probabilities(docs, key, text).select(*DIMENSIONS, "probability")
+    slim = written(described(docs, key, text).where("tokens > 0"), "described")
+    cells = of_cells(slim).select(*DIMENSIONS, "probability")
     return (
-        described(docs, key, text)
-        .where(F.col("tokens") > 0)
-        .join(cells, list(DIMENSIONS))
+        slim.join(cells, list(DIMENSIONS))
         .where(uniform(key) < F.col("probability"))
         .select(key, *DIMENSIONS, F.col("tokens").alias("n_tokens"), "probability", (1 / F.col("probability")).alias("weight"))
     )
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sampled documents with the columns they came with."""
-    cells = probabilities(docs, key, text).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
+    """The sampled documents with the columns they came with, whatever their names."""
     own = lambda d: F.coalesce(F.col(d).cast("string"), F.lit(NONE))
-    cell = (own("source") == F.col("_source")) & (own("lang") == F.col("_lang")) & (topic_of(F.col(text)) == F.col("_topic"))
-    taken = docs.where(tokens_of(F.col(text)) > 0).join(cells, cell).where(uniform(key) < F.col("probability"))
+    cell, chance = unused(docs, "cell"), unused(docs, "probability")
+    cells = probabilities(docs, key, text).select(F.struct(*DIMENSIONS).alias(cell), F.col("probability").alias(chance))
+    of = F.struct(own("source").alias("source"), own("lang").alias("lang"), topic_of(F.col(text)).alias("topic"))
+    filled = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS)) != ""
+    taken = docs.where(filled).join(cells, of == F.col(cell)).where(uniform(key) < F.col(chance))
     return taken.select(*[docs[c] for c in docs.columns])

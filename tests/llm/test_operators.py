@@ -290,6 +290,11 @@ def test_raking(spark, none):
     taken = raking.mix(docs)
     assert 0 < taken.count() < docs.count() and taken.where("probability <= 0 or probability > 1").count() == 0
     assert raking.mixed(docs).count() == taken.count()
+    kept = {r.doc_id for r in raking.mixed(docs).collect()}
+    cell = {(r.source, r.lang, r.topic): r.probability for r in cells.collect()}
+    chance = raking.described(docs).select("*", raking.uniform("doc_id").alias("u")).collect()
+    assert kept == {r.doc_id for r in chance if r.tokens and r.u < cell[r.source, r.lang, r.topic]} == {r.doc_id for r in taken.collect()}
+    assert {r.doc_id: r.tokens for r in chance} == {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
 
 
 def test_raking_meets_its_targets_with_one_large_source(spark):

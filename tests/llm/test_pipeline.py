@@ -60,3 +60,44 @@ def test_secrets_of_every_rule_go(spark):
     safe = corpus_pipeline.drop_secrets(spark, docs, SMALL)
     left = sorted(((r.doc_id, r.text) for r in safe.collect()), key=repr)
     assert left == sorted([rows[4], rows[4], rows[5], rows[6]], key=repr)
+
+
+CLASHING = (
+    "_id", "_own", "_digest", "_key", "_blob", "_salt", "_source", "_lang", "_topic", "probability", "cell", "kept", "own", "doc", "id", "digest",
+    "contaminated", "found", "blob", "salt", "block", "bucket", "row", "tokens", "goal", "factor", "target", "text_key", "term", "rank", "PROBABILITY2",
+)
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Every stage with extra columns named as its own ones, with nulls, repeated rows, and an empty table."""
+    from pyspark.sql import functions as F
+
+    docs = queries.table(spark, SMALL, "documents")
+    docs = docs.unionByName(docs.where("doc_id in (3, 4)")).unionByName(
+        spark.createDataFrame([(5000, None), (5001, ""), (None, "some words of a text without an id")], "doc_id long, text string"), allowMissingColumns=True
+    )
+    named = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING]).cache()
+    plain = named.select(*docs.columns).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        wide, slim = stage(spark, named, SMALL), stage(spark, plain, SMALL)
+        assert wide.columns == named.columns, name
+        assert pairs_of(wide) == pairs_of(slim), name
+        for c in CLASHING:
+            assert wide.where(F.col(c) != F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).count() == 0, (name, c)
+        assert stage(spark, plain.limit(0), SMALL).collect() == [], name
+
+
+def pairs_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
+
+
+def test_which_row_of_a_repeated_document_stays_is_fixed(spark):
+    from codetrials.llm import lsh_forest
+
+    queries.known_to_workers(spark)
+    rows = [(1, "a b c d e f", f"s{k}") for k in range(20)]
+    kept = {
+        tuple(lsh_forest.deduplicated(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, source string").repartition(n)).first())
+        for k, n in ((0, 1), (7, 3), (13, 5))
+    }
+    assert len(kept) == 1
