@@ -52,8 +52,8 @@ def seeds(phrase: str, edits: int) -> list[tuple[int, bytes]]:
 
 
 def plain(block: B.Block):
-    """(words joined by blanks, each text's last one followed by a line feed; where each word begins; first word of each
-    text; the word after its last)."""
+    """(words joined by blanks, with a line feed first and after each text's last one; where each word begins; first word
+    of each text; the word after its last)."""
     data = np.append(B.LOWER[block.data], np.uint8(0x20))
     begin, end = B.words_of(data[:-1], B.MARKS)
     doc = np.searchsorted(block.ends, begin, side="right")
@@ -63,9 +63,9 @@ def plain(block: B.Block):
     steps = np.zeros(len(data) + 1, dtype=np.int8)
     steps[begin] += 1
     steps[end + 1] -= 1
-    at = np.cumsum(end - begin + 1) - (end - begin + 1)
+    at = np.cumsum(end - begin + 1) - (end - begin + 1) + 1
     docs = np.arange(len(block.ids))
-    text = data[np.cumsum(steps[:-1], dtype=np.int8) > 0].tobytes()
+    text = b"\n" + data[np.cumsum(steps[:-1], dtype=np.int8) > 0].tobytes()
     return text, at, np.searchsorted(doc, docs), np.searchsorted(doc, docs, side="right")
 
 
@@ -80,22 +80,31 @@ def exact(text: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+def window(text: bytes, at: int, a: int, z: int) -> tuple[int, int]:
+    """The outermost separators (blanks, line feeds) of ``text[a:z]`` and the bytes around it, within the text of a document
+    that has ``at``; a match is whole words, so it lies between them."""
+    a, z = max(a, text.rfind(b"\n", 0, at) + 1), min(z, text.find(b"\n", at))
+    left = a - 1 if text[a - 1] in b" \n" else text.find(b" ", a, z)
+    right = z if text[z] in b" \n" else text.rfind(b" ", a, z)
+    return left, right
+
+
 def fuzzy(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(begin, end, edits) of the matches with at most ``notice.edits`` edits, best first at each place."""
+    """(begin, end, edits) of the matches with at most ``notice.edits`` edits, best first at each place.
+
+    ``text`` is framed as by :func:`plain`, and nothing depends on where a document stands in it.
+    """
     if not notice.edits:
         return [(at, at + len(notice.phrase), 0) for at in exact(text, notice.phrase.encode())]
-    pattern = regex.compile(rf"(?b)(?<![^ \n])(?:{notice.phrase}){{e<={notice.edits}}}(?![^ \n])".encode())
+    pattern = regex.compile(rf"(?b)(?<=[ \n])(?=[^ \n])(?:{notice.phrase}){{e<={notice.edits}}}(?<=[^ \n])(?=[ \n])".encode())
     found: dict[int, tuple[int, int, int]] = {}
     for offset, piece in seeds(notice.phrase, notice.edits):
         at = text.find(piece)
         while at >= 0:
-            a = max(0, at - offset - notice.edits)
-            z = min(len(text), at - offset + len(notice.phrase) + notice.edits)
-            # the look-arounds need the byte before and after
-            m = pattern.search(text, a, z) if z == len(text) else pattern.search(text[max(0, a - 1) : z + 1])
-            shift = 0 if z == len(text) else max(0, a - 1)
-            if m and b"\n" not in m.group():
-                begin, end, n = m.start() + shift, m.end() + shift, sum(m.fuzzy_counts)
+            begin = at - offset
+            left, right = window(text, at, begin - notice.edits, begin + len(notice.phrase) + notice.edits)
+            if 0 <= left < right and (m := pattern.search(text[left : right + 1])):
+                begin, end, n = m.start() + left, m.end() + left, sum(m.fuzzy_counts)
                 if begin not in found or n < found[begin][2]:
                     found[begin] = (begin, end, n)
             at = text.find(piece, at + 1)
