@@ -43,6 +43,49 @@ select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(
   coalesce(spans, '') as spans from d left join g using (r)"""
 
 
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+OP3 = f"""
+with items as (select cast(item_id as varchar) as item, {_WORDS} as words from benchmark),
+phrases as (select distinct item, least(len(words), 13) as size, array_to_string(words[i:i + 12], ' ') as phrase
+  from (select *, unnest(generate_series(1, greatest(len(words) - 12, 1))) as i from items where len(words) > 0)),
+d as (select row_number() over () as r, doc_id, {_WORDS} as words from documents),
+w as (select r, size, i, array_to_string(words[i:i + size - 1], ' ') as phrase
+  from (select r, words, size, unnest(generate_series(1, len(words) - size + 1)) as i from d, (select distinct size from phrases) where len(words) >= size)),
+found as (select r, w.size, i, item from w join phrases using (size, phrase)),
+hit as (select r, count(distinct place) as n from (select r, unnest(generate_series(i, i + size - 1)) as place from found) group by r),
+names as (select r, count(*) as n, string_agg(item, ',' order by item) as listed from (select distinct r, item from found) group by r)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit, cast(coalesce(names.n, 0) as bigint) as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(words) as contaminated
+from d left join hit using (r) left join names using (r)"""
+
+OP5 = """
+with copies as (select coalesce(page_id, -1) as seq, coalesce(url, '') as url, coalesce(html, '') as one,
+    case when page_id % 97 = 13 then substr(html, 1, 100) || '?' || substr(html, 102) else html end as two, coalesce(page_id % 211 <> 7, true) as kept from pages),
+records as (select cast(floor(seq / 1000.0) as bigint) as archive, seq, kept, one, coalesce(two, '') as two,
+    strlen('WARC/1.0__WARC-Type: response__WARC-Target-URI: ' || url || '__Content-Length: ' || strlen(one) || '____' || one || '____') as size_1,
+    strlen('WARC/1.0__WARC-Type: response__WARC-Target-URI: ' || url || '__Content-Length: ' || strlen(coalesce(two, '')) || '____' || coalesce(two, '') || '____') as size_2 from copies),
+first as (select archive, seq, sum(size_1) over (partition by archive order by seq) as stop_1, size_1 from records),
+second as (select archive, seq, sum(size_2) over (partition by archive order by seq) as stop_2, size_2 from records where kept)
+select r.archive, r.seq, case when kept then 'changed' else 'missing' end as status, cast(stop_1 - f.size_1 as bigint) as start_1, cast(stop_1 as bigint) as stop_1,
+  cast(stop_2 - s.size_2 as bigint) as start_2, cast(stop_2 as bigint) as stop_2
+from records r join first f using (archive, seq) left join second s on s.archive = r.archive and s.seq = r.seq
+where not kept or one <> two"""
+
+#: Strings of 200 bytes are told apart by their MD5; the kept bytes are joined as hexadecimal digits.
+OP10 = """
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+win as (select r, i, md5(b[i + 1:i + 200]) as k from (select r, b, unnest(range(0, octet_length(b) - 199)) as i from d where octet_length(b) >= 200)),
+again as (select r, i from win join (select k from win group by k having count(*) > 1) using (k)),
+ends as (select *, coalesce(i > lag(i) over (partition by r order by i) + 200, true) as opens from again),
+runs as (select r, min(i) as a, max(i) + 200 as z from (select r, i, sum(cast(opens as int)) over (partition by r order by i) as n from ends) group by r, n),
+cut as (select r, count(*) as n, sum(z - a) as gone, list(a order by a) as starts, list(z order by a) as stops from runs group by r)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(n, 0) as bigint) as n_spans,
+  sha256(case when n is null then b else unhex(array_to_string(list_transform(range(0, n + 1),
+    lambda k: hex(b[case when k = 0 then 1 else stops[k] + 1 end:case when k = n then octet_length(b) else starts[k + 1] end])), '')) end) as kept_sha256
+from d left join cut using (r)"""
+
+
 def _field(value: str) -> str:
     return f"case when {value} is null then '-' else strlen(cast({value} as varchar)) || ':' || cast({value} as varchar) end"
 
@@ -90,4 +133,12 @@ select * from n where rank <= 10"""
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_recompression_dedup": OP1, "op8_blob_ledger": OP8, "op11_slot_manifest": OP11, "op13_slot_negatives": OP13}
+    return {
+        "op1_recompression_dedup": OP1,
+        "op3_positional_decontamination": OP3,
+        "op5_merkle_fixity_audit": OP5,
+        "op8_blob_ledger": OP8,
+        "op10_run_length_dedup": OP10,
+        "op11_slot_manifest": OP11,
+        "op13_slot_negatives": OP13,
+    }
