@@ -24,7 +24,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -41,29 +40,43 @@ END = 1  # the id that ends a document
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_BITS = 40  # sequences of a task
 CHUNK = 1 << 20  # characters that are encoded at once, if they can be parted
-KNOWN = 1 << 18  # words of which a worker remembers the ids
 
 #: Latin letters, digits beyond ASCII, and other marks whose class is the same in every version of Unicode.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 DIGITS = "0-9²³¹¼½¾"
 MARKS = "!-/:-@[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€"
 BLANKS = " \t\n\r"
-#: Texts with other characters are left to the library whole.
 PLAIN = re.compile(f"[{BLANKS}{LETTERS}{DIGITS}{MARKS}]*")
-#: Fixed value: how byte-level tokenizers part a text, for plain texts.
-WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
+#: Fixed value: how byte-level tokenizers part a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GAP = re.compile(r"(?<=\S)(?= \S)")  # where a text can be parted without changing its words
 
 
 def byte_level(config: dict) -> bool:
-    """Whether a tokenizer parts texts into ``WORDS`` and encodes each by itself."""
-    parts = config.get("pre_tokenizer") or {}
+    """Whether a tokenizer parts texts into ``WORDS`` and merges the bytes of each by themselves."""
+    parts, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
     plain = parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space")
-    return bool(plain) and not any(config.get(x) for x in ("normalizer", "post_processor", "truncation", "padding"))
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    rest = [config.get(x) for x in ("normalizer", "post_processor", "truncation", "padding")]
+    return bool(plain) and model.get("type") == "BPE" and not any(rest) and not any(model.get(x) for x in odd)
+
+
+def bytes_of_marks() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others for
+    the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """The ids that the tokenizers library gives for a text; words met before are not encoded again."""
+    """The ids that the tokenizers library gives for a text.
+
+    Where the file allows, plain texts take a shorter way to the same ids: merging the neighbours of least rank needs only
+    the vocabulary, if merges are numbered in their order and the library makes every entry out of its own bytes.  Both
+    are asked of the library when the file is loaded; if either fails, or for a text with a special token or a character
+    whose class may differ, the library encodes the text itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -72,15 +85,28 @@ class Encoder:
         with open(path) as f:
             config = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.marks = [x["content"] for x in config.get("added_tokens", ())]
+        self.specials = [x["content"] for x in config.get("added_tokens", ())]
         self.by_words = byte_level(config)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ranked = self._ranked(config["model"]) if self.by_words else None
+
+    def _ranked(self, model: dict):
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        vocab = {w: k for w, k in model["vocab"].items() if w not in self.specials}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made = [vocab.get(a + b, -1) for a, b in merges]
+        of = bytes_of_marks()
+        single = [vocab.get(c, -1) for c in of]
+        whole = all([t.id for t in self.library.model.tokenize(w)] == [k] for w, k in vocab.items())
+        if not whole or made != sorted(made) or min(single) < 0 or max(single) >= min(made) or len(made) + len(single) != len(vocab):
+            return None
+        ranks = {bytes(of[c] for c in w): k for w, k in vocab.items()}
+        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.by_words:
-            return self._whole(text)
-        if len(text) <= CHUNK:
+        if len(text) <= CHUNK or not self.by_words:
             return self._part(text)
         return np.concatenate([self._part(x) for x in self._parts(text)])
 
@@ -95,22 +121,9 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _part(self, text: str) -> np.ndarray:
-        if not PLAIN.fullmatch(text) or any(x in text for x in self.marks):
+        if self.ranked is None or not PLAIN.fullmatch(text) or any(x in text for x in self.specials):
             return self._whole(text)
-        words = WORDS.findall(text)
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            self._learn(new, words)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.uint32)
-
-    def _learn(self, new: list[str], words: list[str]) -> None:
-        """Words not used since the last ``KNOWN`` new ones are forgotten."""
-        if len(self.known) + len(new) > KNOWN:
-            self.older, self.known, new = self.known, {}, list(set(words))
-        self.known.update((w, self.older[w]) for w in new if w in self.older)
-        new = [w for w in new if w not in self.older]
-        found = self.library.encode_batch(new, add_special_tokens=False)
-        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found, strict=True))
+        return np.array(self.ranked.encode_ordinary(text), dtype=np.uint32)
 
 
 @lru_cache(maxsize=4)

@@ -80,9 +80,28 @@ def test_hard_cases(spark, library):
     assert {r.doc_id for r in named} == {None} | {f"d{k}" for k in range(len(texts))}
 
 
+def test_all_given_texts_get_the_library_s_ids(spark, library):
+    encode = balanced_packing.encoder(balanced_packing.TOKENIZER)
+    assert encode.ranked is not None
+    texts = [r.text or "" for r in queries.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    assert all(encode.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
+    assert sum(bool(balanced_packing.PLAIN.fullmatch(t)) for t in texts) > 0.5 * len(texts)
+
+
+def test_a_vocabulary_whose_entries_the_library_does_not_make_is_left_to_it(library, tmp_path):
+    import json
+
+    config = json.loads(library.to_str())
+    config["model"]["merges"] = config["model"]["merges"][:1000] + config["model"]["merges"][1001:]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(config))
+    other = balanced_packing.Encoder(str(path))
+    assert other.ranked is None
+    assert other.ids("some words of it").tolist() == tokenizers.Tokenizer.from_file(str(path)).encode("some words of it", add_special_tokens=False).ids
+
+
 def test_words_and_parts_give_the_library_s_ids(library, monkeypatch):
     monkeypatch.setattr(balanced_packing, "CHUNK", 40)
-    monkeypatch.setattr(balanced_packing, "KNOWN", 50)
     encode = balanced_packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     draw = random.Random(2)
     for alphabet in ("ab c'stdéß 12\n\t  .,;", "ab  \n<|endoftext|>中\x1c²ⅷ\U0001f600", "don't we'll I'M 3rd ½ “q” naïve"):
