@@ -99,7 +99,7 @@ def py_dedent(c: Column | str) -> Column:
     return let(F.regexp_replace(col(c), r"(?md)^[ \t]++$", ""), cut)
 
 
-def _holds_any(text: Column, marks: str) -> Column:
+def holds_any(text: Column, marks: str) -> Column:
     """Whether any of the characters is in the text.  This is a plain search, much cheaper than a regex class."""
     found = F.contains(text, F.lit(marks[0]))
     for mark in marks[1:]:
@@ -116,7 +116,7 @@ def py_indent(c: Column | str, width: int) -> Column:
         # Java's own line ends first, then those that only Python has.
         out = F.regexp_replace(text, rf"(?m)^{filled}", pad)
         other = F.regexp_replace(out, rf"[\x0B\f\x1C-\x1E]{filled}", f"$0{pad}")
-        return F.when(_holds_any(text, "\x0b\x0c\x1c\x1d\x1e"), other).otherwise(out)
+        return F.when(holds_any(text, "\x0b\x0c\x1c\x1d\x1e"), other).otherwise(out)
 
     return let(col(c), indent)
 
@@ -130,7 +130,7 @@ def py_lines(c: Column | str) -> Column:
         plain = F.when(
             F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)
         ).otherwise(text)
-        return F.when(_holds_any(text, "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"), mixed).otherwise(plain)
+        return F.when(holds_any(text, "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"), mixed).otherwise(plain)
 
     return let(col(c), lines)
 
@@ -142,7 +142,7 @@ def strip_ansi(c: Column | str, flavor: str = "py") -> Column:
         out = text
         for pattern in ANSI_PATTERNS[flavor]:
             out = F.regexp_replace(out, pattern, "")
-        return F.when(_holds_any(text, ANSI_STARTS[flavor]), out).otherwise(text)
+        return F.when(holds_any(text, ANSI_STARTS[flavor]), out).otherwise(text)
 
     return let(col(c), strip)
 
@@ -152,11 +152,14 @@ def drop_lines(c: Column | str, prefix_regex: str) -> Column:
     return F.regexp_replace(col(c), rf"(?md)^(?:{prefix_regex}).*+(?:\n|\z)", "")
 
 
-def report_lines(c: Column | str) -> Column:
-    """Trim every line, remove its escape sequences, and put exactly one space after a leading check mark."""
+def report_lines(c: Column | str, shade: str | None = None) -> Column:
+    """Trim every line, remove its escape sequences, and put exactly one space after a leading check mark.
+
+    With ``shade`` the only marks to remove are that character.
+    """
     blank = JS_BLANK_CLASS
     trimmed = F.array_join(F.transform(F.split(col(c), "\n", -1), js_trim), "\n")
-    clean = strip_ansi(trimmed, "js")
+    clean = strip_ansi(trimmed, "js") if shade is None else F.replace(trimmed, F.lit(shade), F.lit(""))
     return F.regexp_replace(clean, rf"(?md)^✓[{blank}]*+((?:.*[^{blank}\n])?)[{blank}]*$", "✓ $1")
 
 

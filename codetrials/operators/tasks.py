@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codetrials.functions.literals import string_list
+from codetrials.functions.text import let
 from codetrials.schemas import LANGUAGES, VARIANTS
 
 REASON = "reject_reason"
@@ -23,7 +25,7 @@ PLAIN_LIST = rf"\A[ \t]*+\[{_GAP}(?:{_LITERAL}{_GAP}(?:,{_GAP}{_LITERAL}{_GAP})*
 JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
-def _literal_list_udf():  # type: ignore[no-untyped-def]
+def _named_list_udf():  # type: ignore[no-untyped-def]
     """A Python literal holding a list or tuple of strings; anything else gives NULL.
 
     The functions are nested so that they travel to the workers by value, without this package.
@@ -50,26 +52,26 @@ def _literal_list_udf():  # type: ignore[no-untyped-def]
     return F.pandas_udf(parse_batch, T.ArrayType(T.StringType()))
 
 
-literal_list = _literal_list_udf()
-
-
-def decode_tests(tasks: DataFrame, test: str = "test", listed: str | None = None) -> DataFrame:
+def decode_tests(tasks: DataFrame, test: str = "test", listed: str | None = None, by_name: bool = False) -> DataFrame:
     """Add ``tests ARRAY<STRING>``, NULL where the field cannot be decoded.
 
-    Lists that JSON and Python read alike are parsed in the JVM.  Only the others (tuples, trailing commas, joined
-    literals, Python-only escapes) go to a Python worker; all other rows send it a NULL.  ``listed`` names a column
-    that holds tests already stored as a list, which is taken as it is.
+    Lists that JSON and Python read alike are parsed as JSON, the others (tuples, trailing commas, joined literals,
+    Python-only escapes) by :func:`codetrials.functions.literals.string_list`; both stay in the JVM.  Escapes by
+    character name (``\\N{...}``) are in no table here: lists with one are NULL, or, with ``by_name``, read by a Python
+    worker, which gets those rows alone.  ``listed`` names a column that holds tests already stored as a list, which is
+    taken as it is.
     """
     text = F.col(test)
     plain = F.from_json(F.when(text.rlike(PLAIN_LIST), text), "array<string>", JSON_OPTIONS)
     staged = tasks.withColumn("_plain", plain)
     if listed is not None:
         staged = staged.withColumn("_plain", F.coalesce(F.col(listed), F.col("_plain")))
-    staged = staged.withColumn("_other", literal_list(F.when(F.col("_plain").isNull(), text)))
-    tests = F.coalesce("_plain", "_other")
-    return staged.withColumn(
-        "tests", F.when(~F.exists(tests, lambda t: t.isNull()), tests)
-    ).drop("_plain", "_other")
+    tests = F.coalesce(F.col("_plain"), string_list(F.when(F.col("_plain").isNull(), text)))
+    if by_name:
+        staged = staged.withColumn("_plain", tests)
+        named = F.col("_plain").isNull() & F.contains(text, F.lit("\\N{"))
+        tests = F.coalesce(F.col("_plain"), _named_list_udf()(F.when(named, text)))
+    return staged.withColumn("tests", let(tests, lambda ts: F.when(~F.exists(ts, lambda t: t.isNull()), ts))).drop("_plain")
 
 
 def check_tasks(tasks: DataFrame) -> DataFrame:
