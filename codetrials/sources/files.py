@@ -58,6 +58,7 @@ LAYOUTS = {
 
 
 HIDDEN = "the reader hides names that begin with _ or ."
+BROKEN = "not a JSON object"
 
 
 def _qualified(spark: SparkSession, root: str) -> str:
@@ -81,24 +82,30 @@ def _relative(root: str) -> Column:
 
 
 def _hidden(spark: SparkSession, root: str, glob: str, suffix: str | None, recursive: bool) -> list[str]:
-    """Paths below ``root`` that match ``glob`` but that Spark's listing leaves out.  Names only, no content."""
+    """Paths below ``root`` that match ``glob`` but that Spark's listing leaves out.  Names only, no content; of a
+    recursive listing only the hidden names are held."""
     jvm = spark._jvm
     folder, _, last = glob.rpartition("/")
     wanted = f"{root}/{glob}" if recursive or not last.startswith("*") else f"{root}/{folder}/[_.]{last}"
     path = jvm.org.apache.hadoop.fs.Path(wanted)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    depth = glob.count("/") + (1 if recursive else 0)
     found = []
+
+    def keep(full: str) -> None:
+        if full.startswith(root + "/") and (not suffix or full.endswith(suffix.lstrip("*"))):
+            below = full[len(root) + 1 :]
+            if any(n[0] in "_." for n in below.split("/")[depth if recursive else -1 :]):
+                found.append(below)
+
     for status in fs.globStatus(path) or []:
         if not status.isDirectory():
-            found.append(status.getPath().toString())
+            keep(status.getPath().toString())
         elif recursive:
             listing = fs.listFiles(status.getPath(), True)
             while listing.hasNext():
-                found.append(listing.next().getPath().toString())
-    below = [f[len(root) + 1 :] for f in found if f.startswith(root + "/")]
-    depth = glob.count("/") + (1 if recursive else 0)
-    inner = lambda f: f.split("/")[depth if recursive else -1 :]
-    return [f for f in below if any(n[0] in "_." for n in inner(f)) and (not suffix or f.endswith(suffix.lstrip("*")))]
+                keep(listing.next().getPath().toString())
+    return found
 
 
 def read_files(
@@ -214,14 +221,20 @@ def fixed_targets(impls: DataFrame) -> DataFrame:
 
 
 def parse_task_metadata(files: DataFrame) -> DataFrame:
-    """``(path, content)`` of ``<task>/metadata.json`` files -> ``task_id`` and the six metadata fields."""
+    """``(path, content)`` of ``<task>/metadata.json`` files -> ``task_id``, the six metadata fields and
+    ``reject_reason``: the one the file came with, or that its text is no JSON object."""
     rule = r"\A(?:.*/)?([^/]+)/metadata\.json\z"
+    given = F.col("reject_reason") if "reject_reason" in files.columns else F.lit(None).cast("string")
     meta = F.from_json("content", TASK_METADATA)
+    unreadable = F.json_object_keys("content").isNull()
     return (
         files.where(F.col("path").rlike(rule))
-        .select(F.regexp_extract("path", rule, 1).alias("task_id"), meta.alias("_meta"))
-        .select("task_id", *[F.col(f"_meta.{f}").alias(f) for f in TASK_METADATA_FIELDS])
-    )
+        .select(
+            F.regexp_extract("path", rule, 1).alias("task_id"), meta.alias("_meta"),
+            F.coalesce(given, F.when(unreadable, BROKEN)).alias("reject_reason"),
+        )
+        .select("task_id", *[F.col(f"_meta.{f}").alias(f) for f in TASK_METADATA_FIELDS], "reject_reason")
+    )
 
 
 def read_task_metadata(spark: SparkSession, root: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codetrials.plans.scratch import scratch_path
 from codetrials.schemas import JACOCO_COUNTERS, TASK_FIELDS
 
 _NOTEBOOK = "notebook string, nbformat int, cells array<struct<cell_type: string, source: variant>>, _bad string"
@@ -42,6 +43,11 @@ def read_notebooks(spark: SparkSession, path: str, packed: bool = False) -> Data
         raw = spark.range(0).select(F.from_json(F.lit("{}"), _NOTEBOOK).alias("n")).select("n.*")
         packed = True
     name = F.col("notebook") if packed else F.col("_metadata.file_path")
+    return _checked(raw.select(name.alias("notebook"), "nbformat", "cells", "_bad"))
+
+
+def _checked(raw: DataFrame) -> DataFrame:
+    """``(notebook, cells, reject_reason)`` of parsed notebooks."""
     cells = F.transform(
         "cells",
         lambda c, i: F.struct(i.alias("pos"), c["cell_type"].alias("cell_type"), _joined_source(c["source"]).alias("source")),
@@ -49,12 +55,25 @@ def read_notebooks(spark: SparkSession, path: str, packed: bool = False) -> Data
     good = (F.col("nbformat") == 4) & F.col("cells").isNotNull() & F.col("_bad").isNull()
     good = F.coalesce(good, F.lit(False))
     return raw.select(
-        name.alias("notebook"),
+        "notebook",
         F.when(good, cells).alias("cells"),
         F.when(~good, "not a version 4 notebook").alias("reject_reason"),
     )
 
 
+def parse_notebooks(books: DataFrame, value: str = "value", name: str | None = None) -> DataFrame:
+    """Notebooks held as JSON texts in a table, in the form of :func:`read_notebooks`, without a copy of them.
+
+    The notebook's name is in the column ``name``, or in the JSON itself (``notebook``).
+    """
+    options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
+    book = F.from_json(F.col(value), _NOTEBOOK, options)
+    named = F.col("_book.notebook") if name is None else F.col(name).cast("string")
+    # as the output of a generator a book is parsed once
+    parsed = books.select(*([] if name is None else [name]), F.explode(F.array(book)).alias("_book"))
+    return _checked(parsed.select(named.alias("notebook"), "_book.nbformat", "_book.cells", "_book._bad"))
+
+
 def notebook_cells(notebooks: DataFrame) -> DataFrame:
     """One row per cell: ``(notebook, pos, cell_type, source)``."""
     return notebooks.select("notebook", F.inline("cells"))
@@ -82,28 +101,40 @@ def read_tasks(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 def read_jacoco(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """Coverage CSV: ``(report, class, package, <counters>, reject_reason)``.
 
-    A report is read as one row, and its columns are taken by name from its own header, whatever their order and number;
-    reports of one folder may differ.  ``report`` is the file's path, or a partition column of the folder when ``run_id``
-    names one.  A counter that is no integer, or a line of another length than its header, gives a reason.  A path
-    without files is an empty table.
+    Reports are read line by line, so a large one is many tasks' work.  The columns of a report are taken by name from its
+    own header, whatever their order and number; reports of one folder may differ.  The headers, first lines of the blocks
+    at offset 0, are a table of a row per report, written to the shared folder so that its size is known to the join with
+    the lines.  ``report`` is the file's path, or a partition column of the folder when ``run_id`` names one.
+
+    A counter that is no integer, a line of another length than its header, or one with an open quote (a quoted line end
+    cuts a record in two such lines) gives a reason.  Lines that repeat their header are not data.  A path without files
+    is an empty table.
     """
     nothing = F.lit(None).cast("string")
     try:
-        raw = spark.read.text(path, wholetext=True)
+        raw = spark.read.text(path)
         source = F.col(run_id).cast("string") if run_id else F.col("_metadata.file_path")
+        lines = raw.select(
+            source.alias("report"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"),
+            F.col("value").alias("line"),
+        )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        raw, source = spark.range(0).select(nothing.alias("value")), nothing
-    lines = F.split("value", r"\r?\n", -1)
-    rows = raw.select(source.alias("report"), _csv_fields(F.get(lines, F.lit(0))).alias("header"), lines.alias("lines"))
-    rows = rows.select("report", "header", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line")).where("line != ''")
-    rows = rows.withColumn("fields", _csv_fields(F.col("line")))
+        lines = spark.range(0).select(nothing.alias("report"), nothing.alias("file"), F.col("id").alias("offset"), nothing.alias("line"))
+    first = lines.where("offset = 0").select("file", "line", F.monotonically_increasing_id().alias("at"))
+    kept = scratch_path(spark, "headers")
+    first.groupBy("file").agg(F.min_by("line", "at").alias("head")).withColumn("header", _csv_fields(F.col("head"))).write.parquet(kept)
+    headers = spark.read.schema("file string, head string, header array<string>").parquet(kept)
+    rows = lines.where("line != ''").join(headers, "file").where(~((F.col("offset") == 0) & (F.col("line") == F.col("head"))))
+    rows = rows.select("report", "header", "line", _csv_fields(F.col("line")).alias("fields"))
 
     def named(name: str) -> Column:
         return F.get("fields", (F.array_position("header", F.lit(name)) - 1).cast("int"))
 
-    even = F.size("fields") == F.size("header")
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    closed = quotes % 2 == 0
+    even = closed & (F.size("fields") == F.size("header"))
     counters = {c: F.when(even, named(c.upper()).try_cast("bigint")) for c in JACOCO_COUNTERS}
     good = F.lit(True)
     for value in counters.values():
@@ -113,7 +144,10 @@ def read_jacoco(spark: SparkSession, path: str, run_id: str | None = None) -> Da
         F.when(even, named("CLASS")).alias("class"),
         F.when(even, named("PACKAGE")).alias("package"),
         *[value.alias(name) for name, value in counters.items()],
-        F.when(~even, "line and header differ in length").when(~good, "counter is not an integer").alias("reject_reason"),
+        F.when(~closed, "quote left open")
+        .when(~even, "line and header differ in length")
+        .when(~good, "counter is not an integer")
+        .alias("reject_reason"),
     )
 
 
