@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,19 @@ def write_tasks(tasks: DataFrame, path: str, mode: str = "errorifexists") -> Non
     task_json(tasks).write.mode(mode).text(path)
 
 
+def write_routed(rows: DataFrame, path: str, reason: str = "reject_reason", mode: str = "errorifexists") -> dict[str, int]:
+    """Good and rejected rows in one write, in folders by ``outcome`` (``usable``, ``rejected``), and how many of each.
+
+    The counts are observed while the rows pass, so whatever made them (decoding, checks) runs once for both sides.
+    """
+    rejected = F.col(reason).isNotNull()
+    seen = Observation()
+    counts = [F.count_if(~rejected).alias("usable"), F.count_if(rejected).alias("rejected")]
+    routed = rows.observe(seen, *counts).withColumn("outcome", F.when(rejected, "rejected").otherwise("usable"))
+    routed.write.mode(mode).partitionBy("outcome").parquet(path)
+    return seen.get
+
+
 def write_programs(programs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rendered programs, partitioned by language (a closed list, so the number of folders is bounded)."""
     programs.write.mode(mode).partitionBy("language").parquet(path)
@@ -27,12 +40,16 @@ def write_reports(
     reports: DataFrame, path: str, keys: Sequence[str] = ("task_id", "impl"), text: str = "report",
     layout: str = "table", mode: str = "errorifexists",
 ) -> None:
-    """Report texts.  ``table`` keeps them as rows; ``files`` makes one folder per key, for exports of few tasks."""
-    rows = reports.select(*keys, F.col(text).alias("value")).where(F.col("value").isNotNull())
+    """Report texts.  ``table`` keeps them as rows; ``files`` makes one folder per key, for exports of few tasks.
+
+    Every row is written: a NULL report is a NULL in the table, and an empty file.
+    """
+    rows = reports.select(*keys, F.col(text).alias("value"))
     if layout == "table":
         rows.write.mode(mode).parquet(path)
     elif layout == "files":
-        rows.write.mode(mode).partitionBy(*keys).option("lineSep", "\n").text(path)
+        filled = rows.withColumn("value", F.coalesce("value", F.lit("")))
+        filled.write.mode(mode).partitionBy(*keys).option("lineSep", "\n").text(path)
     else:
         raise ValueError(f"unknown layout {layout!r}")
 
