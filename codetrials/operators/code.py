@@ -23,6 +23,12 @@ JS_IMPORT_NAMES = rf"const{_JS}*\{{([^}}]+)\}}{JS_REQUIRE}"
 JS_IMPORT_ONE = rf"const{_JS}+([^={JS_SPACE_CLASS}]+){JS_REQUIRE}"
 JS_IMPORT_ANY = rf"const{_JS}*(?:\{{[^}}]+\}}|[^={JS_SPACE_CLASS}]+){JS_REQUIRE}"
 CPP_MAIN = r"[ \t]*int[ \t]+main[ \t]*\([^\n]*\)"
+# The look-behind for a word start stands after the first letter, so it is tried at a "p" only.
+JAVA_NARROW = rf"p(?<!{PY_WORD_CLASS}p)(?:rivate|rotected)"
+JAVA_STATIC = rf"{JAVA_NARROW}{_PY}+static"
+JAVA_FINAL_STATIC = rf"{JAVA_NARROW}{_PY}+final{_PY}+static"
+JAVA_ANY_CLASS = rf"p(?:ublic |(?<!{PY_WORD_CLASS}p)(?:rivate|rotected){_PY}+)class {PY_WORD_CLASS}"
+JAVA_CLASS = rf"public class ({PY_WORD_CLASS}+)"
 
 
 # --- exported functions of JavaScript files ---------------------------------------------------------------------
@@ -206,52 +212,71 @@ def java_target(test_files: DataFrame) -> DataFrame:
 
 def open_access(content: Column) -> Column:
     """Make private and protected members public."""
-    # The look-behind for a word start stands after the first letter, so it is tried at a "p" only.
-    word = rf"p(?<!{PY_WORD_CLASS}p)(?:rivate|rotected)"
-    out = F.regexp_replace(content, rf"{word}{_PY}+static", "public static")
-    out = F.regexp_replace(out, rf"{word}{_PY}+final{_PY}+static", "public static final")
-    return F.regexp_replace(out, rf"{word}{_PY}+", "public ")
+    out = F.regexp_replace(content, JAVA_STATIC, "public static")
+    out = F.regexp_replace(out, JAVA_FINAL_STATIC, "public static final")
+    return F.regexp_replace(out, rf"{JAVA_NARROW}{_PY}+", "public ")
 
 
 def has_public_class(content: Column) -> Column:
     """Whether :func:`open_access` leaves a public class, told from the text as it stands."""
-    return content.rlike(
-        rf"p(?:ublic |(?<!{PY_WORD_CLASS}p)(?:rivate|rotected){_PY}+)class {PY_WORD_CLASS}"
-    )
+    return content.rlike(JAVA_ANY_CLASS)
 
 
 def main_class(opened: Column) -> Column:
     """The first public class of a text that :func:`open_access` has been through; empty if there is none."""
-    return F.regexp_extract(opened, rf"public class ({PY_WORD_CLASS}+)", 1)
+    return F.regexp_extract(opened, JAVA_CLASS, 1)
+
+
+# A character that is in no word, and what stands for it and for a name while names are replaced.
+_MARK = "\uffff"
+_MARK_ITSELF, _MARK_NAME = _MARK + ".", _MARK + ";"
 
 
 def rename_class(content: Column, name: Column, target: Column) -> Column:
-    """Rename a class, except after ``new `` unless a parenthesis follows."""
-    mention = F.concat(
-        name, F.lit("(?<!new "), name, F.lit(rf")(?<!{PY_WORD_CLASS}"), name, F.lit(rf")(?!{PY_WORD_CLASS})")
-    )
-    out = F.regexp_replace(content, mention, target)
-    return F.replace(
-        out, F.concat(F.lit("new "), name, F.lit("(")), F.concat(F.lit("new "), target, F.lit("("))
-    )
+    """Rename a class, except after ``new `` unless a parenthesis follows.
+
+    The text is cut at the name by a constant pattern, so no row brings a regex of its own.  A mention stands between two
+    pieces that do not touch it with a word character; an empty piece between two mentions does.
+    """
+
+    def named(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+
+        def between(piece: Column, i: Column) -> Column:
+            after = F.get(pieces, i + 1)
+            free = F.when(piece == "", i == 0).otherwise(~F.substring(piece, -1, 1).rlike(PY_WORD_CLASS))
+            free = free & F.when(after == "", i + 1 == last).otherwise(~F.substring(after, 1, 1).rlike(PY_WORD_CLASS))
+            made = F.endswith(piece, F.lit("new ")) & ~F.startswith(after, F.lit("("))
+            mention = F.when(free & ~made, target).otherwise(name)
+            return F.when(i == last, piece).otherwise(F.concat(piece, mention))
+
+        return F.array_join(F.transform(pieces, between), "")
+
+    marked = F.replace(F.replace(content, F.lit(_MARK), F.lit(_MARK_ITSELF)), name, F.lit(_MARK_NAME))
+    out = let(F.split(marked, _MARK_NAME, -1), named)
+    return F.replace(out, F.lit(_MARK_ITSELF), F.lit(_MARK))
 
 
 def normalize_java(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
     """Java files with open access and the class name their task's suite expects.
 
     -> ``(task_id, impl, target, content, reject_reason)``; a file without a public class, or whose task
-    has no suite, has NULL content.
+    has no suite, has NULL content.  Files are opened after they have met their task's class name, and only then.
     """
-    opened = impl_files.where(F.col("language") == "Java").select(
-        "task_id", "impl", open_access(F.col("content")).alias("_opened")
-    )
-    named = opened.join(java_target(test_files), "task_id", "left").withColumn("_name", main_class(F.col("_opened")))
-    has_class = (F.col("_name") != "") & F.col("target").isNotNull()
+    targets = java_target(test_files)
+    files = impl_files.where(F.col("language") == "Java").select("task_id", "impl", F.col("content").alias("_content"))
+    met = files.join(targets, "task_id", "left")
+    opened = F.when(F.col("target").isNotNull(), open_access(F.col("_content")))
+    # bound once: the class is searched in, and the name replaced in, the same text
+    both = let(opened, lambda text: F.struct(text.alias("text"), main_class(text).alias("name")))
+    named = met.select("task_id", "impl", "target", F.explode(F.array(both)).alias("_java"))
+    text, name = F.col("_java.text"), F.col("_java.name")
+    has_class = F.col("target").isNotNull() & (name != "")
     return named.select(
         "task_id",
         "impl",
         "target",
-        F.when(has_class, rename_class(F.col("_opened"), F.col("_name"), F.col("target"))).alias("content"),
+        F.when(has_class, rename_class(text, name, F.col("target"))).alias("content"),
         F.when(F.col("target").isNull(), NO_SUITE)
         .when(~has_class, F.lit("no public class"))
         .alias("reject_reason"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import base_name
@@ -24,36 +24,35 @@ def fan_out(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
 def validate_layout(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
     """Broken rules as ``(task_id, language, impl, rule)``; ``impl`` is NULL for a rule about the whole task.
 
-    Rules about one file are a projection.  Rules about a task (a side that is missing, exports that differ) need no
-    joins: both file tables are reduced to flags and combined per task in one aggregation.
+    Every file is read once: it becomes a row of flags for its task and a row for each rule it breaks itself.  One
+    aggregation combines the flags, before its shuffle, and counts the broken rules, which come out as often as they went
+    in; rules about a task (a side that is missing, exports that differ) are told from its flags.
     """
     content = F.col("content")
-    java = F.col("language") == "Java"
-    file_rules = F.array_compact(
-        F.array(
-            F.when(java & (F.regexp_count(content, F.lit("public class")) > 1), "many_public_classes"),
-            F.when(java & (~has_public_class(content)), "no_public_class"),
-            F.when(
-                (F.col("language") == "Python") & (base_name("path") == "solution.py"), "reserved_file_name"
-            ),
-        )
+    java, script = F.col("language") == "Java", F.col("language") == "JavaScript"
+    nothing = F.lit(None).cast("string")
+    file_rules = F.array(
+        F.when(java & (F.regexp_count(content, F.lit("public class")) > 1), "many_public_classes"),
+        F.when(java & (~has_public_class(content)), "no_public_class"),
+        F.when((F.col("language") == "Python") & (base_name("path") == "solution.py"), "reserved_file_name"),
     )
-    of_files = impl_files.select("task_id", "language", "impl", F.explode(file_rules).alias("rule"))
 
-    exports = F.when(F.col("language") == "JavaScript", F.array_join(exported_names(content), ","))
-    code = impl_files.select(
-        "task_id", "language", F.lit(True).alias("code"), F.lit(False).alias("test"),
-        exports.alias("exports"), F.lit(False).alias("bare"),
-    )
-    tests = test_files.select(
-        "task_id", "language", F.lit(False).alias("code"), F.lit(True).alias("test"),
-        F.lit(None).cast("string").alias("exports"),
-        ((F.col("language") == "JavaScript") & import_head(content).isNull()).alias("bare"),
-    )
-    tasks = (
-        code.unionByName(tests)
-        .groupBy("task_id", "language")
+    def row(impl: Column, rule: Column, code: Column, test: Column, exports: Column, bare: Column) -> Column:
+        names = ("impl", "rule", "code", "test", "exports", "bare")
+        return F.struct(*[c.alias(n) for n, c in zip(names, (impl, rule, code, test, exports, bare), strict=True)])
+
+    no, yes = F.lit(False), F.lit(True)
+    exports = F.when(script, F.array_join(exported_names(content), ","))
+    flags = F.array(row(nothing, nothing, yes, no, exports, no))
+    broken = F.transform(F.array_compact(file_rules), lambda r: row(F.col("impl"), r, no, no, nothing, no))
+    code = impl_files.select("task_id", "language", F.explode(F.concat(flags, broken)).alias("f")).select("task_id", "language", "f.*")
+    bare = script & import_head(content).isNull()
+    tests = test_files.select("task_id", "language", F.explode(F.array(row(nothing, nothing, no, yes, nothing, bare))).alias("f"))
+    combined = (
+        code.unionByName(tests.select("task_id", "language", "f.*"))
+        .groupBy("task_id", "language", "impl", "rule")
         .agg(
+            F.count(F.lit(1)).alias("n"),
             F.bool_or("code").alias("code"),
             F.bool_or("test").alias("test"),
             F.bool_or("bare").alias("bare"),
@@ -69,7 +68,5 @@ def validate_layout(impl_files: DataFrame, test_files: DataFrame) -> DataFrame:
             F.when(F.col("first") != F.col("last"), "exports_differ"),
         )
     )
-    of_tasks = tasks.select(
-        "task_id", "language", F.lit(None).cast("string").alias("impl"), F.explode(task_rules).alias("rule")
-    )
-    return of_files.unionByName(of_tasks)
+    rules = F.when(F.col("rule").isNull(), task_rules).otherwise(F.array_repeat("rule", F.col("n").cast("int")))
+    return combined.select("task_id", "language", "impl", F.explode(rules).alias("rule"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrials.functions.text import base_name, ratio_pct
+from codetrials.operators.coverage import PLURALS
 from codetrials.operators.ordered import SLIM_BITS, lag_within, newest
 from codetrials.schemas import COHORTS
 
@@ -50,35 +51,69 @@ def assign_cohort(results: DataFrame, name: str = "file_name", cohorts: Cohorts
     return results.withColumn("cohort", cohort_of(base_name(name), cohorts))
 
 
+def figures(cohorts: Cohorts, status: Column, cohort: Column, rows: Column) -> list[Column]:
+    """Aggregates of the overall counts and those of every cohort.  The cohorts are parameters, so they are columns: an
+    empty one is there with its zeros.  ``rows`` is how many results a row stands for."""
+    counted = lambda c: F.coalesce(F.sum(F.when(c, rows)), F.lit(0)).cast("bigint")
+    bad = status.isin("FAILED", "FAILED_TO_RUN")
+    out = [counted(F.lit(True)).alias("total"), *[counted(status == s.upper()).alias(s) for s in ("passed", "failed", "failed_to_run")]]
+    for i, (name, _, _) in enumerate(cohorts):
+        inside = cohort == name
+        out += [
+            counted(inside).alias(f"_total_{i}"),
+            counted(inside & (status == "PASSED")).alias(f"_passed_{i}"),
+            counted(inside & bad).alias(f"_failed_{i}"),
+        ]
+    return out
+
+
+def cohort_figures(cohorts: Cohorts) -> Column:
+    """``ARRAY<STRUCT<cohort, total, passed, failed>>`` out of the columns of :func:`figures`."""
+    return F.array(
+        *[
+            F.struct(F.lit(name).alias("cohort"), *[F.col(f"_{figure}_{i}").alias(figure) for figure in ("total", "passed", "failed")])
+            for i, (name, _, _) in enumerate(cohorts)
+        ]
+    )
+
+
 def summary_figures(results: DataFrame, name: str = "file_name", cohorts: Cohorts = COHORTS) -> DataFrame:
     """One row: ``total, passed, failed, failed_to_run`` and ``cohorts ARRAY<STRUCT<cohort, total, passed, failed>>``.
 
-    All figures come from one pass.  The cohorts are parameters, so they are columns of a global aggregate: an empty
-    one is there with its zeros, and every task sends a single row.
+    All figures come from one pass, as columns of a global aggregate: every task sends a single row.
     """
-    status = F.col("status")
-    bad = status.isin("FAILED", "FAILED_TO_RUN")
     named = results.select(cohort_of(base_name(name), cohorts).alias("cohort"), "status")
-    counts = [
+    return named.agg(*figures(cohorts, F.col("status"), F.col("cohort"), F.lit(1))).select(
+        "total", "passed", "failed", "failed_to_run", cohort_figures(cohorts).alias("cohorts")
+    )
+
+
+def all_figures(
+    results: DataFrame, task: str = "task_id", name: str = "file_name", cohorts: Cohorts = COHORTS
+) -> DataFrame:
+    """``(level, task_id, cohort, total, passed, failed, failed_to_run, <kind>_coverage)`` of every task, every cohort and
+    all results, from one pass by grouping sets.
+
+    ``level`` is ``task``, ``cohort`` or ``overall``; results outside all cohorts are in no row of that level, and a cohort
+    without results, or any level of an empty table, has no row.  Coverage is weighted by size over the PASSED results that have one
+    (column ``coverage``, optional); it is 0 where nothing was counted.
+    """
+    covered = (F.col("status") == "PASSED") & F.col("coverage").isNotNull() if "coverage" in results.columns else None
+    sides = [f"{side}_{plural}" for plural in PLURALS.values() for side in ("total", "covered")]
+    sizes = [(F.lit(0) if covered is None else F.when(covered, F.col(f"coverage.{c}"))).alias(f"_{c}") for c in sides]
+    rows = results.select(
+        F.col(task).alias("task_id"), cohort_of(base_name(name), cohorts).alias("cohort"), F.col("status").alias("_status"), *sizes
+    )
+    grouped = rows.groupingSets([["task_id"], ["cohort"], []], "task_id", "cohort").agg(
+        F.grouping_id().alias("_level"),
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(status == s.upper()).alias(s) for s in ("passed", "failed", "failed_to_run")],
-    ]
-    for i, (cohort, _, _) in enumerate(cohorts):
-        inside = F.col("cohort") == cohort
-        counts += [
-            F.count_if(inside).alias(f"_total_{i}"),
-            F.count_if(inside & (status == "PASSED")).alias(f"_passed_{i}"),
-            F.count_if(inside & bad).alias(f"_failed_{i}"),
-        ]
-    per_cohort = [
-        F.struct(
-            F.lit(cohort).alias("cohort"),
-            *[F.col(f"_{figure}_{i}").alias(figure) for figure in ("total", "passed", "failed")],
-        )
-        for i, (cohort, _, _) in enumerate(cohorts)
-    ]
-    return named.agg(*counts).select(
-        "total", "passed", "failed", "failed_to_run", F.array(*per_cohort).alias("cohorts")
+        *[F.count_if(F.col("_status") == s.upper()).alias(s) for s in ("passed", "failed", "failed_to_run")],
+        *[F.sum(f"_{c}").alias(f"_{c}") for c in sides],
+    )
+    level = F.when(F.col("_level") == 1, "task").when(F.col("_level") == 2, "cohort").otherwise("overall")
+    coverage = [ratio_pct(f"_covered_{plural}", f"_total_{plural}").alias(f"{kind}_coverage") for kind, plural in PLURALS.items()]
+    return grouped.where((F.col("_level") != 2) | F.col("cohort").isNotNull()).select(
+        level.alias("level"), "task_id", "cohort", "total", "passed", "failed", "failed_to_run", *coverage
     )
 
 

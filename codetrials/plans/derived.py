@@ -161,6 +161,45 @@ def jacoco_csv(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def jacoco_reports(spark: SparkSession, folder: str, odd: bool) -> DataFrame:
+    """Coverage reports of 50 runs, those of odd runs in another column order; every seventh report has bad counters."""
+    run = F.col("l_orderkey") % 50
+    prefix = F.when(F.col("l_suppkey") % 10 == 0, "org.junit.C").otherwise("app.C")
+    bad = (run % 7 == 3) & (F.col("l_linenumber") == 1)
+    rows = table(spark, folder, "lineitem").where(run % 2 == int(odd)).select(
+        run.alias("run"),
+        F.lit("g").alias("GROUP"),
+        F.lit("p").alias("PACKAGE"),
+        F.concat(prefix, F.col("l_partkey")).alias("CLASS"),
+        F.when(bad, "n/a").otherwise((F.col("l_linenumber") * 2).cast("string")).alias("INSTRUCTION_MISSED"),
+        (F.col("l_quantity") * 3).cast("bigint").cast("string").alias("INSTRUCTION_COVERED"),
+        F.col("l_linenumber").cast("string").alias("BRANCH_MISSED"),
+        F.lit("1").alias("BRANCH_COVERED"),
+        (F.lit(50) - F.col("l_quantity")).cast("bigint").cast("string").alias("LINE_MISSED"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("LINE_COVERED"),
+    )
+    return rows.select("run", *reversed(rows.columns[1:])) if odd else rows
+
+
+def cohort_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """``(cohort, low, high)``: overlapping ranges of run numbers, a cohort per supplier; some hold nothing."""
+    number = F.col("s_suppkey")
+    low = number * 37 % 900
+    return table(spark, folder, "supplier").select(
+        F.concat(F.lit("c"), number).alias("cohort"), low.alias("low"), (low + (number % 10) * (number % 17) - 5).alias("high")
+    )
+
+
+def more_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """The Java suites, and for every second task one before and one after it by path."""
+    own = tests(spark, folder)
+    other = own.where(F.col("task_id") % 2 == 0)
+    first = other.withColumns({"path": F.lit("test/ATest.java"), "content": F.concat(F.lit("class MainTest "), "content")})
+    first = first.withColumn("content", F.replace("content", F.lit("Solution"), F.lit("Other")))
+    last = other.withColumns({"path": F.lit("test/ZTest.java"), "content": F.lit("class ZTest {}")})
+    return own.unionByName(first).unionByName(last)
+
+
 JEST_NONE = '{"numPassedTests":0,"numTotalTests":0,"testResults":[{"status":"failed","assertionResults":[]}]}'
 JEST_HALF = (
     '{"numPassedTests":1,"numTotalTests":2,"testResults":[{"status":"failed","assertionResults":['
@@ -292,8 +331,23 @@ def cpp_impls(spark: SparkSession, folder: str) -> DataFrame:
     return _impls(table(spark, folder, "documents"), "C++", "src/", ".cpp", content)
 
 
-def source_tree(spark: SparkSession, folder: str, layout: str) -> DataFrame:
-    """``(path, content)`` of a code corpus in the folder layout of a runner, with files that must be left out."""
+def cpp_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The C++-like files as lines."""
+    return cpp_impls(spark, folder).select("task_id", "impl", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+
+
+def cpp_amalgam(spark: SparkSession, folder: str) -> DataFrame:
+    """``(lang, pos, line)``: the same files one after the other as one large file for each language of the texts."""
+    docs = table(spark, folder, "documents")
+    number = F.col("task_id") * 10 + F.ascii("impl") - 65
+    langs = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    lines = cpp_lines(spark, folder).withColumn("_doc", number.cast("bigint")).join(langs, "_doc")
+    return lines.select("lang", (F.shiftleft("_doc", 20) + F.col("pos")).alias("pos"), "line")
+
+
+def source_tree(spark: SparkSession, folder: str, layout: str, hidden: bool = False) -> DataFrame:
+    """``(path, content)`` of a code corpus in the folder layout of a runner, with files that must be left out.  With
+    ``hidden``, some names begin with ``_`` or ``.``."""
     number = F.col("doc_id")
     task = F.floor(number / 10).cast("string")
     letter = _letter(number, 10)
@@ -315,7 +369,9 @@ def source_tree(spark: SparkSession, folder: str, layout: str) -> DataFrame:
             F.lit("tasks/"), task, F.when(kind == 1, "/tests/").otherwise("/src/"), letter,
             F.when(kind == 2, ".h").otherwise(".cpp"),
         )
-    return table(spark, folder, "documents").select(path.alias("path"), F.col("text").alias("content"))
+    if hidden:
+        path = F.regexp_replace(path, r"([^/]+)\z", F.concat(F.when(kind == 5, "_").when(kind == 6, ".").otherwise(""), F.lit("$1")))
+    return table(spark, folder, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 def metadata_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from codetrials.plans.derived import JEST_FULL, JEST_HALF, JEST_NONE
 from codetrials.schemas import TASK_FIELDS
 
+# The labels, rulers and patterns in the SQL below are those that the reports and rewrites must have.
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
 
@@ -351,6 +352,15 @@ oracle(
     when language = 'Java' and task_id % 11 = 0 then 'missing entry_point'
     when task_id % 13 = 0 then 'unreadable test' end as reject_reason from d_tasks) where reject_reason is not null""",
 )
+oracle(
+    "task_routing",
+    "d_tasks",
+    """select *, count(*) filter (where reject_reason is null) over () as n_usable, count(*) filter (where reject_reason is not null) over () as n_rejected
+from (select task_id, language, case when reject_reason is null then 'usable' else 'rejected' end as outcome, reject_reason, n_tests
+  from (select task_id, language, case when language = 'Go' then 'unsupported language' when task_id % 7 = 0 then 'missing prompt'
+      when language = 'Java' and task_id % 11 = 0 then 'missing entry_point' when task_id % 13 = 0 then 'unreadable test' end as reject_reason,
+    case when task_id % 13 <> 0 then cast(len(from_json(test, '["VARCHAR"]')) as int) end as n_tests from d_tasks))""",
+)
 oracle("language_routing", "d_tasks", "select task_id, language, language <> 'Go' as handled from d_tasks")
 oracle("entry_class", "d_tasks", "select task_id, split_part(entry_point, ':', 1) as entry_class from d_tasks")
 oracle(
@@ -451,7 +461,7 @@ oracle(
     "render_all",
     "d_tasks v_tasks",
     " union all ".join(
-        f"select task_id, variant, language, {f} as file_name, cast(length({s}) as int) as n_chars from v_tasks where language = '{lang}'"
+        f"select task_id, variant, language, {f} as file_name, {s} as source from v_tasks where language = '{lang}'"
         for lang, f, s in RENDER.values()
     ),
 )
@@ -498,6 +508,51 @@ from (select *, min(case when opened > 0 and bal <= 0 then pos end) over (partit
       sum(length(line) - length(replace(line, '{{', ''))) over (partition by task_id, impl, seg order by pos) as opened from cpp_lines))
 group by task_id, impl""",
 )
+view(
+    "one_file",
+    r"""select lang, pos, line, sum(cast(head as int)) over (partition by lang order by pos) as seg
+from (select coalesce(lang, 'none') as lang, (task_id * 10 + ascii(impl) - 65) * 1048576 + pos - 1 as pos, line, head
+  from cpp_lines join documents on doc_id = task_id * 10 + ascii(impl) - 65)""",
+)
+
+
+def kept_lines(keys: str, lines: str, mode: str) -> str:
+    """Lines outside of main functions, over whole files."""
+    part = f"over (partition by {keys}, seg order by pos)"
+    if mode == "balanced":
+        count, ends = net("line"), "opened > 0 and bal <= 0"
+        extra = f"sum(length(line) - length(replace(line, '{{', ''))) {part} as opened"
+    else:
+        closing = r"regexp_matches(line, '^[ \t]*\}')"
+        count = rf"case when regexp_matches(line, '^[ \t]*\{{') then 1 when {closing} then -1 else 0 end"
+        extra, ends = f"{closing} as closing", "closing and bal = 0"
+    return f"""select {keys}, pos, line from (select *, min(case when {ends} then pos end) over (partition by {keys}, seg) as gone
+  from (select *, sum({count}) {part} as bal, {extra} from {lines})) where seg = 0 or pos > gone"""
+
+
+oracle(
+    "remove_main_lines", "d_docs d_cpp cpp_lines",
+    "select task_id, impl, cast(pos - 1 as int) as pos, line from (" + kept_lines("task_id, impl", "cpp_lines", "faithful") + ")",
+)
+for _name, _mode in (("remove_main_one_file", "faithful"), ("remove_main_one_file_balanced", "balanced")):
+    oracle(_name, "d_docs d_cpp cpp_lines one_file", kept_lines("lang", "one_file", _mode))
+view(
+    "more_tests",
+    """select * from d_tests union all
+select task_id, language, 'test/ATest.java', replace('class MainTest ' || content, 'Solution', 'Other') from d_tests where task_id % 2 = 0
+union all select task_id, language, 'test/ZTest.java', 'class ZTest {}' from d_tests where task_id % 2 = 0""",
+)
+oracle(
+    "java_target_of_suites",
+    "d_tests more_tests",
+    """select task_id, case when contains(min_by(content, path), 'Solution') then 'Solution' else 'Main' end as target from more_tests group by task_id""",
+)
+oracle(
+    "impl_test_fanout_of_suites",
+    "d_docs d_tests more_tests",
+    """select task_id, impl, test_path, test_content from d_docs
+left join (select task_id, max(path) as test_path, max_by(content, path) as test_content from more_tests group by task_id) using (task_id)""",
+)
 oracle(
     "java_target",
     "d_tests",
@@ -533,44 +588,71 @@ oracle(
     "impl_scan_java",
     "",
     f"""select task_id, letter as impl, 'Java' as language,
-  task_id || '/code/' || case when kind = 3 then 'sub/' else '' end || letter || '.java' as path, cast(length(text) as int) as n_chars
+  task_id || '/code/' || case when kind = 3 then 'sub/' else '' end || letter || '.java' as path, coalesce(text, '') as content
 from ({_TREE}) where kind not in (1, 2, 4)""",
 )
 oracle(
     "impl_scan_python",
     "",
     f"""select task_id, letter as impl, 'Python' as language, task_id || '/' || letter || '.py' as path,
-  cast(length(text) as int) as n_chars from ({_TREE}) where kind not in (1, 2, 3)""",
+  coalesce(text, '') as content from ({_TREE}) where kind not in (1, 2, 3)""",
 )
 oracle(
     "impl_scan_js",
     "",
     f"""select task_id, letter || '.js' as impl, 'JavaScript' as language, task_id || '/' || letter || '.js' as path,
-  cast(length(text) as int) as n_chars from ({_TREE}) where kind not in (1, 2, 3)""",
+  coalesce(text, '') as content from ({_TREE}) where kind not in (1, 2, 3)""",
 )
 oracle(
     "impl_scan_js_v1",
     "",
     f"""select task_id, case kind when 1 then 'base_code' when 2 then 'solution' else letter || '.x.js' end as impl, 'JavaScript' as language,
   task_id || case kind when 1 then '/base_code.js' when 2 then '/solution.js' else '/alternate_responses/' || letter || '.js.x.js' end as path,
-  cast(length(text) as int) as n_chars from ({_TREE}) where kind not in (0, 3)""",
+  coalesce(text, '') as content from ({_TREE}) where kind not in (0, 3)""",
 )
 oracle(
     "impl_scan_cpp",
     "",
     f"""select task_id, letter as impl, 'C++' as language, 'tasks/' || task_id || '/src/' || letter || '.cpp' as path,
-  cast(length(text) as int) as n_chars from ({_TREE}) where kind not in (1, 2)""",
+  coalesce(text, '') as content from ({_TREE}) where kind not in (1, 2)""",
+)
+#: Where each runner looks, as a path of ``task_id``, ``kind`` and ``name``, what it calls the file, and the kinds it leaves out.
+_FOLDERS = {
+    "java": ("Java", "task_id || '/code/' || case when kind = 3 then 'sub/' else '' end || name || '.java'", "name", "1, 2, 4"),
+    "python": ("Python", "task_id || '/' || name || '.py'", "name", "1, 2, 3"),
+    "js": ("JavaScript", "task_id || '/' || name || '.js'", "name || '.js'", "1, 2, 3"),
+    "js_v1": (
+        "JavaScript",
+        "task_id || case kind when 1 then '/base_code.js' when 2 then '/solution.js' else '/alternate_responses/' || name || '.js.x.js' end",
+        "case kind when 1 then 'base_code' when 2 then 'solution' else name || '.x.js' end", "0, 3",
+    ),
+    "cpp": ("C++", "'tasks/' || task_id || '/src/' || name || '.cpp'", "name", "1, 2"),
+}
+view("d_tree", f"select *, case kind when 5 then '_' when 6 then '.' else '' end || letter as name from ({_TREE})")
+for _layout, (_language, _path, _impl, _out) in _FOLDERS.items():
+    oracle(
+        f"folder_scan_{_layout}",
+        "d_tree",
+        f"""select task_id, {_impl} as impl, '{_language}' as language, {_path} as path, coalesce(text, '') as content,
+  cast(null as varchar) as reject_reason from d_tree where kind not in ({_out})""",
+    )
+oracle(
+    "folder_scan_of_tasks",
+    "d_tree",
+    f"""select task_id, name as impl, {_FOLDERS['python'][1]} as path, coalesce(text, '') as content from d_tree
+where kind not in (1, 2, 3) and task_id::bigint % 7 = 0 and task_id::bigint < 1000""",
 )
 oracle(
     "metadata_scan",
     "",
     """select 'task' || doc_id as task_id, '' as time_to_develop_prompt, lang as programming_language, source as task_type,
-  'hard' as difficulty, cast(n_chars as varchar) as estimated_skill_requirements, text as user_prompt from documents""",
+  'hard' as difficulty, cast(n_chars as varchar) as estimated_skill_requirements, text as user_prompt, cast(null as varchar) as reject_reason
+from documents""",
 )
 oracle(
     "impl_test_fanout",
     "d_docs d_tests",
-    """select task_id, impl, 'code/' || impl || '.java' as path, t.path as test_path, t.content as test_content, cast(length(text) as int) as n_chars
+    """select task_id, impl, 'code/' || impl || '.java' as path, t.path as test_path, t.content as test_content, text as content
 from d_docs left join d_tests t using (task_id)""",
 )
 oracle(
@@ -632,6 +714,7 @@ from d_tasks t left join latest_variant a on a.task_key = floor(t.task_id / 100)
 left join latest_variant b on b.task_key = floor(t.task_id / 100) and b.variant = 'incs' where language <> 'Go'""",
 )
 oracle("attach_verdicts", "d_tasks d_runs c_runs latest_variant attached", "select * from attached")
+ORACLES["attach_verdicts_bucketed"] = ORACLES["attach_verdicts"]
 oracle(
     "discriminating_tasks",
     "d_tasks d_runs c_runs latest_variant attached",
@@ -729,6 +812,34 @@ oracle(
   cast(50 - l_quantity as bigint) as line_missed, cast(l_quantity as bigint) as line_covered,
   case when l_partkey % 50 = 0 then 'counter is not an integer' end as reject_reason from lineitem""",
 )
+view(
+    "d_reports",
+    """select l_orderkey % 50 as run_id, l_linenumber = 1 and l_orderkey % 50 % 7 = 3 as bad, l_suppkey % 10 = 0 as framework,
+  l_linenumber * 2 as im, l_quantity * 3 as ic, l_linenumber as bm, 1 as bc, 50 - l_quantity as lm, l_quantity as lc from lineitem""",
+)
+view(
+    "report_sums",
+    f"""select run_id, total_instructions, covered_instructions, {pct('covered_instructions', 'total_instructions')} as instruction_coverage,
+  total_branches, covered_branches, {pct('covered_branches', 'total_branches')} as branch_coverage,
+  total_lines, covered_lines, {pct('covered_lines', 'total_lines')} as line_coverage
+from (select run_id, cast(sum(im + ic) as bigint) as total_instructions, cast(sum(ic) as bigint) as covered_instructions,
+    cast(sum(bm + bc) as bigint) as total_branches, cast(sum(bc) as bigint) as covered_branches,
+    cast(sum(lm + lc) as bigint) as total_lines, cast(sum(lc) as bigint) as covered_lines
+  from d_reports where not framework group by run_id having not bool_or(bad))""",
+)
+view(
+    "bad_reports",
+    """select run_id, 'counter is not an integer' as reject_reason, count(*) as rejected_rows from d_reports where bad and not framework group by run_id""",
+)
+oracle("jacoco_report_totals", "d_reports report_sums", "select * from report_sums")
+oracle("jacoco_rejected_reports", "d_reports bad_reports", "select * from bad_reports")
+oracle(
+    "coverage_of_rejected_reports",
+    "d_runs g_runs d_reports report_sums bad_reports",
+    """select g.run_id, task_id, impl, case when b.run_id is null then status else 'FAILED_TO_RUN' end as status, coalesce(reject_reason, error) as error,
+  c.* exclude (run_id) from g_runs g left join bad_reports b on b.run_id = g.run_id and status = 'PASSED'
+left join report_sums c on c.run_id = g.run_id and status = 'PASSED' and b.run_id is null""",
+)
 oracle("jacoco_totals", "d_jacoco cov cov_pct", "select * from cov_pct")
 oracle(
     "attach_coverage",
@@ -779,6 +890,39 @@ oracle(
     "d_runs g_runs cohorts",
     f"select *, {pct('passed', 'total')} as pass_pct, {pct('failed', 'total')} as fail_pct from cohorts",
 )
+view(
+    "cohort_ranges",
+    """select 'c' || s_suppkey as cohort, s_suppkey * 37 % 900 as low, s_suppkey * 37 % 900 + (s_suppkey % 10) * (s_suppkey % 17) - 5 as high from supplier""",
+)
+oracle(
+    "assign_cohort_ranges",
+    "d_runs g_runs cohort_ranges",
+    "select run_id, status, cohort from g_runs left join cohort_ranges on run_id between low and high",
+)
+oracle(
+    "cohort_stats_ranges",
+    "d_runs g_runs cohort_ranges",
+    f"""select *, {pct('passed', 'total')} as pass_pct, {pct('failed', 'total')} as fail_pct from (
+  select cohort, count(run_id) as total, count(*) filter (where status = 'PASSED') as passed,
+    count(*) filter (where status in ('FAILED', 'FAILED_TO_RUN')) as failed
+  from cohort_ranges left join g_runs on run_id between low and high group by cohort)""",
+)
+_FIGURES = f"""count(*) as total, count(*) filter (where status = 'PASSED') as passed,
+  count(*) filter (where status = 'FAILED') as failed, count(*) filter (where status = 'FAILED_TO_RUN') as failed_to_run,
+  {', '.join(f"""{pct(f"sum(covered_{n}) filter (where status = 'PASSED')", f"sum(total_{n}) filter (where status = 'PASSED')")} as {k}_coverage"""
+    for k, n in (("instruction", "instructions"), ("branch", "branches"), ("line", "lines")))} from covered"""
+view(
+    "covered",
+    """select g.*, c.* exclude (run_id), case when impl <= 'E' then 'first' when impl <= 'J' then 'second' end as cohort
+from g_runs g left join cov c on c.run_id = g.run_id""",
+)
+oracle(
+    "all_figures",
+    "d_runs g_runs d_jacoco cov covered",
+    f"""select 'task' as level, task_id, cast(null as varchar) as cohort, {_FIGURES} group by task_id
+union all select 'cohort', null, cohort, {_FIGURES} where cohort is not null group by cohort
+union all select 'overall', null, null, {_FIGURES}""",
+)
 oracle(
     "cohort_pass_rates",
     "d_runs c_runs",
@@ -791,6 +935,7 @@ oracle(
     "d_runs g_runs",
     "select * from g_runs where run_id in (select max(run_id) from g_runs group by task_id, impl)",
 )
+ORACLES["latest_result_merged"] = ORACLES["latest_result"]
 oracle(
     "log_history",
     "d_runs g_runs",
@@ -853,6 +998,9 @@ def written(name: str, lines: str) -> None:
 
 written("write_summary", "summary_lines")
 written("write_coverage", "coverage_lines")
+oracle(
+    "append_batches", "d_runs", "select run_id, phase, stdout, impl || '_tests' as target, phase as batch from d_runs"
+)
 oracle("append_logs", "d_runs", "select run_id, phase, stdout, impl || '_tests' as target from d_runs")
 
 # --- logs and texts ----------------------------------------------------------------------------------------------------------------------

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetrials.functions import text
-from codetrials.operators import code, coverage, jest, layout, notebooks, render, reports, summary, tasks, verdicts
+from codetrials.operators import code, coverage, jest, layout, main_lines, notebooks, ranges, render, reports, summary, tasks, verdicts
 from codetrials.plans import derived, flows
 from codetrials.plans.scratch import scratch_path
-from codetrials.sources import files, readers, writers
+from codetrials.sources import files, folders, readers, store, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,19 +49,23 @@ def notebook_scan(spark: SparkSession, d: str) -> DataFrame:
     return readers.notebook_cells(_packed(spark, d))
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return readers.parse_notebooks(derived.packed_notebooks(spark, d))
+
+
 @query("notebook_fields_nested")
 def notebook_fields_nested(spark: SparkSession, d: str) -> DataFrame:
-    return notebooks.extract_fields_nested(_packed(spark, d))
+    return notebooks.extract_fields_nested(_parsed(spark, d))
 
 
 @query("notebook_records_nested")
 def notebook_records_nested(spark: SparkSession, d: str) -> DataFrame:
-    return flows.records_of_notebooks(_packed(spark, d))
+    return flows.records_of_notebooks(_parsed(spark, d))
 
 
 @query("notebook_quarantine")
 def notebook_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where(F.col("reject_reason").isNotNull()).select("notebook", "reject_reason")
+    return _parsed(spark, d).where(F.col("reject_reason").isNotNull()).select("notebook", "reject_reason")
 
 
 # --- tasks ---------------------------------------------------------------------------------------------------------
@@ -110,17 +114,29 @@ def decode_tests_literal(spark: SparkSession, d: str) -> DataFrame:
     return tasks.decode_tests(shaped).select("task_id", F.array_join("tests", "|").alias("tests"))
 
 
-@query("task_quarantine")
-def task_quarantine(spark: SparkSession, d: str) -> DataFrame:
+def _with_holes(spark: SparkSession, d: str) -> DataFrame:
     number = F.col("task_id")
-    holes = derived.tasks(spark, d).withColumns(
+    return derived.tasks(spark, d).withColumns(
         {
             "prompt": F.when(number % 7 != 0, F.col("prompt")),
             "entry_point": F.when(number % 11 != 0, F.col("entry_point")),
             "test": F.when(number % 13 == 0, "[oops").otherwise(F.col("test")),
         }
     )
-    return tasks.quarantined(flows.checked_tasks(holes)).select("task_id", "language", "reject_reason")
+
+
+@query("task_quarantine")
+def task_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.quarantined(flows.checked_tasks(_with_holes(spark, d))).select("task_id", "language", "reject_reason")
+
+
+@query("task_routing")
+def task_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Good and rejected records in one write, with the counts observed on the way."""
+    path = scratch_path(spark, "routed")
+    counts = writers.write_routed(flows.checked_tasks(_with_holes(spark, d)), path)
+    seen = [F.lit(counts[c]).cast("bigint").alias(f"n_{c}") for c in ("usable", "rejected")]
+    return spark.read.parquet(path).select("task_id", "language", "outcome", "reject_reason", F.size("tests").alias("n_tests"), *seen)
 
 
 @query("language_routing")
@@ -143,15 +159,13 @@ def text_dedent(spark: SparkSession, d: str) -> DataFrame:
     """Dedent and indent over document lines with a mixed margin, blank lines included."""
     lines = F.regexp_replace("text", r"\. ", ".\n \t\n \t  ")
     margined = F.concat(F.lit(" \t "), F.replace(lines, F.lit("\n"), F.lit("\n \t")))
+    # as the output of a generator the dedented text is made once for both of its uses
+    once = F.explode(F.array(text.py_dedent("t"))).alias("dedented")
     return (
         derived.table(spark, d, "documents")
         .select("doc_id", margined.alias("t"))
-        .select(
-            "doc_id",
-            text.py_dedent("t").alias("dedented"),
-            text.py_indent(text.py_dedent("t"), 4).alias("indented"),
-            text.py_dedent(text.py_strip("t")).alias("stripped_first"),
-        )
+        .select("doc_id", "t", once)
+        .select("doc_id", "dedented", text.py_indent("dedented", 4).alias("indented"), text.py_dedent(text.py_strip("t")).alias("stripped_first"))
     )
 
 
@@ -170,8 +184,7 @@ for _name, _language in (
 
 @query("render_all")
 def render_all(spark: SparkSession, d: str) -> DataFrame:
-    rendered = render.render_all(_decoded(spark, d))
-    return rendered.select("task_id", "variant", "language", "file_name", F.length("source").alias("n_chars"))
+    return render.render_all(_decoded(spark, d)).select("task_id", "variant", "language", "file_name", "source")
 
 
 # --- source code -----------------------------------------------------------------------------------------------------
@@ -203,6 +216,24 @@ def remove_main_balanced(spark: SparkSession, d: str) -> DataFrame:
     return code.remove_main(derived.cpp_impls(spark, d), "balanced").select("task_id", "impl", "content")
 
 
+@query("remove_main_lines")
+def remove_main_lines(spark: SparkSession, d: str) -> DataFrame:
+    return main_lines.remove_main_lines(derived.cpp_lines(spark, d), ["task_id", "impl"])
+
+
+def _one_file(mode: str) -> Query:
+    """A file of all lines, cut into runs of 16 documents."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return main_lines.remove_main_lines(derived.cpp_amalgam(spark, d), ["lang"], mode=mode, bits=24)
+
+    return run
+
+
+query("remove_main_one_file")(_one_file("faithful"))
+query("remove_main_one_file_balanced")(_one_file("balanced"))
+
+
 @query("normalize_java")
 def normalize_java(spark: SparkSession, d: str) -> DataFrame:
     return code.normalize_java(derived.java_impls(spark, d), derived.tests(spark, d))
@@ -213,6 +244,12 @@ def java_target(spark: SparkSession, d: str) -> DataFrame:
     return code.java_target(derived.tests(spark, d))
 
 
+@query("java_target_of_suites")
+def java_target_of_suites(spark: SparkSession, d: str) -> DataFrame:
+    """Several suites a task: the first by path tells the class."""
+    return code.java_target(derived.more_tests(spark, d))
+
+
 @query("rewrite_import")
 def rewrite_import(spark: SparkSession, d: str) -> DataFrame:
     return code.rewrite_import(derived.js_tests(spark, d), derived.js_impls(spark, d))
@@ -224,7 +261,18 @@ def rewrite_import(spark: SparkSession, d: str) -> DataFrame:
 def _impl_scan(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         found = files.select_impls(derived.source_tree(spark, d, kind), kind)
-        return found.select("task_id", "impl", "language", "path", F.length("content").alias("n_chars"))
+        return found.select("task_id", "impl", "language", "path", "content")
+
+    return run
+
+
+def _folder_scan(kind: str) -> Query:
+    """A written tree, hidden names included, read by tasks that list its folders."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        root = scratch_path(spark, "tree")
+        folders.write_files(derived.source_tree(spark, d, kind, hidden=True), root)
+        return folders.scan_impls(spark, root, kind).select("task_id", "impl", "language", "path", "content", "reject_reason")
 
     return run
 
@@ -234,6 +282,16 @@ for _name, _kind in (
     ("impl_scan_js_v1", "js_v1"), ("impl_scan_cpp", "cpp"),
 ):
     query(_name)(_impl_scan(_kind))
+    query(_name.replace("impl", "folder"))(_folder_scan(_kind))
+
+
+@query("folder_scan_of_tasks")
+def folder_scan_of_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """A condition on the task reaches the listing: no other folder is opened."""
+    root = scratch_path(spark, "tree")
+    folders.write_files(derived.source_tree(spark, d, "python", hidden=True), root)
+    wanted = [str(k) for k in range(0, 1000, 7)]
+    return folders.scan_impls(spark, root, "python", wanted).select("task_id", "impl", "path", "content")
 
 
 @query("metadata_scan")
@@ -244,7 +302,14 @@ def metadata_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("impl_test_fanout")
 def impl_test_fanout(spark: SparkSession, d: str) -> DataFrame:
     pairs = layout.fan_out(derived.impls(spark, d), derived.tests(spark, d))
-    return pairs.select("task_id", "impl", "path", "test_path", "test_content", F.length("content").alias("n_chars"))
+    return pairs.select("task_id", "impl", "path", "test_path", "test_content", "content")
+
+
+@query("impl_test_fanout_of_suites")
+def impl_test_fanout_of_suites(spark: SparkSession, d: str) -> DataFrame:
+    """Several suites a task: the last by path is the one that is there."""
+    pairs = layout.fan_out(derived.impls(spark, d), derived.more_tests(spark, d))
+    return pairs.select("task_id", "impl", "test_path", "test_content")
 
 
 @query("layout_violations")
@@ -322,6 +387,19 @@ def discriminating_tasks(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.discriminating_tasks(_attached(spark, d)).select("task_id", "language")
 
 
+@query("attach_verdicts_bucketed")
+def attach_verdicts_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks and verdicts kept in buckets of the task: they meet without an exchange."""
+    judged = verdicts.classify_compiled(derived.runs(spark, d), ("run_id", "task_id")).select(
+        F.col("task_id").alias("task_key"), derived.variant_of_run().alias("variant"), "run_id", "status", "output"
+    )
+    keyed = tasks.route_language(derived.tasks(spark, d)).withColumn("task_key", F.floor(F.col("task_id") / 100).cast("bigint"))
+    keyed, judged = (store.bucketed(t, scratch_path(spark, "bucketed"), ["task_key"], 16) for t in (keyed, judged))
+    return verdicts.attach_verdicts(keyed, judged, "task_key", order="run_id").select(
+        "task_id", "language", "prompt", "ir_test_status", "ir_test_output", "incs_test_status", "incs_test_output"
+    )
+
+
 def _run_languages(spark: SparkSession, d: str) -> DataFrame:
     return (
         derived.tasks(spark, d)
@@ -402,6 +480,33 @@ def jacoco_scan(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_jacoco(spark, path, "run")
 
 
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """Written reports of two column orders in one folder, some of them with rows that are rejected."""
+    path = scratch_path(spark, "reports")
+    for odd in (False, True):
+        rows = derived.jacoco_reports(spark, d, odd)
+        rows.write.mode("append").partitionBy("run").option("header", True).csv(path)
+    found = readers.read_jacoco(spark, path, "run")
+    return found.withColumn("run_id", F.col("report").cast("bigint"))
+
+
+@query("jacoco_report_totals")
+def jacoco_report_totals(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.jacoco_totals(_reports(spark, d), ["run_id"])
+
+
+@query("jacoco_rejected_reports")
+def jacoco_rejected_reports(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.rejected_reports(_reports(spark, d), ["run_id"])
+
+
+@query("coverage_of_rejected_reports")
+def coverage_of_rejected_reports(spark: SparkSession, d: str) -> DataFrame:
+    """A passed run whose report has a rejected row failed to run."""
+    results = flows.java_results(derived.runs(spark, d), _reports(spark, d), ["run_id"], ("task_id", "impl"))
+    return results.select(*RUN_KEYS, "status", "error", "coverage.*")
+
+
 @query("jacoco_totals")
 def jacoco_totals(spark: SparkSession, d: str) -> DataFrame:
     return coverage.jacoco_totals(derived.jacoco(spark, d), ["run_id"])
@@ -465,6 +570,24 @@ def cohort_stats(spark: SparkSession, d: str) -> DataFrame:
     return summary.cohort_stats(_file_results(spark, d))
 
 
+@query("assign_cohort_ranges")
+def assign_cohort_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Cohorts as a table of overlapping ranges."""
+    assigned = ranges.assign_ranges(_gradle(spark, d), derived.cohort_ranges(spark, d), "run_id")
+    return assigned.select("run_id", "status", "cohort")
+
+
+@query("cohort_stats_ranges")
+def cohort_stats_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return ranges.range_stats(_gradle(spark, d), derived.cohort_ranges(spark, d), "run_id")
+
+
+@query("all_figures")
+def all_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Task, cohort and overall figures with coverage, from one pass."""
+    return summary.all_figures(_covered(spark, d).withColumn("file_name", F.concat("impl", F.lit(".java"))))
+
+
 @query("cohort_pass_rates")
 def cohort_pass_rates(spark: SparkSession, d: str) -> DataFrame:
     return flows.pass_rates(derived.runs(spark, d), RUN_KEYS)
@@ -475,6 +598,17 @@ def latest_result(spark: SparkSession, d: str) -> DataFrame:
     return summary.last_writer_wins(_gradle(spark, d), ["task_id", "impl"], ["run_id"])
 
 
+@query("latest_result_merged")
+def latest_result_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The newest results by merging batches, later ones first, and one of them twice."""
+    results = _gradle(spark, d)
+    kept = store.NewestTable(spark, scratch_path(spark, "newest"), ["task_id", "impl"], ["run_id"], 16)
+    for batch, part in (("late", F.col("run_id") % 3 == 2), ("early", F.col("run_id") % 3 == 0), ("middle", F.col("run_id") % 3 == 1)):
+        kept.merge(results.where(part), batch)
+    kept.merge(results.where(F.col("run_id") % 3 == 1), "middle")
+    return kept.read(results.schema)
+
+
 @query("log_history")
 def log_history(spark: SparkSession, d: str) -> DataFrame:
     entries = _gradle(spark, d).select("impl", "run_id", "status")
@@ -498,7 +632,7 @@ def summary_lines(spark: SparkSession, d: str) -> DataFrame:
 def write_programs(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "programs")
     writers.write_programs(render.render_all(_decoded(spark, d)), path)
-    return spark.read.parquet(path).select("task_id", "variant", "language", "file_name", F.length("source").alias("n_chars"))
+    return spark.read.parquet(path).select("task_id", "variant", "language", "file_name", "source")
 
 
 @query("write_reports")
@@ -533,6 +667,17 @@ def append_logs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("run_id", "phase", "stdout", "target")
 
 
+@query("append_batches")
+def append_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Logs in batches: one of them twice, as after a failure, and one that was never finished."""
+    entries = derived.runs(spark, d).select("run_id", "phase", "stdout", F.concat("impl", F.lit("_tests")).alias("target"))
+    log = store.BatchLog(spark, scratch_path(spark, "batches"))
+    for phase in ("compile", "run", "run"):
+        log.append(entries.where(F.col("phase") == phase), phase)
+    log.write(entries, "unfinished")
+    return log.read("run_id bigint, phase string, stdout string, target string")
+
+
 # --- logs and texts --------------------------------------------------------------------------------------------------------------
 
 

@@ -62,17 +62,18 @@ def test_plans_have_no_cross_join_and_no_broadcast_hint(spark, name):
 @pytest.mark.parametrize(
     "name",
     ["notebook_fields_nested", "notebook_records_nested", "notebook_scan", "exported_functions_text", "add_exports", "remove_main", "text_dedent",
-     "verdict_interpreted", "verdict_gradle", "assign_cohort", "case_results", "report_text", "report_lines", "impl_scan_java"],
+     "verdict_interpreted", "verdict_gradle", "assign_cohort", "case_results", "report_text", "report_lines", "impl_scan_java", "folder_scan_java",
+     "notebook_quarantine"],
 )
 def test_row_local_operators_do_not_shuffle(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, SMALL))
 
 
-def test_only_the_literal_fallback_uses_python(spark):
+def test_no_query_uses_python_functions(spark):
     for name, query in QUERIES.items():
         text = plan(query(spark, SMALL))
-        uses = "ArrowEvalPython" in text or "BatchEvalPython" in text or "ExistingRDD" in text
-        assert not uses or name.startswith(("decode_tests", "render_", "task_quarantine")), name
+        assert not any(x in text for x in ("EvalPython", "MapInArrow", "MapInPandas", "FlatMapGroups", "ExistingRDD")), name
+        assert "task_folders" not in text or name.startswith("folder_scan"), name
 
 
 def test_columns_and_filters_reach_the_scan(spark):

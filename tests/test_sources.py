@@ -169,10 +169,12 @@ def test_programs_and_reports_and_logs(spark, tmp_path):
 
     texts = spark.createDataFrame([("1", "A", "x\ny"), ("1", "B", None)], "task_id string, impl string, report string")
     writers.write_reports(texts, str(tmp_path / "r"))
-    assert rows(spark.read.parquet(str(tmp_path / "r"))) == [("1", "A", "x\ny")]
+    assert rows(spark.read.parquet(str(tmp_path / "r"))) == [("1", "A", "x\ny"), ("1", "B", None)]
     writers.write_reports(texts, str(tmp_path / "f"), layout="files")
     part = next((tmp_path / "f" / "task_id=1" / "impl=A").glob("part-*"))
     assert part.read_text() == "x\ny\n"
+    empty = next((tmp_path / "f" / "task_id=1" / "impl=B").glob("part-*"))
+    assert empty.read_text() == "\n"
 
     one = spark.createDataFrame([("A_tests", "l1")], "target string, line string")
     writers.append_logs(one, str(tmp_path / "l"))
