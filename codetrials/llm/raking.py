@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import warnings
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -125,7 +126,6 @@ def raked(
     """
     kept = [*cells.columns]
     now = written(with_targets(cells, wanted).withColumn("goal", F.col("tokens")), "cells")
-    near = 1 - (1 + tolerance) ** (-1 / max(1, len(wanted)))  # so many small steps are no more than the tolerance
     off: dict[str, float] = {}
     for k in range(sweeps):
         seen = []
@@ -140,7 +140,8 @@ def raked(
         now = now.observe(observed, *seen).drop(*[f"off_{d}" for d in wanted]) if seen else now
         now = written(now, f"sweep-{k}")
         off = observed.get if seen else {}
-        if max(off.values(), default=0.0) <= near:
+        # what a sweep moves a total by, after its own turn, is at most the product of the other dimensions' steps
+        if prod(1 + x for x in off.values()) - 1 <= tolerance:
             return now.select(*kept, "goal")
     far = ", ".join(f"{d} {x:.2%}" for d, x in sorted(off.items()))
     warnings.warn(f"raking ends after {sweeps} sweeps with totals off their targets by up to: {far}", RuntimeWarning, stacklevel=2)
