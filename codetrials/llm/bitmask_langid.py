@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from codetrials.llm import blocks as B
 
 PER_LANGUAGE = 4000  # rows of the sample
+MOST_LANGUAGES = 1024  # 32 MB of filters
 GRAMS = 20_000  # the most frequent n-grams of a language
 SHARE = 0.5  # an n-gram belongs to a language if it is at least this frequent there, against where it is most frequent
 SLOTS = 1 << 18
@@ -81,9 +82,14 @@ def grams_of(block: B.Block):
 
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
-    """Filters from the rows with a text and a language; sampled, by a hash of the id, to ``per_language`` of each."""
+    """Filters from the rows with a text and a language; sampled, by a hash of the id, to ``per_language`` of each.
+
+    More than ``MOST_LANGUAGES`` different languages raise: filters, their table and a condition grow with them.
+    """
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    many = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language
+    many = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}  # a row for each language
+    if len(many) > MOST_LANGUAGES:
+        raise ValueError(f"column {lang!r} holds more than {MOST_LANGUAGES} languages")
     languages = sorted(many)
     sampled = None
     for name in languages:

@@ -36,7 +36,7 @@ ASKED = "bucket long, block long, payload binary"
 ANSWERED = "home long, block long, bucket long, payload binary"
 HOME_BITS = 2  # four blocks have one home
 DIGEST = 16  # bytes
-BLOCK_BITS, ROW_BITS = 20, 24  # blocks of a task, rows of a block
+BLOCK_BITS, ROW_BITS = 13, 19  # blocks of a task, rows of a block: with 31 bits for the task, a row's number has 63
 
 
 @dataclass
@@ -76,17 +76,23 @@ def _row(number: int, ids: list, texts: list) -> dict:
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
-    """Write the texts in blocks of about ``size`` bytes (a longer text is a block of its own) and read them back."""
+    """Write the texts in blocks of about ``size`` bytes (a longer text is a block of its own) and read them back.
+
+    The table is bucketed into ``spark.sql.shuffle.partitions`` parts, the tasks of every later pass over the blocks: the
+    setting must grow with the corpus.  The catalog knows the table only while it is made; the files stay.
+    """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << BLOCK_BITS
+        first = number = TaskContext.get().partitionId() << BLOCK_BITS
         ids: list = []
         texts: list = []
         held = 0
 
         def flush():
             nonlocal number, ids, texts, held
+            if number >> BLOCK_BITS != first >> BLOCK_BITS:
+                raise ValueError(f"a task has more than {1 << BLOCK_BITS} blocks: read the table in smaller partitions")
             out = pa.RecordBatch.from_pylist([_row(number, ids, texts)])
             number, ids, texts, held = number + 1, [], [], 0
             return out
@@ -94,7 +100,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = B
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py()
-                if ids and held + len(t or b"") > size:
+                if ids and (held + len(t or b"") > size or len(ids) >> ROW_BITS):
                     yield flush()
                 ids.append(i)
                 texts.append(t)
@@ -111,7 +117,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = B
         .option("path", scratch_path(spark, "blocks"))
         .saveAsTable(name)
     )
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  (resolved while the entry is there)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def in_chunks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -143,6 +152,10 @@ def in_chunks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Ite
 
 
 def as_bytes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text as bytes); ids are whole numbers, and others raise here rather than in a task."""
+    kind = docs.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"column {key!r} holds {kind} and no whole numbers")
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t"))
 
 
@@ -220,6 +233,7 @@ def told(
 
 
 COPIES = -1  # the bucket of the answers that first_copies() gives
+DIGESTS = 1 << 20  # of one bucket, 40 bytes each
 DIGESTED = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("row", "<i8"), ("rows", "<i8")])
 
 
@@ -227,7 +241,8 @@ def first_copies(blocks: DataFrame) -> DataFrame:
     """Answers that tell each block, for the digests of its texts, the smallest id that has the text and in how many rows
     the text stands.  Only digests travel, each once for a block.
     """
-    buckets = bucket_count(blocks, 256)
+    rows_there = blocks.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0  # one number
+    buckets = max(1, -(-int(rows_there) // DIGESTS))
 
     def ask(batches):
         for batch in batches:

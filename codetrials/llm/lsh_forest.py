@@ -182,8 +182,11 @@ def verified(threshold: float, trees: int):
                 right = left
             if not left or not right:
                 continue
-            hit = similar([s for _, _, s in left], [s for _, _, s in right], threshold)
-            hit &= fresh_pairs(np.array([n for _, n, _ in left]), np.array([n for _, n, _ in right]))
+            # pairs that an earlier tree has are not compared again
+            fresh = fresh_pairs(np.array([n for _, n, _ in left]), np.array([n for _, n, _ in right]))
+            if not fresh.any():
+                continue
+            hit = similar([s for _, _, s in left], [s for _, _, s in right], threshold) & fresh
             rows = np.array([r for r, _, _ in left]), np.array([r for r, _, _ in right])
             if p == q:
                 np.fill_diagonal(hit, False)

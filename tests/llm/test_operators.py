@@ -117,6 +117,31 @@ def test_run_length_index_of_crowded_anchors(spark, hard):
     assert got(run_length_index.dedup(df)) == plain(brute.byte_dedup(rows))
 
 
+def test_texts_longer_than_a_block_and_small_blocks(spark, hard, monkeypatch):
+    """Blocks of 2,000 bytes and of eight rows: the longest text is fifty blocks long."""
+    monkeypatch.setattr(blocks.pack, "__defaults__", ("doc_id", "text", 2000))
+    monkeypatch.setattr(run_length_index, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "DIGESTS", 7)
+    assert got(recompression.dedup(hard)) == plain(brute.word_dedup(pairs(hard)))
+    assert got(run_length_index.dedup(hard)) == plain(brute.byte_dedup(pairs(hard)))
+    rows = hard.dropDuplicates(["doc_id"])
+    assert got(lsh_forest.near_duplicates(rows), 4) == plain(brute.near_duplicates(pairs(rows)))
+
+
+def test_blocks_leave_no_table_behind_and_take_whole_numbers(spark, hard):
+    before = {t.name for t in spark.catalog.listTables()}
+    packed = blocks.pack(hard)
+    assert {t.name for t in spark.catalog.listTables()} == before and packed.count() > 0
+    with pytest.raises(TypeError, match="no whole numbers"):
+        recompression.dedup(hard.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_language_bounds_the_number_of_languages(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="more than 1024 languages"):
+        bitmask_langid.fit(docs)
+
+
 def test_matching_statistics():
     draw = random.Random(3)
     for alphabet, n in (("ab", 60), ("abc", 200), ("a", 40)):
