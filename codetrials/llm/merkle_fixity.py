@@ -7,7 +7,8 @@ branches whose hashes differ.
 
 A node collects at most ``fanout`` children.  Rows that share an archive and a sequence number are one leaf, by sums of
 their digests, which combine before the shuffle; offsets are running sums over runs of sequence numbers, so neither a hot
-archive nor a hot number comes into one task.
+archive nor a hot number comes into one task.  Where the descent ends at a leaf of several records, its records are
+compared by their digests.
 """
 
 from __future__ import annotations
@@ -42,11 +43,18 @@ def archived(pages: DataFrame, per_archive: int = PER_ARCHIVE) -> DataFrame:
     )
 
 
-def leaves_of(records: DataFrame) -> DataFrame:
-    """A leaf for each (archive, seq), with the offset at which it starts; written to the shared folder."""
-    spark = records.sparkSession
-    digest = F.sha2("record", 256)
-    slim = records.select("archive", "seq", F.octet_length("record").cast("long").alias("length"), digest.alias("digest"))
+def digests_of(records: DataFrame) -> DataFrame:
+    """(archive, seq, length, digest) of every record, written to the shared folder."""
+    path = scratch_path(records.sparkSession, "digests")
+    length = F.octet_length("record").cast("long").alias("length")
+    records.select("archive", "seq", length, F.sha2("record", 256).alias("digest")).write.parquet(path)
+    return records.sparkSession.read.schema("archive long, seq long, length long, digest string").parquet(path)
+
+
+def leaves_of(slim: DataFrame) -> DataFrame:
+    """A leaf for each (archive, seq) of :func:`digests_of`, with the offset at which it starts; written to the shared
+    folder."""
+    spark = slim.sparkSession
     part = lambda k: F.conv(F.substring("digest", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")
     sums = [F.sum(part(k)).cast("string").alias(f"part_{k}") for k in range(4)]
     leaves = (
@@ -67,7 +75,8 @@ class Tree:
     def __init__(self, records: DataFrame, fanout: int = FANOUT, levels: int = LEVELS):
         spark = records.sparkSession
         self.fanout = fanout
-        self.leaves = leaves_of(records)
+        self.digests = digests_of(records)
+        self.leaves = leaves_of(self.digests)
         below = self.leaves.select(
             "archive", F.lit(0).alias("level"), F.col("seq").alias("node"), "length", "records", "hash"
         )
@@ -99,13 +108,19 @@ def audit(one: Tree, two: Tree) -> DataFrame:
     """One row per damaged record: ``changed``, ``missing`` (in the second replica) or ``extra``, with its offset range in
     either replica (null where it is absent).
 
-    Replicas that are equal give no row; an empty replica misses, or adds, every record.
+    ``record`` is null where the archive and number tell the record.  Several records of one archive and number are told
+    by their SHA-256, which is there then, as often as one replica has more of it than the other: such a record is
+    missing or extra, and the offsets are those of all records of the number.  Replicas that are equal give no row; an
+    empty replica misses, or adds, every record.
     """
     if one.fanout != two.fanout or len(one.levels) != len(two.levels):
         raise ValueError("trees of different shape")
     differing = None
     for k in range(len(one.levels) - 1, -1, -1):
-        sides = [t.levels[k].select("archive", "node", F.col("hash").alias(f"hash_{n}")) for n, t in ((1, one), (2, two))]
+        columns = ["archive", "node", *["records"] * (k == 0)]
+        sides = [
+            t.levels[k].select(*columns, F.col("hash").alias(f"hash_{n}")).withColumnsRenamed({"records": f"records_{n}"}) for n, t in ((1, one), (2, two))
+        ]
         if differing is not None:
             parent = F.floor(F.col("node") / one.fanout).cast("long") if k < len(one.levels) - 2 else F.lit(0).cast("long")
             sides = [
@@ -113,11 +128,23 @@ def audit(one: Tree, two: Tree) -> DataFrame:
             ]
         both = sides[0].join(sides[1], ["archive", "node"], "full_outer").where(~F.col("hash_1").eqNullSafe(F.col("hash_2")))
         differing = both.select("archive", F.col("node").alias("parent"))
-    damaged = both.select(
-        "archive",
-        F.col("node").alias("seq"),
-        F.when(F.col("hash_2").isNull(), "missing").when(F.col("hash_1").isNull(), "extra").otherwise("changed").alias("status"),
-    )
+    several = (F.coalesce("records_1", F.lit(0)) > 1) | (F.coalesce("records_2", F.lit(0)) > 1)
+    path = scratch_path(one.leaves.sparkSession, "differing")
+    status = F.when(F.col("hash_2").isNull(), "missing").when(F.col("hash_1").isNull(), "extra").otherwise("changed")
+    both.select("archive", F.col("node").alias("seq"), status.alias("status"), several.alias("several")).write.parquet(path)
+    leaves = one.leaves.sparkSession.read.schema("archive long, seq long, status string, several boolean").parquet(path)
+    alone = leaves.where("not several").select("archive", "seq", "status", F.lit(None).cast("string").alias("record"))
+    crowded = leaves.where("several").select("archive", "seq")
+    counts = None
+    for tree, sign in ((one, 1), (two, -1)):
+        own = tree.digests.join(crowded, ["archive", "seq"], "left_semi").select("archive", "seq", "digest", F.lit(sign).alias("n"))
+        counts = own if counts is None else counts.unionByName(own)
+    more = counts.groupBy("archive", "seq", "digest").agg(F.sum("n").alias("n")).where("n <> 0")
+    each = more.select(
+        "archive", "seq", F.when(F.col("n") > 0, "missing").otherwise("extra").alias("status"), F.col("digest").alias("record"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))).alias("copy"),
+    ).drop("copy")
+    damaged = alone.unionByName(each)
     for n, tree in ((1, one), (2, two)):
         place = tree.leaves.select(
             "archive", "seq", F.col("start").alias(f"start_{n}"), (F.col("start") + F.col("length")).alias(f"stop_{n}")

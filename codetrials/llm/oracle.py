@@ -67,7 +67,7 @@ records as (select cast(floor(seq / 1000.0) as bigint) as archive, seq, kept, on
     strlen('WARC/1.0__WARC-Type: response__WARC-Target-URI: ' || url || '__Content-Length: ' || strlen(coalesce(two, '')) || '____' || coalesce(two, '') || '____') as size_2 from copies),
 first as (select archive, seq, sum(size_1) over (partition by archive order by seq) as stop_1, size_1 from records),
 second as (select archive, seq, sum(size_2) over (partition by archive order by seq) as stop_2, size_2 from records where kept)
-select r.archive, r.seq, case when kept then 'changed' else 'missing' end as status, cast(stop_1 - f.size_1 as bigint) as start_1, cast(stop_1 as bigint) as stop_1,
+select r.archive, r.seq, case when kept then 'changed' else 'missing' end as status, cast(null as varchar) as record, cast(stop_1 - f.size_1 as bigint) as start_1, cast(stop_1 as bigint) as stop_1,
   cast(stop_2 - s.size_2 as bigint) as start_2, cast(stop_2 as bigint) as stop_2
 from records r join first f using (archive, seq) left join second s on s.archive = r.archive and s.seq = r.seq
 where not kept or one <> two"""

@@ -203,10 +203,36 @@ def test_merkle_fixity(spark):
     changed = {(k, "changed") for k in range(2500) if k % 50 == 2}
     assert found == changed | {(17, "missing"), (2400, "missing"), (7777, "extra")}
     assert merkle_fixity.audit(trees[0], trees[0]).count() == 0
+    lengths = {r.seq: r.length for r in trees[0].leaves.collect()}
+    ends = {(r.start_1, r.stop_1) for r in merkle_fixity.audit(*trees).where("seq = 1002").collect()}
+    assert ends == {(lengths[1000] + lengths[1001], lengths[1000] + lengths[1001] + lengths[1002])}
     starts = {r.seq: (r.start, r.length) for r in trees[0].leaves.where("archive = 1").collect()}
     assert starts[1001][0] == starts[1000][1] and starts[1000][0] == 0
     nothing = merkle_fixity.Tree(merkle_fixity.archived(one.limit(0)))
-    assert merkle_fixity.audit(trees[0], nothing).where("status = 'missing'").count() == trees[0].leaves.count()
+    assert merkle_fixity.audit(trees[0], nothing).where("status = 'missing'").count() == one.count()
+
+
+def test_merkle_fixity_within_a_leaf(spark):
+    """Many records without a number, and a number that stands twice: each record is named, as often as it is amiss."""
+    queries.known_to_workers(spark)
+    rows = [(None, f"u{k}", "same" if k < 40 else f"body {k}") for k in range(400)] + [(9, "u9", "a"), (9, "u9", "b"), (10, "u10", "c")]
+    rows += [(None, "copy", "x")] * 3
+    schema = "page_id long, url string, html string"
+    one = spark.createDataFrame(rows, schema)
+    kept = [r for k, r in enumerate(rows) if k not in (100, 200)]
+    kept = [(*r[:2], "b2") if r == (9, "u9", "b") else r for r in kept]
+    kept.remove((None, "copy", "x"))
+    kept.remove((None, "copy", "x"))
+    two = spark.createDataFrame([*kept, (None, "new", "y")], schema)
+    trees = [merkle_fixity.Tree(merkle_fixity.archived(t)) for t in (one, two)]
+    digest = {}
+    for url, html in (("u100", "body 100"), ("u200", "body 200"), ("copy", "x"), ("new", "y"), ("u9", "b"), ("u9", "b2")):
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(html)}\r\n\r\n{html}\r\n\r\n"
+        digest[url, html] = brute.sha(head)
+    found = sorted((r.seq, r.status, r.record) for r in merkle_fixity.audit(*trees).collect())
+    want = [(-1, "missing", digest[x]) for x in (("u100", "body 100"), ("u200", "body 200"), ("copy", "x"), ("copy", "x"))]
+    want += [(-1, "extra", digest["new", "y"]), (9, "missing", digest["u9", "b"]), (9, "extra", digest["u9", "b2"])]
+    assert found == sorted(want)
 
 
 def test_lsh_forest(spark, hard, none):
