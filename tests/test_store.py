@@ -5,7 +5,7 @@ import random
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from codetrials.operators import layout, verdicts
+from codetrials.operators import coverage, layout, verdicts
 from codetrials.sources import store
 
 
@@ -32,6 +32,13 @@ def test_bucketed_tables_meet_without_an_exchange(spark, tmp_path):
         attached = verdicts.attach_verdicts(*kept, order="run_id")
         assert "Exchange" not in plan(attached)
         assert rows(attached) == rows(verdicts.attach_verdicts(tasks, judged, order="run_id"))
+
+        results = spark.range(200).select((n % 70).alias("task_id"), F.when(n % 3 == 0, "PASSED").otherwise("FAILED").alias("status"), n.alias("run_id"))
+        totals = spark.range(60).select(n.alias("task_id"), n.alias("total_lines"))
+        kept = [store.bucketed(t, str(tmp_path / name), ["task_id"], 8) for name, t in (("r", results), ("c", totals))]
+        covered = coverage.attach_coverage(*kept, keys=["task_id"])
+        assert "Exchange" not in plan(covered)
+        assert rows(covered) == rows(coverage.attach_coverage(results, totals, keys=["task_id"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {t.name for t in spark.catalog.listTables()} == before
