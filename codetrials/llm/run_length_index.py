@@ -51,7 +51,7 @@ def packed_codes(codes: np.ndarray, n: int) -> np.ndarray:
 def suffix_order(keys: np.ndarray) -> np.ndarray:
     """The suffix array by prefix doubling; ``keys`` are the ``packed_codes``."""
     n = len(keys)
-    order = np.argsort(keys, kind="stable").astype(np.int32)
+    order = np.argsort(keys).astype(np.int32)  # equal keys in any order: the rounds tell them apart
     ordered = keys[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])).astype(np.int32)
     del ordered
@@ -64,7 +64,7 @@ def suffix_order(keys: np.ndarray) -> np.ndarray:
     while len(slots):
         at = order[slots]
         key = (rank[at].astype(np.int64) << 32) + rank[np.minimum(at + reach, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         at, key = at[by], key[by]
         order[slots] = at
         head = np.append(True, key[1:] != key[:-1])
@@ -88,14 +88,11 @@ class RunLengthIndex:
         self.heads = np.flatnonzero(change)
         self.symbols = before[self.heads]
         self.lengths = np.diff(np.append(self.heads, n))
-        ends = self.heads + self.lengths - 1
-        above, below = self.heads[self.heads > 0], ends[ends < n - 1]
-        none = np.zeros(1, dtype=np.int64)
-        # sampled suffixes at run heads, and at run ends; the first and the last suffix have one neighbour only
-        self.head_at = np.append(order[above], order[:1])
-        self.head_match = np.append(self._common(order[above], order[above - 1], most), none)
-        self.end_at = np.append(order[below], order[-1:])
-        self.end_match = np.append(self._common(order[below], order[below + 1], most), none)
+        head = self.heads[1:]
+        # sampled suffixes at run heads, and at run ends, where a run's end and the next one's head have one common prefix
+        match = np.append(self._common(order[head], order[head - 1], most), np.zeros(1, dtype=np.int64))
+        self.head_at, self.head_match = np.append(order[head], order[:1]), match
+        self.end_at, self.end_match = np.append(order[head - 1], order[-1:]), match
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """The common prefix of the suffixes at ``a`` and ``b``, in steps of seven codes and then one by one."""
