@@ -8,6 +8,7 @@ token are put in their places piece by piece.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ _STRINGS = [
 TOKEN = "(?s)" + "|".join([*_STRINGS, r"[\[\](),]", r"[ \t]++", r"\f", r"\\\n", r"#[^\n]*+", r"\n", "."])
 #: What an escape may be, longest first; a piece without a backslash is as it stands.
 PIECE = r"(?s)[^\\]++|\\(?:[0-7]{1,3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.)"
-#: The escapes of one character.
-ESCAPES = {"\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\n": ""}
+#: The escapes of one character, and what each stands for.
+ESCAPES, MEANT = "\\'\"abfnrtv", "\\'\"\a\b\f\n\r\t\v"
 
 
 def _kind(token: Column) -> Column:
@@ -126,9 +127,6 @@ def _unescaped(body: Column) -> Column:
 
     def piece(p: Column) -> Column:
         mark = F.substring(p, 2, 1)
-        known = F.lit(None).cast("string")
-        for written, meant in ESCAPES.items():
-            known = F.when(mark == written, F.lit(meant)).otherwise(known)
         digits = F.lower(F.substring(p, F.lit(3), F.length(p)))
         octal = F.lower(F.conv(F.substring(p, F.lit(2), F.length(p)), 8, 16))
         return (
@@ -136,7 +134,9 @@ def _unescaped(body: Column) -> Column:
             .when(mark.rlike("[0-7]"), _character(octal))
             .when(mark.isin("x", "u", "U"), F.when(F.length(p) > 2, _character(digits)))
             .when(mark == "N", F.lit(None).cast("string"))
-            .otherwise(F.coalesce(known, p))
+            .when(mark == "\n", "")
+            .when(F.contains(F.lit(ESCAPES), mark), F.translate(mark, ESCAPES, MEANT))
+            .otherwise(p)
         )
 
     def whole(pieces: Column) -> Column:
@@ -163,13 +163,25 @@ def _string(token: Column) -> Column:
     return let(token, read)
 
 
-def string_list(text: Column) -> Column:
+_made: dict[tuple[object, str], Column] = {}
+
+
+def string_list(text: Column | str) -> Column:
     """``ARRAY<STRING>`` of a Python list or tuple of string literals, NULL for any other text.
 
     As ``ast.literal_eval`` reads it, with comments, joined literals, raw and triple-quoted strings, parentheses and
-    tuples without them; but for escapes by name (``\\N{...}``), which give NULL.
+    tuples without them; but for escapes by name (``\\N{...}``), which give NULL.  The expression is a large one: of a
+    column given by its name it is made once.
     """
+    if not isinstance(text, str):
+        return _string_list(text)
+    key = (SparkContext._active_spark_context, text)
+    if key not in _made:
+        _made[key] = _string_list(F.col(text))
+    return _made[key]
+
 
+def _string_list(text: Column) -> Column:
     def parsed(tokens: Column) -> Column:
         def listed(both: Column) -> Column:
             kinds, core = both["kinds"], both["core"]

@@ -66,12 +66,13 @@ def decode_tests(tasks: DataFrame, test: str = "test", listed: str | None = None
     staged = tasks.withColumn("_plain", plain)
     if listed is not None:
         staged = staged.withColumn("_plain", F.coalesce(F.col(listed), F.col("_plain")))
-    tests = F.coalesce(F.col("_plain"), string_list(F.when(F.col("_plain").isNull(), text)))
+    staged = staged.withColumn("_literal", F.when(F.col("_plain").isNull(), text))
+    tests = F.coalesce(F.col("_plain"), string_list("_literal"))
     if by_name:
         staged = staged.withColumn("_plain", tests)
         named = F.col("_plain").isNull() & F.contains(text, F.lit("\\N{"))
         tests = F.coalesce(F.col("_plain"), _named_list_udf()(F.when(named, text)))
-    return staged.withColumn("tests", let(tests, lambda ts: F.when(~F.exists(ts, lambda t: t.isNull()), ts))).drop("_plain")
+    return staged.withColumn("tests", let(tests, lambda ts: F.when(~F.exists(ts, lambda t: t.isNull()), ts))).drop("_plain", "_literal")
 
 
 def check_tasks(tasks: DataFrame) -> DataFrame:
