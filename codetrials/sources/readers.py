@@ -98,6 +98,9 @@ def read_tasks(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     )
 
 
+_JACOCO_NAMES = ["CLASS", "PACKAGE", *[c.upper() for c in JACOCO_COUNTERS]]
+
+
 def read_jacoco(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """Coverage CSV: ``(report, class, package, <counters>, reject_reason)``.
 
@@ -122,37 +125,69 @@ def read_jacoco(spark: SparkSession, path: str, run_id: str | None = None) -> Da
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         lines = spark.range(0).select(nothing.alias("report"), nothing.alias("file"), F.col("id").alias("offset"), nothing.alias("line"))
-    first = lines.where("offset = 0").select("file", "line", F.monotonically_increasing_id().alias("at"))
-    kept = scratch_path(spark, "headers")
-    first.groupBy("file").agg(F.min_by("line", "at").alias("head")).withColumn("header", _csv_fields(F.col("head"))).write.parquet(kept)
-    headers = spark.read.schema("file string, head string, header array<string>").parquet(kept)
+    headers = _headers(lines)
     rows = lines.where("line != ''").join(headers, "file").where(~((F.col("offset") == 0) & (F.col("line") == F.col("head"))))
-    rows = rows.select("report", "header", "line", _csv_fields(F.col("line")).alias("fields"))
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    # as the output of a generator a line is parsed once: a filter on what comes out of it would else be pushed below with a parse for each column
+    parsed = F.struct(_csv_fields(F.col("line")).alias("fields"), (quotes % 2 == 0).alias("closed"))
+    rows = rows.select("report", "places", "width", F.inline(F.array(parsed)))
+    even = F.col("closed") & (F.size("fields") == F.col("width"))
 
     def named(name: str) -> Column:
-        return F.get("fields", (F.array_position("header", F.lit(name)) - 1).cast("int"))
+        return F.when(even, F.get("fields", F.get("places", F.lit(_JACOCO_NAMES.index(name)))))
 
-    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
-    closed = quotes % 2 == 0
-    even = closed & (F.size("fields") == F.size("header"))
-    counters = {c: F.when(even, named(c.upper()).try_cast("bigint")) for c in JACOCO_COUNTERS}
+    counters = {c: named(c.upper()).try_cast("bigint") for c in JACOCO_COUNTERS}
     good = F.lit(True)
     for value in counters.values():
         good = good & value.isNotNull()
     return rows.select(
         "report",
-        F.when(even, named("CLASS")).alias("class"),
-        F.when(even, named("PACKAGE")).alias("package"),
+        named("CLASS").alias("class"),
+        named("PACKAGE").alias("package"),
         *[value.alias(name) for name, value in counters.items()],
-        F.when(~closed, "quote left open")
+        F.when(~F.col("closed"), "quote left open")
         .when(~even, "line and header differ in length")
         .when(~good, "counter is not an integer")
         .alias("reject_reason"),
     )
 
 
+def _headers(lines: DataFrame) -> DataFrame:
+    """``(file, head, width, places)``: the first line of each file, how many fields it has and where the known ones are.
+
+    Of the lines that may be a header, those with a counter's name are groups of their own and the others of a file are
+    one, so that a pass over all lines keeps a few groups a file and sorts nothing.  Files whose first line has no such name
+    are read again for it.
+    """
+    spark = lines.sparkSession
+    first = lines.where("offset = 0").select("file", "line", F.monotonically_increasing_id().alias("at"))
+    kept = scratch_path(spark, "headers")
+    _line_groups(first).groupBy("file").agg(F.min_by("line", "at").alias("head")).write.parquet(kept)
+    found = spark.read.schema("file string, head string").parquet(kept)
+    heads = found.where(F.col("head").isNotNull())
+    unknown = found.where(F.col("head").isNull()).select("file")
+    if not unknown.isEmpty():
+        more = scratch_path(spark, "headers")
+        first.join(unknown, "file", "left_semi").groupBy("file").agg(F.min_by("line", "at").alias("head")).write.parquet(more)
+        heads = heads.unionByName(spark.read.schema("file string, head string").parquet(more))
+    header = _csv_fields(F.col("head"))
+    places = F.array(*[(F.array_position("header", F.lit(name)) - 1).cast("int") for name in _JACOCO_NAMES])
+    return heads.select("file", "head", F.explode(F.array(header)).alias("header")).select(
+        "file", "head", F.size("header").alias("width"), places.alias("places")
+    )
+
+
+def _line_groups(first: DataFrame) -> DataFrame:
+    """``(file, line, at)``: first places of each line with a counter's name, and of all others of a file under no line."""
+    likely = F.when(F.contains("line", F.lit(JACOCO_COUNTERS[0].upper())), F.col("line"))
+    return first.groupBy("file", likely.alias("line")).agg(F.min("at").alias("at"))
+
+
 def _csv_fields(line: Column) -> Column:
     """Fields of one line; a quoted one may hold commas and doubled quotes."""
     parts = F.regexp_extract_all(line, F.lit('(?:^|,)("(?:[^"]|"")*"|[^,"]*)'), F.lit(1))
     quoted = lambda f: F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(parts, lambda f: F.when(F.startswith(f, F.lit('"')), quoted(f)).otherwise(f))
+    read = F.transform(parts, lambda f: F.when(F.startswith(f, F.lit('"')), quoted(f)).otherwise(f))
+    # without a quote the commas are the borders; a line that begins with one is read as it always was
+    plain = ~F.contains(line, F.lit('"')) & ~F.startswith(line, F.lit(","))
+    return F.when(plain, F.split(line, ",", -1)).otherwise(read)

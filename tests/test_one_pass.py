@@ -8,7 +8,7 @@ import re
 from conftest import SMALL, plan, rows
 from pyspark.sql import functions as F
 
-from codetrials.operators import code, jest, layout, reports, summary
+from codetrials.operators import code, coverage, jest, layout, reports, summary
 from codetrials.plans import derived, flows
 from codetrials.plans.queries import all_queries
 from codetrials.sources import readers, writers
@@ -163,3 +163,27 @@ def test_notebooks_out_of_a_table(spark):
     assert rows(books.select("notebook", "reject_reason")) == [("a", None)] + [(x, "not a version 4 notebook") for x in "bcde"]
     assert flows.records_of_notebooks(books).first().prompt == "x"
     assert readers.parse_notebooks(df).where("reject_reason is null").first().notebook == "n1"
+
+
+def test_a_report_line_is_parsed_once_and_headers_need_no_sort_of_lines(spark, tmp_path, monkeypatch):
+    head = "CLASS,PACKAGE,LINE_COVERED,LINE_MISSED,BRANCH_MISSED,BRANCH_COVERED,INSTRUCTION_COVERED,INSTRUCTION_MISSED"
+    odd = ["a,b", "a,b", "1,2", ",x", "1,2,3"]  # no known name in the first line
+    late = ["CLASS,PACKAGE", head, "A,p"]  # a later line looks more like a header
+    for run, lines in enumerate([[head, "A,p,1,2,3,4,5,6", '"A, ""B""",p,1,2,3,4,5,6', ",p,1,2,3,4,5,6", "A,p,x,2,3,4,5,6", head], odd, late], 1):
+        (tmp_path / f"run={run}").mkdir()
+        (tmp_path / f"run={run}/r.csv").write_text("\n".join(lines) + "\n")
+    made = []
+    kept = readers.scratch_path
+    monkeypatch.setattr(readers, "scratch_path", lambda *a: made.append(kept(*a)) or made[-1])
+    df = readers.read_jacoco(spark, str(tmp_path), "run")
+    integer, length = "counter is not an integer", "line and header differ in length"
+    assert rows(df.where("report = 1").select("class", "line_covered", "reject_reason")) == sorted(
+        [("A", 1, None), ('A, "B"', 1, None), (None, None, length), ("A", None, integer)], key=repr
+    )
+    assert rows(df.where("report = 2").select("class", "reject_reason")) == sorted([(None, integer), (None, length), (None, length)], key=repr)
+    assert rows(df.where("report = 3").select("class", "reject_reason")) == sorted([("A", integer), (None, length)], key=repr)
+    assert sorted(r.head for p in made for r in spark.read.parquet(p).where("head is not null").collect()) == sorted([head, odd[0], late[0]])
+    for found in (coverage.rejected_reports(df, ["report"]), coverage.jacoco_totals(df, ["report"])):
+        assert plan(found).count("regexp_extract_all") <= 3  # of the lines, beside those of the headers
+    first = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.lit(1).alias("at"))
+    assert "SortAggregate" not in plan(readers._line_groups(first))
