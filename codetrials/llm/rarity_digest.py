@@ -1,10 +1,10 @@
 """Document fingerprints from improbable features.
 
-Candidate features are 64-byte windows that begin at a word, or where two bytes happen to say so.  A window's entropy has
-some frequency over all windows of the corpus; the rarer that level, the better the feature.  Among every eight
-neighbouring candidates the rarest is a winner, and windows that win often enough are selected.  Selected windows go into
-a chain of Bloom filters of 2048 bits and at most 160 features each.  The likeness of two digests is the overlap of their
-filters beyond what chance explains, normalised by what it could be at most.
+Every 64-byte window of a text is a candidate feature.  A window's entropy has some frequency over all windows of the
+corpus; the rarer that level, the better the feature.  Among every 64 neighbouring windows the rarest is a winner, and
+windows that win 16 times or more are selected.  Selected windows go into a chain of Bloom filters of 2048 bits and at most
+160 features each.  The likeness of two digests is the overlap of their filters beyond what chance explains, normalised by
+what it could be at most.
 """
 
 from __future__ import annotations
@@ -23,51 +23,60 @@ from codetrials.llm import blocks as B
 
 WINDOW = 64
 LEVELS = 1000
-NEIGHBOURS, WINS = 8, 4
+NEIGHBOURS, WINS = 64, 16  # windows, of which one begins at each byte
 BITS, HASHES, FEATURES = 2048, 5, 160
 SEED = 5
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+PIECE = 1 << 17  # bytes whose counts stay in a core's cache
 MOST_PARTS = 2000
 #: n * log2(n) in thousandths, for the counts of a byte in a window
 TERMS = np.array([0] + [round(1000 * n * np.log2(n)) for n in range(1, WINDOW + 1)], dtype=np.int32)
+STEP = np.diff(TERMS)  # what one more of a byte adds
+FULL = WINDOW * 6000  # of 64 different bytes
+LEVEL = ((FULL - np.arange(FULL + 1)) * LEVELS // FULL).astype(np.int16)
 RESULT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
     "near_next double"
 )
 
 
-def candidates(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, text) of the candidate windows; all depend on bytes from the window's first one less one on."""
-    mark = B.MARKS[data]
-    start = np.append(True, mark[:-1]) & ~mark
-    start[:-1] |= (data[:-1].astype(np.uint16) * 31 + data[1:]) & 31 == 0
-    first = begins[ends > begins]
-    start[first] = True
-    at = np.flatnonzero(start)
-    doc = np.searchsorted(ends, at, side="right")
-    whole = (doc < len(ends)) & (at + WINDOW <= ends[np.minimum(doc, len(ends) - 1)])
-    return at[whole], doc[whole]
+def candidates(begins: np.ndarray, ends: np.ndarray, size: int, more: int = 0) -> np.ndarray:
+    """Flags of the first ``size`` bytes: where a window, and ``more`` after it, lies within one text."""
+    stop = ends - (WINDOW - 1 + more)
+    some = stop > begins
+    change = np.zeros(size + 1, dtype=np.int8)
+    change[begins[some]] = 1
+    change[stop[some]] = -1
+    return np.cumsum(change[:-1], dtype=np.int8).view(bool)
 
 
-def entropy_levels(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The entropy of the bytes of each window, 0 to ``LEVELS``.
+def window_totals(data: np.ndarray) -> np.ndarray:
+    """``TERMS`` of the counts of all byte values, summed, for the window at each place.
 
-    Running counts of eight byte values share a machine word, one lane each; the difference of two places is the counts
-    in between, as no lane of it exceeds 64.
+    A window differs from the one before it by one byte that leaves and one that enters.  What this changes depends only on
+    how often the one stands in the 63 bytes after it, and the other in those before it.
     """
-    total = np.zeros(len(at), dtype=np.int64)
-    count = np.bincount(data, minlength=256)
-    values = np.argsort(-count, kind="stable")[: int((count > 0).sum())]
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    for k in range(0, len(values), 8):
-        lane = np.zeros(256, dtype=np.uint64)
-        lane[values[k : k + 8]] = np.uint64(1) << np.arange(0, 8 * len(values[k : k + 8]), 8, dtype=np.uint64)
-        np.cumsum(lane[data], out=sums[1:])
-        inside = sums[at + WINDOW] - sums[at]
-        some = np.flatnonzero(inside)
-        total[some] += TERMS[inside[some].view(np.uint8).reshape(-1, 8)].sum(axis=1)
-    full = WINDOW * 6000  # of 64 different bytes
-    return (full - total) * LEVELS // full
+    many = len(data) - WINDOW + 1
+    if many < 1:
+        return np.zeros(0, dtype=np.int32)
+    after, before = np.zeros(len(data), dtype=np.uint8), np.zeros(len(data), dtype=np.uint8)
+    same = np.empty(PIECE, dtype=bool)
+    for at in range(0, len(data), PIECE):
+        for lag in range(1, WINDOW):
+            other = data[at + lag : at + lag + PIECE]
+            n = len(other)
+            found = np.equal(data[at : at + n], other, out=same[:n]).view(np.uint8)
+            after[at : at + n] += found
+            before[at + lag : at + lag + n] += found
+    out = np.empty(many, dtype=np.int32)
+    out[0] = TERMS[np.bincount(data[:WINDOW])].sum()
+    np.subtract(STEP[before[WINDOW:]], STEP[after[: many - 1]], out=out[1:])
+    return np.cumsum(out, out=out)
+
+
+def entropy_levels(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entropy of the bytes of each window, 0 to ``LEVELS``."""
+    return LEVEL[window_totals(data)[at]]
 
 
 def level_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
@@ -75,9 +84,10 @@ def level_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.in_chunks(batches, CHUNK):
-            at, _ = candidates(block.data, block.begins, block.ends)
-            level, n = np.unique(entropy_levels(block.data, at), return_counts=True)
-            yield from B.packed(list(zip(level.tolist(), n.tolist(), strict=True)), "level long, n long")
+            total = window_totals(block.data)
+            n = np.bincount(LEVEL[total[candidates(block.begins, block.ends, len(total))]], minlength=LEVELS + 1)
+            level = np.flatnonzero(n)
+            yield from B.packed(list(zip(level.tolist(), n[level].tolist(), strict=True)), "level long, n long")
 
     out = np.zeros(LEVELS + 1, dtype=np.int64)
     counts = B.as_bytes(docs, key, text).mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n"))
@@ -94,27 +104,37 @@ def precedence(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
+def selected(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where the features begin: each text's rarest window, and those that are often the rarest of their neighbours."""
+    total = window_totals(data)
+    bits = len(total).bit_length()
+    kind = np.int32 if bits <= 21 else np.int64  # a rank has ten bits
+    score = (rank.astype(kind) << bits)[LEVEL][total]
+    score |= np.arange(len(total), dtype=kind)
+    place = kind((1 << bits) - 1)
+    keep = np.zeros(len(total), dtype=bool)
+    least, reach = score, 1
+    while reach < NEIGHBOURS and len(least) > reach:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    if reach == NEIGHBOURS:
+        won = least[candidates(begins, ends, len(least), NEIGHBOURS - 1)] & place
+        keep |= np.bincount(won, minlength=len(keep)) >= WINS
+    some = ends - begins >= WINDOW
+    if some.any():
+        own = np.column_stack([begins[some], ends[some] - WINDOW + 1]).ravel()
+        keep[np.minimum.reduceat(score, own)[::2] & place] = True
+    return np.flatnonzero(keep)
+
+
 def digests(texts: list[bytes], rank: np.ndarray) -> list[bytes]:
     """The chained filters of each text, 256 bytes each; none for an empty text."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     ends = np.cumsum(sizes + 1) - 1
     begins = ends - sizes
-    at, doc = candidates(data, begins, ends)
-    keep = np.zeros(len(at), dtype=bool)
-    if len(at):
-        place = np.arange(len(at))
-        score = rank[entropy_levels(data, at)] << 40 | place
-        keep[np.minimum.reduceat(score, B.edges(doc)) & ((1 << 40) - 1)] = True
-        least = score
-        reach = 1
-        while reach < NEIGHBOURS and len(least) > reach:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        if reach == NEIGHBOURS:
-            own = doc[: len(least)] == doc[NEIGHBOURS - 1 :]
-            keep |= np.bincount(least[own] & ((1 << 40) - 1), minlength=len(at)) >= WINS
-    at, doc = at[keep], doc[keep]
+    at = selected(data, begins, ends, rank)
+    doc = np.searchsorted(ends, at, side="right")
     # a text shorter than a window is one feature
     short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
     begin = np.concatenate([at, begins[short]])

@@ -191,6 +191,36 @@ def test_entropy_levels():
     assert rarity_digest.entropy_levels(data, np.array([0, 64, 128])).tolist() == [1000, 0, 166]
 
 
+def test_rarity_digest_looks_at_every_window(spark, monkeypatch):
+    queries.known_to_workers(spark)
+    draw = np.random.default_rng(3)
+    texts = [bytes(draw.choice(np.frombuffer(letters, dtype=np.uint8), n)) for letters, n in ((b"ab cde", 700), (b"x", 200), (b"abcdefghijklmnopqrstuvwxyz", 900), (b"a b", 63), (b"", 0), (b"pq rs", 64), (bytes(range(33, 120)), 130))]
+    window = rarity_digest.WINDOW
+
+    def level(w):
+        total = sum(int(rarity_digest.TERMS[n]) for n in Counter(w).values())
+        return (window * 6000 - total) * rarity_digest.LEVELS // (window * 6000)
+
+    levels = [[level(t[k : k + window]) for k in range(len(t) - window + 1)] for t in texts]
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    counts = rarity_digest.level_counts(docs)
+    assert {k: n for k, n in enumerate(counts.tolist()) if n} == Counter(x for found in levels for x in found)
+    rank = rarity_digest.precedence(counts)
+    expected, start = [], 0
+    for t, found in zip(texts, levels, strict=True):
+        score = [(rank[x], k) for k, x in enumerate(found)]
+        wins = Counter(min(score[k : k + rarity_digest.NEIGHBOURS])[1] for k in range(len(score) - rarity_digest.NEIGHBOURS + 1))
+        best = {min(score)[1]} if score else set()
+        expected += sorted(start + k for k in best | {k for k, n in wins.items() if n >= rarity_digest.WINS})
+        start += len(t) + 1
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    begins = ends - [len(t) for t in texts]
+    for piece in (rarity_digest.PIECE, 100):  # also where a window spans pieces
+        monkeypatch.setattr(rarity_digest, "PIECE", piece)
+        assert rarity_digest.selected(data, begins, ends, rank).tolist() == expected
+
+
 def test_merkle_fixity(spark):
     queries.known_to_workers(spark)
     rows = [(k, f"u{k}", None if k == 5 else "é" * (k % 50)) for k in range(2500)] + [(None, None, "x"), (9, "u9", "twice")]
